@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .simhash import op10_simhash
+from .suffix_dedup import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op10_simhash,)}
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
