@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .html_text import op4_html_text
 from .simhash import op10_simhash
 from .suffix_dedup import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_html_text, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
