@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .boosted_rules import op7_boosted_rules
+from .hilbert import op6_hilbert
 from .html_text import op4_html_text
 from .mixing import op1_mixing
 from .packing import op8_packing
@@ -10,6 +11,6 @@ from .quadratic import op5_quadratic
 from .simhash import op10_simhash
 from .suffix_dedup import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_suffix_dedup, op4_html_text, op5_quadratic, op7_boosted_rules, op8_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_suffix_dedup, op4_html_text, op5_quadratic, op6_hilbert, op7_boosted_rules, op8_packing, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
