@@ -69,38 +69,45 @@ def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
         floor = floor * 2 if floor > 1 else max(2, sum(weights) >> limit)
 
 
+def _reversals(width: int) -> np.ndarray:
+    """The numbers of ``width`` bits with their bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(width):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
+_REVERSED = [_reversals(width) for width in range(16)]
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes of a canonical code, first bit lowest, as the stream has them."""
     codes = np.zeros(len(lengths), np.int64)
     code = 0
-    order = np.lexsort((np.arange(len(lengths)), lengths))
-    last = 0
-    for s in order[lengths[order] > 0].tolist():
-        n = int(lengths[s])
-        code <<= n - last
-        last = n
-        codes[s] = int(format(code, f"0{n}b")[::-1], 2)
-        code += 1
+    for n, count in enumerate(np.bincount(lengths, minlength=16).tolist()):
+        code <<= 1
+        if n and count:
+            codes[lengths == n] = _REVERSED[n][code : code + count]
+            code += count
     return codes
 
 
 class Code:
-    """Lookup tables of a prefix code: symbol and bits for each value of the next ``width`` bits."""
+    """Lookup table of a prefix code: symbol << 8 | bits for each value of the next ``width`` bits."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         self.single = int(used[0]) if len(used) == 1 else -1 if len(used) else 0
         if self.single >= 0:
-            self.width, self.symbols, self.bits = 0, np.array([self.single]), np.zeros(1, np.int64)
+            self.width, self.table = 0, np.array([self.single << 8])
             return
-        if (2.0 ** -lengths[used].astype(float)).sum() != 1:
+        sizes = lengths[used]
+        self.width = int(sizes.max())
+        order = np.argsort(sizes, kind="stable")
+        table = np.repeat(used[order] << 8 | sizes[order], 1 << (self.width - sizes[order]))
+        if len(table) != 1 << self.width:
             raise ValueError("a prefix code is not complete")
-        self.width = int(lengths.max())
-        codes = canonical(lengths)
-        self.symbols, self.bits = np.zeros(1 << self.width, np.int64), np.zeros(1 << self.width, np.int64)
-        for s in used.tolist():
-            self.symbols[codes[s] :: 1 << lengths[s]] = s
-            self.bits[codes[s] :: 1 << lengths[s]] = lengths[s]
+        self.table = table[_REVERSED[self.width]]
 
 
 # ---- writing
@@ -111,7 +118,7 @@ class BitWriter:
         self.value, self.n = 0, 0
 
     def put(self, value: int, bits: int) -> None:
-        self.value |= int(value) << self.n
+        self.value |= value << self.n
         self.n += bits
 
     def put_all(self, values: np.ndarray, bits: np.ndarray) -> bytes:
@@ -152,12 +159,8 @@ def _put_code(out: BitWriter, lengths: np.ndarray) -> None:
         out.put(used[1], 8)
         return
     tokens: list[tuple[int, int, int]] = []
-    at, all_lengths = 0, lengths.tolist()
-    while at < len(all_lengths):
-        v, run = all_lengths[at], 1
-        while at + run < len(all_lengths) and all_lengths[at + run] == v:
-            run += 1
-        at += run
+    cuts = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1]))
+    for v, run in zip(lengths[cuts].tolist(), np.diff(np.append(cuts, len(lengths))).tolist(), strict=True):
         if v:
             tokens.append((v, 0, 0))
             run -= 1
@@ -174,17 +177,17 @@ def _put_code(out: BitWriter, lengths: np.ndarray) -> None:
             run -= n
     counts = np.bincount([t for t, *_ in tokens], minlength=19)
     own = code_lengths(counts, 7)
-    codes = canonical(own)
-    single = np.count_nonzero(own) == 1
+    codes, own = canonical(own).tolist(), own.tolist()
+    single = own.count(0) == 18
     sent = max(4, max(i for i, s in enumerate(LENGTH_ORDER) if own[s]) + 1)
     out.put(0, 1)
     out.put(sent - 4, 4)
     for s in LENGTH_ORDER[:sent]:
-        out.put(int(own[s]), 3)
+        out.put(own[s], 3)
     out.put(0, 1)
     for t, extra, bits in tokens:
         if not single:
-            out.put(int(codes[t]), int(own[t]))
+            out.put(codes[t], own[t])
         out.put(extra, bits)
 
 
@@ -261,10 +264,8 @@ def _put_image(out: BitWriter, argb: np.ndarray, width: int, *, main: bool, cach
         lengths = code_lengths(np.bincount(values.astype(np.int64), minlength=alphabet))
         _put_code(out, lengths)
         none = np.count_nonzero(lengths) < 2
-        coded.append((canonical(lengths), np.zeros_like(lengths) if none else lengths))
-    value, bits = coded[0][0][symbol].astype(_U), coded[0][1][symbol].copy()
-    if not coded[0][1].any():
-        value[:] = 0
+        coded.append((np.zeros_like(lengths), np.zeros_like(lengths)) if none else (canonical(lengths), lengths))
+    value, bits = coded[0][0][symbol].astype(_U), coded[0][1][symbol]
 
     def add(where: np.ndarray, more: np.ndarray, n_bits: np.ndarray) -> None:
         value[where] |= more.astype(_U) << bits[where].astype(_U)
@@ -425,9 +426,9 @@ class BitReader:
         if code.width == 0:
             return code.single
         at = self.at
-        found = self.get(code.width)
-        self.at = at + int(code.bits[found])
-        return int(code.symbols[found])
+        found = int(code.table[self.get(code.width)])
+        self.at = at + (found & 255)
+        return found >> 8
 
 
 def _read_code(reader: BitReader, alphabet: int) -> Code:
@@ -444,26 +445,35 @@ def _read_code(reader: BitReader, alphabet: int) -> Code:
     code, left = Code(own), alphabet
     if reader.get(1):
         left = reader.get(2 + 2 * reader.get(3)) + 2
-    at, last = 0, 8
+    at, last, found = 0, 8, [0] * alphabet
+    start = reader.at
+    ahead, place = int.from_bytes(reader.data[start >> 3 : (start >> 3) + 3 * alphabet + 8], "little") >> (start & 7), 0
+    table, mask = code.table.tolist(), (1 << code.width) - 1
     while at < alphabet and left:
         left -= 1
-        s = reader.symbol(code)
+        entry = table[ahead >> place & mask]
+        place += entry & 255
+        s = entry >> 8
         if s < 16:
-            lengths[at] = s
+            found[at] = s
             at, last = at + 1, s or last
         else:
-            n = reader.get(2) + 3 if s == 16 else reader.get(3) + 3 if s == 17 else reader.get(7) + 11
+            bits, base = ((2, 3), (3, 3), (7, 11))[s - 16]
+            n = base + (ahead >> place & ((1 << bits) - 1))
+            place += bits
             if at + n > alphabet:
                 raise ValueError("too many code lengths")
-            lengths[at : at + n] = last if s == 16 else 0
+            if s == 16:
+                found[at : at + n] = [last] * n
             at += n
-    return Code(lengths)
+    reader.at = start + place
+    return Code(np.array(found, np.int64))
 
 
-def _extra(symbol):
-    """Extra bits and base of a length or distance symbol."""
-    bits = np.where(np.asarray(symbol) < 4, 0, (np.asarray(symbol) - 2) >> 1)
-    return bits, np.where(np.asarray(symbol) < 4, np.asarray(symbol), (2 + (np.asarray(symbol) & 1)) << bits) + 1
+_SYMBOLS = np.arange(DISTANCE_SYMBOLS)
+#: Extra bits and base of length and distance symbols.
+_EXTRA = np.where(_SYMBOLS < 4, 0, (_SYMBOLS - 2) >> 1)
+_FROM = np.where(_SYMBOLS < 4, _SYMBOLS, (2 + (_SYMBOLS & 1)) << _EXTRA) + 1
 
 
 def _distance(code: int, width: int) -> int:
@@ -474,87 +484,88 @@ def _distance(code: int, width: int) -> int:
 
 
 def _tokens(reader: BitReader, codes: list[Code], pixels: int) -> tuple[np.ndarray, ...] | None:
-    """Symbol, red, blue, alpha, length and distance code of the tokens of one group of codes; None if they need over 57 bits."""
+    """Symbol, red, blue, alpha, length and distance code of the tokens of one group of codes; None if they may need over 49 bits."""
     green, red, blue, alpha, far = codes
-    if max(green.width + red.width + blue.width + alpha.width, green.width + 10 + far.width + 18) > 57:
+    if max(green.width + red.width + blue.width + alpha.width, green.width + 10 + far.width + 18 if far.width else 0) > 49:
         return None
-    look = lambda code, windows: windows & _U((1 << code.width) - 1)
-    plain = not (red.width or blue.width or alpha.width)
+    colors = [code for code in (red, blue, alpha) if code.width]
+    first_copy, first_cached = 256 << 8, (256 + LENGTH_SYMBOLS) << 8
     parts, done, at = [], 0, reader.at
+
+    def sized(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits and entry of the token at each of the windows, which hold 49 bits or more of the stream."""
+        entry = green.table[windows & ((1 << green.width) - 1)]
+        size = entry & 255
+        if colors:
+            own = np.flatnonzero(entry < first_copy)
+            w, used = windows[own], size[own]
+            for code in colors:
+                used = used + (code.table[w >> used & ((1 << code.width) - 1)] & 255)
+            size[own] = used
+        own = np.flatnonzero(entry >= first_copy)
+        if len(own):
+            own = own[entry[own] < first_cached]
+            used = size[own] + _EXTRA[(entry[own] >> 8) - 256]
+            found = far.table[windows[own] >> used & ((1 << far.width) - 1)]
+            size[own] = used + (found & 255) + _EXTRA[found >> 8]
+        return size, entry
+
     while done < pixels:
         low = at >> 3
         if low > len(reader.data):
             raise ValueError("the stream ends early")
-        piece = reader.bytes[low : low + _PIECE + 8]
-        n = max(1, len(piece) - 8)
-        words = np.zeros(n, _U)
-        for k in range(8):
-            words |= piece[k : k + n].astype(_U) << _U(8 * k) if len(piece) >= k + n else _U(0)
-        places = (words[:, None] >> np.arange(8, dtype=_U)).ravel()
-        key = look(green, places)
-        size = green.bits[key]
-        symbol = green.symbols[key]
-        if not plain:
-            lit = np.flatnonzero(symbol < 256)
-            w, used = places[lit], size[lit]
-            for code in (red, blue, alpha):
-                if code.width:
-                    used = used + code.bits[look(code, w >> used.astype(_U))]
-            size[lit] = used
-        copy = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTH_SYMBOLS))
-        if len(copy):
-            used = size[copy] + _extra(symbol[copy] - 256)[0]
-            key = look(far, places[copy] >> used.astype(_U))
-            size[copy] = used + far.bits[key] + _extra(far.symbols[key])[0]
-        limit = 8 * n
-        if not size.any():  # tokens without bits: one after the other at this place
-            chain = np.full(pixels - done, at - 8 * low, np.int64)
-            after = at - 8 * low
+        piece = reader.bytes[low : low + _PIECE + 8].astype(np.int64)
+        n = len(piece) - 8
+        words = piece[:n].copy()
+        for k in range(1, 7):
+            words |= piece[k : k + n] << (8 * k)
+        places = (words[:, None] >> np.arange(8)).ravel()
+        size, entry = sized(places)
+        limit, p = 8 * n, at - 8 * low
+        if not size[p]:  # a token without bits: all others are the same
+            if size.any():
+                return None
+            chain, after = np.full(pixels - done, p), p
         else:
-            one = np.minimum(np.arange(limit) + size, limit)
-            one = np.append(one, limit).astype(np.int32)
+            one = np.append(np.minimum(np.arange(limit) + size, limit), limit).astype(np.int32)
             two = one[one]
-            four = two[two]
-            walk, jump, p = [], memoryview(four), at - 8 * low
-            if size[p] == 0:
-                return None
+            jump, walk = memoryview(two[two]), []
             while p < limit:
                 walk.append(p)
-                q = jump[p]
-                if q == p:
+                p = jump[p]
+                if p == walk[-1]:
                     return None
-                p = q
             walk = np.array(walk)
             chain = np.stack([walk, one[walk], two[walk], one[two[walk]]], axis=1).ravel()
             chain = chain[chain < limit]
             after = int(chain[-1] + size[chain[-1]])
-        w, s = places[chain], symbol[chain]
-        used = green.bits[look(green, w)]
+        w, entry = places[chain], entry[chain]
+        symbol, used = entry >> 8, entry & 255
         values = []
         for code in (red, blue, alpha):
-            key = look(code, w >> used.astype(_U)) if code.width else np.zeros(len(w), np.int64)
-            values.append(code.symbols[key])
-            used = used + code.bits[key]
-        length, distance = np.ones(len(s), np.int64), np.zeros(len(s), np.int64)
-        copy = np.flatnonzero((s >= 256) & (s < 256 + LENGTH_SYMBOLS))
+            if code.width:
+                found = code.table[w >> used & ((1 << code.width) - 1)]
+                values.append(found >> 8)
+                used = used + (found & 255)
+            else:
+                values.append(np.full(len(w), code.single))
+        length, distance = np.ones(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
+        copy = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTH_SYMBOLS))
         if len(copy):
-            w, used = w[copy], green.bits[look(green, w[copy])]
-            bits, base = _extra(s[copy] - 256)
-            length[copy] = base + (w >> used.astype(_U) & ((_U(1) << bits.astype(_U)) - _U(1))).astype(np.int64)
-            used = used + bits
-            key = look(far, w >> used.astype(_U))
-            used = used + far.bits[key]
-            bits, base = _extra(far.symbols[key])
-            distance[copy] = base + (w >> used.astype(_U) & ((_U(1) << bits.astype(_U)) - _U(1))).astype(np.int64)
+            w, used, kind = w[copy], entry[copy] & 255, symbol[copy] - 256
+            length[copy] = _FROM[kind] + (w >> used & ((1 << _EXTRA[kind]) - 1))
+            used = used + _EXTRA[kind]
+            found = far.table[w >> used & ((1 << far.width) - 1)]
+            used, kind = used + (found & 255), found >> 8
+            distance[copy] = _FROM[kind] + (w >> used & ((1 << _EXTRA[kind]) - 1))
         ends = done + np.cumsum(length)
         stop = int(np.searchsorted(ends, pixels)) + 1
         if stop <= len(ends):
-            if stop < len(ends):
-                after = int(chain[stop]) if size.any() else after
-            parts.append([x[:stop] for x in (s, *values, length, distance)])
+            after = int(chain[stop]) if stop < len(ends) else after
+            parts.append([x[:stop] for x in (symbol, *values, length, distance)])
             at = 8 * low + after
             break
-        parts.append([s, *values, length, distance])
+        parts.append([symbol, *values, length, distance])
         done, at = int(ends[-1]), 8 * low + after
     reader.at = at
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else None
@@ -627,10 +638,9 @@ def _read_slowly(reader, codes, plane, shift, width, pixels, cache_bits) -> np.n
             keep([int(out[at])])
             at += 1
         elif s < 256 + LENGTH_SYMBOLS:
-            bits, base = _extra(s - 256)
-            n = min(int(base) + reader.get(int(bits)), pixels - at)
-            bits, base = _extra(reader.symbol(far))
-            _copy(out, at, n, _distance(int(base) + reader.get(int(bits)), width))
+            n = min(int(_FROM[s - 256]) + reader.get(int(_EXTRA[s - 256])), pixels - at)
+            kind = reader.symbol(far)
+            _copy(out, at, n, _distance(int(_FROM[kind]) + reader.get(int(_EXTRA[kind])), width))
             keep(out[at : at + n].tolist())
             at += n
         else:
