@@ -8,7 +8,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_bytes
@@ -40,14 +40,15 @@ def fingerprint(data: bytes, width: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp as a signed long) of every row."""
+    """(doc_id, h, fp) of every row: fp as a signed long, h a hash that tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.fromiter((fingerprint(x.as_py()) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col)).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), text_bytes(text_col))
+    return own.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def block_masks(blocks: int, kept: int) -> list[int]:
@@ -178,14 +179,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     any other. Rows with one id or text keep one result row each; a null id takes its
     component's smallest id, null if it has none. Other columns are ignored.
     """
-    prints = cut(with_fingerprints(docs, id_col=id_col, text_col=text_col), "simhash-prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    comp = components(links(nodes.select("fp"), max_bits=max_bits, cap=cap))
-    rooted = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    prints, rooted = _rooted(docs, id_col, text_col, max_bits, cap)
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str, max_bits: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every row, and (fp, first_id, root) of every fingerprint."""
+    prints = cut(with_fingerprints(docs, id_col=id_col, text_col=text_col), "simhash-prints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    comp = components(links(nodes.select("fp"), max_bits=max_bits, cap=cap))
+    return prints, nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component, whole: that of the smallest id; null ids come last, then the smallest hash of the text counts."""
+    prints, rooted = _rooted(docs, "doc_id", "text", MAX_BITS, BUCKET_CAP)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    per_print = prints.groupBy("fp").agg(first)  # before the join, so that copies are one row in it
+    kept = per_print.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    own = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    kept = kept.select(own(F.col("first.doc_id")).alias("_id"), F.col("first.h").alias("_h")).distinct()
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    plain = docs.toDF(*names).withColumn("_id", own(F.col(names[docs.columns.index("doc_id")]).cast("long"))).withColumn("_h", F.xxhash64(text))
+    same = Window.partitionBy("_id", "_h").orderBy(*(n for n in names if n != text))
+    return plain.join(kept, ["_id", "_h"]).withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*names).toDF(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

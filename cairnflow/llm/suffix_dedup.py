@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import cut, table, text_bytes
 
 LENGTH = 200
-GRAM = 40
+GRAM = 100
+#: Occurrences of a context in a batch that travel with it; those of more frequent ones meet it in a join.
+INLINE = 4
 #: Different contexts of one gram that a task holds; the windows of larger groups are counted by a shuffle.
 GROUP_CAP = 20000
 #: Bytes of contexts that are sorted at once.
@@ -198,30 +200,33 @@ def _contexts(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple]:
             yield h, xxhash.xxh3_64_intdigest(piece, lead) - (1 << 63), lead, piece, k1, k2, p
 
 
-def _emit_contexts(length: int, gram: int):
-    names = ["h", "id", "lead", "n", "piece"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[tuple, list] = {}
-            for h, i, lead, piece, *_ in _contexts(batch, length, gram):
-                if found := seen.get((h, i)):
-                    found[1] += 1
-                else:
-                    seen[h, i] = [lead, 1, piece]
-            rows = [(h, i, *row) for (h, i), row in seen.items() if len(row[2]) >= length]
-            for low in range(0, len(rows), 20000):
-                yield _table(names, *map(pa.array, zip(*rows[low : low + 20000], strict=True)))
-
-    return run
+def _emit_contexts(length: int, gram: int, inline: int):
+    """Rows (h, id, lead, n, piece, k1s, places): each different context of a batch with its occurrences.
 
+    Contexts with more than ``inline`` of them come without; those follow in rows without a piece.
+    """
+    names = ["h", "id", "lead", "n", "piece", "k1s", "places"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
-def _emit_places(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, i, k1, k2, p) for h, i, _, _, k1, k2, p in _contexts(batch, length, gram)]
-            for low in range(0, len(rows), 50000):
-                yield _table(["h", "id", "k1", "k2", "pos"], *map(pa.array, zip(*rows[low : low + 50000], strict=True)))
+            seen: dict[tuple, tuple] = {}
+            for h, i, lead, piece, k1, k2, p in _contexts(batch, length, gram):
+                if len(piece) < length:
+                    continue
+                if (found := seen.get((h, i))) is None:
+                    found = seen[h, i] = (lead, piece, [], [])
+                found[2].append(k1)
+                found[3].append(k2 << 32 | p)
+            rows = []
+            for (h, i), (lead, piece, k1s, places) in seen.items():
+                few = len(k1s) <= inline
+                rows.append((h, i, lead, len(k1s), piece, k1s if few else [], places if few else []))
+                if not few:
+                    rows.append((h, i, lead, len(k1s), None, k1s, places))
+            del seen
+            for low in range(0, len(rows), 20000):
+                yield _table(names, *(pa.array(c, t) for c, t in zip(zip(*rows[low : low + 20000], strict=True), kinds, strict=True)))
 
     return run
 
@@ -314,12 +319,13 @@ def _cover(pieces: list[bytes], leads: list[int], counts: list[int], groups: lis
 
 
 def _sort_groups(length: int, cap: int):
-    """(h, id, lead, n, piece) in the order of (h, id), to covered runs; pieces of groups over the cap pass as they are."""
-    names = ["h", "id", "starts", "ends", "lead", "n", "piece"]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.binary()]
+    """(h, id, lead, n, piece, k1s, places) in the order of (h, id), to covered runs; pieces of groups over the cap pass as they are."""
+    names = ["h", "id", "starts", "ends", "k1s", "places", "lead", "n", "piece"]
+    many = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), many, many, pa.int64(), pa.int64(), pa.binary()]
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return _table(names, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)))
+        return _table(names, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[list] = []
@@ -329,18 +335,20 @@ def _sort_groups(length: int, cap: int):
         def solve() -> pa.RecordBatch:
             rows = []
             if ready:
-                h, ids, leads, counts, pieces = zip(*ready, strict=True)
-                rows = [(h[i], ids[i], a, b, None, None, None) for i, a, b in _cover(pieces, leads, counts, h, length)]
+                h, ids, leads, counts, pieces, k1s, places = zip(*ready, strict=True)
+                rows = [(h[i], ids[i], a, b, k1s[i], places[i], None, None, None) for i, a, b in _cover(pieces, leads, counts, h, length)]
             return pack(rows)
 
         def hot(rows: list[list]) -> pa.RecordBatch:
-            return pack([(h, i, None, None, lead, n, piece) for h, i, lead, n, piece in rows])
+            return pack([(h, i, None, None, k1s, places, lead, n, piece) for h, i, lead, n, piece, k1s, places in rows])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row = list(row)
                 if group and group[-1][:2] == row[:2]:
                     group[-1][3] += row[3]
+                    group[-1][5] += row[5]
+                    group[-1][6] += row[6]
                     continue
                 if group and group[0][0] != row[0]:
                     if over:
@@ -430,7 +438,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(["k1", "k2", "z"], k1[pick], k2[pick], pa.array([zipper.compress(batch.column(2)[int(i)].as_py()) for i in pick], pa.binary()))
 
 
-def repeated_runs(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = GROUP_CAP) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = GROUP_CAP, inline: int = INLINE) -> DataFrame:
     """(k1, k2, starts, ends, n_removed, kept_sha256) of each text with bytes in a repeat of ``length`` bytes.
 
     Positions are UTF-8 bytes, runs are maximal. Copies of a text are one here: that a
@@ -446,21 +454,33 @@ def repeated_runs(docs: DataFrame, *, text_col: str = "text", length: int = LENG
     both = texts.select("k1", "k2", F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("h"), "z").unionByName(grams.select("k1", "k2", "pos", "h", F.lit(None).cast("binary").alias("z")))
     met = both.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "pos").mapInArrow(_meet, "k1 long, k2 long, z binary, pos array<long>, h array<long>")
     met = cut(met, "suffix-texts")
-    pieces = met.mapInArrow(_emit_contexts(length, gram), "h long, id long, lead long, n long, piece binary")
-    found = pieces.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_sort_groups(length, cap), "h long, id long, starts array<int>, ends array<int>, lead long, n long, piece binary")
+    many = "array<long>"
+    pieces = met.mapInArrow(_emit_contexts(length, gram, inline), f"h long, id long, lead long, n long, piece binary, k1s {many}, places {many}")
+    dealt = pieces.filter("piece IS NOT NULL").repartition("h").sortWithinPartitions("h", "id")
+    found = dealt.mapInArrow(_sort_groups(length, cap), f"h long, id long, starts array<int>, ends array<int>, k1s {many}, places {many}, lead long, n long, piece binary")
     found = cut(found, "suffix-runs")
-    covered = found.filter("piece IS NULL").select("h", "id", "starts", "ends")
+    covered = found.filter("piece IS NULL").select("h", "id", "starts", "ends", "k1s", "places")
     hot = found.filter("piece IS NOT NULL")
     if hot.take(1):
-        covered = covered.unionByName(_hot_cover(hot, length))
-    places = met.mapInArrow(_emit_places(length, gram), "h long, id long, k1 long, k2 long, pos long")
-    runs = places.join(covered, ["h", "id"]).select("k1", "k2", "pos", "starts", "ends", F.lit(None).cast("binary").alias("z"))
+        covered = covered.unionByName(_hot_cover(hot, length).join(hot.select("h", "id", "k1s", "places"), ["h", "id"]))
+    often = pieces.filter("piece IS NULL").select("h", "id", "k1s", "places").join(covered.select("h", "id", "starts", "ends"), ["h", "id"])
+    each = covered.unionByName(often).select(F.explode(F.arrays_zip("k1s", "places")).alias("x"), "starts", "ends")
+    place = F.col("x.places")
+    runs = each.select(F.col("x.k1s").alias("k1"), F.shiftright(place, 32).alias("k2"), place.bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "starts", "ends", F.lit(None).cast("binary").alias("z"))
     empty = F.lit(None).cast("array<int>")
     own = met.select("k1", "k2", F.lit(-1).cast("long").alias("pos"), empty.alias("starts"), empty.alias("ends"), "z")
     return own.unionByName(runs).repartition("k1", "k2").sortWithinPartitions("k1", "k2", "pos").mapInArrow(_remove, "k1 long, k2 long, starts array<int>, ends array<int>, n_removed long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = GROUP_CAP) -> DataFrame:
+def repeat_facts(docs: DataFrame, **options) -> DataFrame:
+    """:func:`repeated_runs` with ``copied`` for texts that occur twice or more."""
+    data = text_bytes(options.get("text_col", "text"))
+    long = docs.select(data).filter(F.octet_length("data") >= options.get("length", LENGTH))
+    copies = long.select(*_key_columns(F.col("data"))).groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2", F.lit(True).alias("copied"))
+    return repeated_runs(docs, **options).join(copies, ["k1", "k2"], "full")
+
+
+def without_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = GROUP_CAP, inline: int = INLINE) -> DataFrame:
     """``docs`` with n_bytes, starts, ends, n_removed, n_spans, kept_sha256 in place of the text.
 
     A byte is removed if a run of ``length`` bytes over it also starts anywhere else, in
@@ -471,9 +491,7 @@ def without_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LE
     data = text_bytes(text_col)
     rest = [c for c in docs.columns if c != text_col]
     keyed = docs.select(*rest, data).select(*rest, *_key_columns(F.col("data")), F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("own_sha256"))
-    copies = docs.select(data).filter(F.octet_length("data") >= length).select(*_key_columns(F.col("data"))).groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2", F.lit(True).alias("copied"))
-    found = repeated_runs(docs, text_col=text_col, length=length, gram=gram, cap=cap)
-    facts = found.join(copies, ["k1", "k2"], "full")
+    facts = repeat_facts(docs, text_col=text_col, length=length, gram=gram, cap=cap, inline=inline)
     joined = keyed.join(facts, ["k1", "k2"], "left")
     whole = F.coalesce("copied", F.lit(False))
     none = F.array().cast("array<int>")
@@ -488,6 +506,50 @@ def without_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LE
     )
 
 
+def _inward(data: bytes, low: int, high: int) -> tuple[int, int]:
+    """The run without the parts of characters at its ends, which stay."""
+    while low < high and data[low] & 0xC0 == 0x80:
+        low += 1
+    while high > low and high < len(data) and data[high] & 0xC0 == 0x80:
+        high -= 1
+    return low, high
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their texts without the repeated runs; a character that a run ends inside of stays whole.
+
+    ``n_chars`` is kept true where the table has it.
+    """
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    text, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    keyed = docs.toDF(*names).withColumn("_data", F.coalesce(F.col(names[text]).cast("binary"), F.lit(b"")))
+    keyed = keyed.select(*names, *_key_columns(F.col("_data")))
+    joined = keyed.join(repeat_facts(docs).select("k1", "k2", "starts", "ends", "copied"), ["k1", "k2"], "left").select(*names, "starts", "ends", "copied")
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends, copied = (batch.column(len(names) + k).to_pylist() for k in range(3))
+            texts = []
+            for body, a, b, whole in zip(batch.column(text).to_pylist(), starts, ends, copied, strict=True):
+                if body is None or not (a or whole):
+                    texts.append(body)
+                    continue
+                data, kept, end = body.encode(), [], 0
+                for low, high in [(0, len(data))] if whole else zip(a, b, strict=True):
+                    low, high = _inward(data, low, high)
+                    kept.append(data[end:low])
+                    end = high
+                texts.append(b"".join([*kept, data[end:]]).decode())
+            columns = list(batch.columns[: len(names)])
+            columns[text] = pa.array(texts, pa.string())
+            if chars >= 0:
+                columns[chars] = pa.array([0 if t is None else len(t) for t in texts], pa.int64()).cast(columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
