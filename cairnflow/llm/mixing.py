@@ -23,6 +23,8 @@ SEED = 20260
 PARTS = 1024
 #: Shards whose counts one task draws at once.
 SHARDS_AT_ONCE = 4096
+#: Tasks that the slots are drawn in, at most; the counts are too small for Spark to tell how many rows they stand for.
+MOST_TASKS = 10000
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -128,7 +130,7 @@ def mixed_slots(sources: DataFrame, *, shards: int | None = None, seed: int = SE
     groups, each = _spread(shards, seed, SHARDS_AT_ONCE)
     live = sources.filter("slots > 0").select("sid", "blocks", "slots")
     spread = live.mapInPandas(groups, "sid long, blocks long, first_shard long, width long, n long, start long").repartition("sid", "first_shard")
-    counts = spread.mapInPandas(each, "sid long, blocks long, shard long, n long, start long").filter("n > 0").repartition("sid", "shard")
+    counts = spread.mapInPandas(each, "sid long, blocks long, shard long, n long, start long").filter("n > 0").repartition(min(shards, MOST_TASKS), "sid", "shard")
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -157,7 +159,7 @@ def placed(sizes: DataFrame, sources: DataFrame, *, parts: int = PARTS) -> DataF
 def _pieces(where: DataFrame, times: DataFrame, block_words: int) -> DataFrame:
     """A row for each piece of a document in a block that slots name: low and high in words of the document."""
     blocks = F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))
-    pieces = where.filter("size > 0").withColumn("block", F.explode(blocks)).join(times, ["sid", "block"], "left").fillna(0, ["times"])
+    pieces = where.filter("size > 0").withColumn("block", F.explode(blocks)).join(times.hint("merge"), ["sid", "block"], "left").fillna(0, ["times"])
     low = F.greatest(F.lit(0), F.col("block") * block_words - F.col("at"))
     high = F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("at"))
     return pieces.withColumn("low", low).withColumn("high", high)
