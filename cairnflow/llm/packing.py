@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,10 @@ SHARD_BYTES = 8 << 20
 SHARD_DOCS = 20000
 QUERY_TERMS = 32
 NEIGHBOURS = 64
-#: Words whose ids a task remembers.
-WORD_CACHE = 400_000
+#: Words whose ids a task remembers, those it encodes at once, and text bytes that are split into words at once.
+WORD_CACHE = 1_000_000
+NEW_WORDS = 4000
+ENCODE_BYTES = 1 << 18
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -46,17 +50,45 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > ENCODE_BYTES:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words}.difference(self.known))
-        if len(self.known) + len(new) > WORD_CACHE:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        for low in range(0, len(new), 10000):
-            part = new[low : low + 10000]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in words]) + self.end for words in split]
+        found = [list(map(self.known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if new:
+            if len(self.known) + len(new) > WORD_CACHE:
+                self.known.clear()
+                new = {w for words in split for w in words}
+            new = list(new)
+            for low in range(0, len(new), NEW_WORDS):
+                self._learn(new[low : low + NEW_WORDS])
+            found = [ids if None not in ids else list(map(self.known.__getitem__, words)) for words, ids in zip(split, found, strict=True)]
+        return [b"".join(ids) + self.end for ids in found]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode words in one go, a space apart, and deal the ids out by where they begin."""
+        text = [w.decode() for w in new]
+        found = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
+        begin = np.fromiter(chain.from_iterable(found.offsets), np.int64)[::2]
+        cuts = np.searchsorted(begin, np.cumsum([len(w) + 1 for w in text]), side="left").tolist()
+        ids, first = np.array(found.ids, "<u4").tobytes(), 0
+        for word, last in zip(new, cuts, strict=True):
+            self.known[word] = ids[4 * first : 4 * last]
+            first = last
+
+
+@cache
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a Python worker, so that words are learned once there."""
+    return WordTokenizer(path)
 
 
 class Index:
@@ -64,22 +96,24 @@ class Index:
 
     def __init__(self, items: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         own = [np.unique(x, return_counts=True) for x in items]
-        term = np.concatenate([t for t, _ in own]).astype(np.int64)
-        item = np.repeat(np.arange(len(items)), [len(t) for t, _ in own])
-        tf = np.concatenate([c for _, c in own]).astype(float)
-        sizes = np.array([len(x) for x in items], float)
-        order = np.argsort(term, kind="stable")
+        lengths = np.array([len(t) for t, _ in own])
+        term = np.concatenate([t.astype(np.int32) for t, _ in own])
+        tf = np.concatenate([c.astype(np.float32) for _, c in own])
+        del own
+        item = np.repeat(np.arange(len(items), dtype=np.int32), lengths)
+        sizes = np.array([len(x) for x in items], np.float32)
+        order = np.argsort(term, kind="stable").astype(np.int32)
         self.terms, self.first, df = np.unique(term[order], return_index=True, return_counts=True)
         self.after = self.first + df
-        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * sizes / sizes.mean())
+        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = (k1 * (1 - b + b * sizes / sizes.mean())).astype(np.float32)
         self.item = item[order]
-        weight = np.repeat(idf, df) * tf[order] * (k1 + 1) / (tf[order] + norm[self.item])
-        self.weight = weight
+        self.weight = np.repeat(idf, df) * tf[order] * np.float32(k1 + 1) / (tf[order] + norm[self.item])
         self.n = len(items)
-        slot = np.searchsorted(self.terms, term)
-        rank = np.where(df[slot] > 1, tf * idf[slot], -1.0)
-        ends = np.cumsum([len(t) for t, _ in own])
+        del item, order
+        slot = np.searchsorted(self.terms, term).astype(np.int32)
+        rank = np.where(df[slot] > 1, tf * idf[slot], np.float32(-1))
+        ends = np.cumsum(lengths)
         self.query: list[np.ndarray] = []
         for low, high in zip(np.append(0, ends[:-1]), ends, strict=True):
             best = np.argsort(-rank[low:high], kind="stable")[:QUERY_TERMS]
@@ -212,7 +246,7 @@ def pack(docs: DataFrame, *, window: int = WINDOW, tokenizer: str | None = None,
         return first + len(sequences), batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size, own, first = WordTokenizer(path), [], 0, None, 0
+        words, held, size, own, first = shared_tokenizer(path), [], 0, None, 0
         for batch in batches:
             for shard, doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = data.as_py()
