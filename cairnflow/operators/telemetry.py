@@ -109,7 +109,7 @@ def throttle(candidates: DataFrame, *, window_seconds: int = 300) -> DataFrame:
     entry = F.struct(F.unix_micros("ts").alias("at"), "seq", "check_order", F.struct(*rest).alias("row"))
     folded = F.aggregate(
         F.sort_array(F.collect_list(entry)),
-        F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(F"array<struct<{_fields(candidates, rest)}>>" if False else _array_type(candidates, rest)).alias("kept")),
+        F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(_array_type(candidates, rest)).alias("kept")),
         lambda s, x: F.when(s["last"].isNull() | (x["at"] - s["last"] >= micros), F.struct(x["at"].alias("last"), F.concat(s["kept"], F.array(x["row"])).alias("kept"))).otherwise(s),
     )
     fired = runs.groupBy(*key, "_run").agg(folded.alias("f"))

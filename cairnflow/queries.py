@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import business, knowledge, signals
+
+QUERIES: dict = business.QUERIES | signals.QUERIES | knowledge.QUERIES
+ORACLES: dict[str, str] = business.ORACLES | signals.ORACLES | knowledge.ORACLES

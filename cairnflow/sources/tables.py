@@ -89,15 +89,17 @@ def audit_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice line items from lineitem, prices as decimal(12,4)."""
-    quantity = F.col("l_quantity").cast("decimal(12,4)")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    units = F.col("l_quantity").cast("long")
+    price = F.expr("(CAST(round(l_extendedprice * 100) AS BIGINT) * 200 + CAST(l_quantity AS BIGINT)) DIV (2 * CAST(l_quantity AS BIGINT))")  # half up, in ten-thousandths
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("invoice_id"),
         F.col("l_linenumber").alias("line_item_index"),
         F.col("l_suppkey").alias("supplier"),
         F.col("l_partkey").alias("cargo_type"),
-        quantity.alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(12,4)").alias("unit_price"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("total"),
+        units.cast("decimal(12,4)").alias("quantity"),
+        (price / 10000).cast("decimal(12,4)").alias("unit_price"),
+        (cents / 100).cast("decimal(12,2)").alias("total"),
         F.lit("EUR").alias("currency"),
     )
 
