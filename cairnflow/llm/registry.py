@@ -15,4 +15,13 @@ from .webp import op2_webp
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_webp, op3_suffix_dedup, op4_html_text, op5_quadratic, op6_hilbert, op7_boosted_rules, op8_packing, op9_warc, op10_simhash)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+        m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS last FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+            CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN last <> page_id THEN last END AS refers_to
+        FROM m
+    """,
+}
