@@ -17,26 +17,39 @@ SEED = 42
 MAX_BITS = 3
 #: Distinct fingerprints of one bucket that a task compares; larger buckets go to finer blocks.
 BUCKET_CAP = 16384
-
-
-def fingerprint(data: bytes, width: int = 3) -> int:
-    """64-bit SimHash over word shingles of the ASCII-lowered text; zero without words."""
+#: Near copies of the pipeline: words of a shingle, and the least Jaccard similarity of two texts' shingles as a fraction.
+NEAR_WIDTH = 5
+NEAR = (4, 5)
+#: Bits of the stage's first candidates.
+NEAR_BITS = 5
+#: Texts from which common shingles are told, and how many of these are known. Both only set an order that saves time.
+SAMPLE = 8000
+COMMON = 300_000
+
+
+def shingle_hashes(data: bytes, width: int = 3) -> np.ndarray:
+    """Hashes of the word shingles of the ASCII-lowered text, repeats and all; that of no words without any."""
     words = data.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    total = len(words) - width + 1
-    for low in range(0, total, 1 << 16):
-        high = min(total, low + (1 << 16))
-        spans = zip(starts[low:high], starts[low + width : high + width], strict=True)
-        hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in spans), np.uint64, high - low)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    digest, total = xxhash.xxh64_intdigest, len(words) - width + 1
+    return np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts[:total], starts[width:], strict=True)), np.uint64, total)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    counts = np.zeros(64, np.int64)
+    for low in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[low : low + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(data: bytes, width: int = 3) -> int:
+    """64-bit SimHash over word shingles of the ASCII-lowered text; zero without words."""
+    return simhash(shingle_hashes(data, width)) if data.split() else 0
 
 
 def with_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,12 +206,120 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, max_bits: int, cap: int
     return prints, nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
 
 
+def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several texts of a sample share, and their counts."""
+    rate = max(1, -(-docs.count() // SAMPLE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), NEAR_WIDTH)).view(np.int64))], names=["k"])
+
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(rate)) == 0).select(text_bytes())
+    seen = some.mapInArrow(run, "k long").groupBy("k").agg(F.count("*").alias("n")).filter("n > 2")
+    rows = seen.orderBy(F.col("n").desc(), "k").limit(COMMON).toArrow()
+    keys, counts = rows["k"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _near_keys(docs: DataFrame) -> DataFrame:
+    """(h, fp, n, keys) of every row: the shingles, n in all, and the first of them in one order of all shingles.
+
+    Texts of Jaccard t share t of the larger one's shingles, so they meet in one of its first
+    (1 - t) n + 1, in whatever order: common ones come last, so that few others meet there.
+    """
+    known, often = _common_shingles(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, keys = [], [], []
+            for x in batch.column(1):
+                hashes = shingle_hashes(x.as_py(), NEAR_WIDTH)
+                prints.append(simhash(hashes))
+                own = np.unique(hashes)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, often[at], 0)
+                first = len(own) - -(-NEAR[0] * len(own) // NEAR[1]) + 1
+                sizes.append(len(own))
+                keys.append(own[np.lexsort((own, rank))[:first]].view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "fp", "n", "keys"])
+
+    return docs.select(F.xxhash64("text").alias("h"), text_bytes()).mapInArrow(run, "h long, fp long, n long, keys array<long>")
+
+
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of hashes whose texts are near copies, by their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.unique(shingle_hashes(t.as_py(), NEAR_WIDTH)) for t in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(NEAR[1] * both >= NEAR[0] * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one, two = (texts.select(F.col("h").alias(c), F.col("data").alias(f"of_{c}")) for c in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def near_links(docs: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
+    """(node, root): hashes of texts that are near copies, by links, and the smallest of their component.
+
+    The first candidates are fingerprints within ``bits`` bits. Those of more bits meet in a
+    shared key; a key's two ends are candidates with all its texts as long as many pairs are
+    open, then all pairs of texts that are not yet of one component. Each is verified.
+    """
+    rows = cut(_near_keys(docs).dropDuplicates(["h"]), "simhash-keys")
+    per_print = rows.groupBy("fp").agg(F.min("h").alias("low"))
+    found = links(per_print.select("fp"), max_bits=bits).join(per_print.toDF("a", "x"), "a").join(per_print.toDF("b", "y"), "b").select("x", "y")
+    pairs = found.unionByName(rows.join(per_print, "fp").filter("h <> low").select(F.col("h").alias("x"), F.col("low").alias("y")))
+    keyed = rows.select("h", "n", F.explode("keys").alias("k"))
+    members = cut(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k"), "k"), "simhash-members")
+    edges, comp, tested, last = None, None, None, False
+    for turn in range(8):
+        if turn:
+            where = members.join(comp.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("c", F.coalesce("root", "h")).drop("root")
+            per = where.groupBy("k", "c").agg(F.count("*").alias("m")).groupBy("k").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"), F.count("*").alias("cs"))
+            open_keys = cut(per.filter("cs > 1"), "simhash-open")
+            total, size = open_keys.agg(F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("s")), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+            if not total:
+                break
+            last = turn == 7 or total <= 20 * size
+            where = where.join(open_keys.select("k"), "k")
+            if last:
+                one, two = (where.select("k", F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "xy")
+                pairs = one.join(two, "k").filter("x > y AND cx <> cy")
+            else:
+                salted = F.struct(F.xxhash64("h", F.lit(turn)), "h", "n", "c")
+                ends = where.groupBy("k").agg(F.array(F.min(salted), F.max(salted)).alias("e")).select("k", F.explode("e").alias("e")).select("k", F.col("e.h").alias("y"), F.col("e.n").alias("ny"), F.col("e.c").alias("cy"))
+                pairs = where.select("k", F.col("h").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")).join(ends, "k").filter("cx <> cy")
+            pairs = pairs.filter(f"{NEAR[1]} * least(nx, ny) >= {NEAR[0]} * greatest(nx, ny)").select("x", "y")
+        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+        texts = docs.select(F.xxhash64("text").alias("h"), text_bytes()).join(wanted, "h", "left_semi").dropDuplicates(["h"])
+        new = cut(_near(pairs, cut(texts, "simhash-texts")), "simhash-near")
+        edges = new if edges is None else edges.unionByName(new)
+        comp = components(edges)
+        if last:
+            break
+    return comp
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component, whole: that of the smallest id; null ids come last, then the smallest hash of the text counts."""
-    prints, rooted = _rooted(docs, "doc_id", "text", MAX_BITS, BUCKET_CAP)
+    """One row of each component of near copies, whole: that of the smallest id; null ids come last, then the smallest hash of the text counts."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
-    per_print = prints.groupBy("fp").agg(first)  # before the join, so that copies are one row in it
-    kept = per_print.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    per_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).groupBy("h").agg(first)  # before the join, so that copies are one row in it
+    roots = near_links(docs).select(F.col("node").alias("h"), "root")
+    kept = per_text.join(roots, "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first").alias("first"))
     own = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
     kept = kept.select(own(F.col("first.doc_id")).alias("_id"), F.col("first.h").alias("_h")).distinct()
     names = [f"_{i}" for i in range(len(docs.columns))]

@@ -80,3 +80,44 @@ def test_chain_of_links_settles(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in S.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100}
+
+
+def brute_near(texts):
+    """The smallest id of each component of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    words = {k: (t or "").lower().split() for k, t in texts.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in words.items()}
+    left, kept = set(texts), set()
+    while left:
+        todo = [min(left)]
+        kept.add(todo[0])
+        left.discard(todo[0])
+        while todo:
+            x = todo.pop()
+            near = {y for y in left if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])}
+            left -= near
+            todo += near
+    return kept
+
+
+@pytest.mark.parametrize("sample", [3, S.SAMPLE])
+def test_stage_drops_near_copies_of_many_bits(spark, monkeypatch, sample):
+    monkeypatch.setattr(S, "SAMPLE", sample)
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passage = [word() for _ in range(40)]
+    texts, bits = {}, []
+    for i in range(25):
+        base = [word() for _ in range(110)] + passage
+        texts[10 * i] = " ".join(base)
+        for j in range(1, 6):  # up to four edits stay above 0.8, five edits and more fall below
+            copy = list(base)
+            for e in range(j if i % 3 else 2 * j):
+                copy[7 + 12 * e] = word()
+            texts[10 * i + j] = " ".join(copy)
+            bits.append((S.fingerprint(texts[10 * i].encode()) ^ S.fingerprint(texts[10 * i + j].encode())).bit_count())
+    texts |= {900: None, 901: "", 902: "Three short words", 903: "three  SHORT words", 904: " ".join(passage)}
+    assert sum(b > 3 for b in bits) > 50
+    docs = spark.createDataFrame([(k, v, "en") for k, v in texts.items()] + [(0, texts[0], "en")], "doc_id long, text string, lang string").repartition(3)
+    got = S.dedup_stage(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(brute_near(texts))
+    assert all(r.text == texts[r.doc_id] for r in got)
