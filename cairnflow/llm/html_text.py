@@ -16,6 +16,8 @@ from .common import table
 WINDOW = 3
 #: Share of a line's characters within links from which it counts as blank.
 LINK_SHARE = 0.6
+#: Characters in a window from which a stretch of a page without articles is text by itself.
+DENSE = 86
 
 RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "select", "textarea", "button", "canvas", "audio", "video", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -29,6 +31,8 @@ SIDE_NAMES = {
     "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget",
 }
 KEEP = {"html", "body", "main"}
+#: Blocks of text, whose parent is the container that they lie in.
+TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "thead", "tbody", "tr", "td", "th"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -51,30 +55,34 @@ def _is_side(tag: str, raw: str, in_article: bool) -> bool:
     return bool(names & SIDE_NAMES) or "header" in names and not in_article and tag != "article"
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Lines (text, weight, in article) of a page without markup.
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """Lines (text, weight, in article, container) of a page without markup.
 
     A line is the text of a block; blank ones stand for what was cut out around articles.
-    Its weight is its length, none if links outside of an article make up most of it.
+    Its weight is its length, none if links outside of an article make up most of it. Its
+    container is the number of the element around its blocks of text, 0 for the page.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, side, article
-    side = article = link = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, side, article, container
+    side = article = link = made = 0
+
+    def inside() -> int:
+        return stack[-1][3] if stack else 0
 
     def end() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, 0 if not article and linked > LINK_SHARE * len(text) else len(text), article > 0))
+                lines.append((text, 0 if not article and linked > LINK_SHARE * len(text) else len(text), article > 0, inside()))
             parts.clear()
         linked = 0
 
     def cut() -> None:
         end()
-        lines.extend([("", 0, False)] * (0 if article else WINDOW))
+        lines.extend([("", 0, False, inside())] * (0 if article else WINDOW))
 
     at, size = 0, len(page)
     while at < size:
@@ -107,12 +115,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if tag in INLINE:
                 if tag == "a":
                     link += 1
-                    stack.append((tag, False, False))
+                    stack.append((tag, False, False, inside()))
                 elif m[3].strip() and _is_side(tag, m[3], article > 0):
-                    stack.append((tag, True, False))
+                    stack.append((tag, True, False, inside()))
                     side += 1
                 elif side:
-                    stack.append((tag, False, False))
+                    stack.append((tag, False, False, inside()))
                 continue
             if not side:
                 end()
@@ -123,7 +131,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "font") and not stack[-1][1]:
                     stack.pop()
             own = tag in ("article", "main") and not hides and not side
-            stack.append((tag, hides, own))
+            made += tag not in TEXT_BLOCKS
+            stack.append((tag, hides, own, inside() if tag in TEXT_BLOCKS or tag in ("html", "body") else made))
             side += hides
             article += own
         else:
@@ -133,7 +142,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 if tag == "p" and side and not any(t[0] == "p" for t in stack[max(i for i, t in enumerate(stack) if t[1]) :]):
                     continue
                 while stack:
-                    name, was_side, was_article = stack.pop()
+                    name, was_side, was_article, _ = stack.pop()
                     side -= was_side
                     if was_article:
                         end()
@@ -153,25 +162,30 @@ def main_text(page: str, window: int = WINDOW) -> str:
     The distribution gives each line the weight of itself and the lines after it, ``window``
     in all. It surges where it leaves zero and dives where it returns to it; lines without
     weight between the two points stay. Lines outside of articles weigh nothing if the page
-    has articles, and the text is all of their stretches; else it is the heaviest stretch.
+    has articles, and the text is all of their stretches; else it is the heaviest stretch,
+    those in the container of its heaviest line, and those with ``DENSE`` characters in a window.
     """
     lines = lines_of(page)
-    marked = any(inside for _, _, inside in lines)
+    marked = any(line[2] for line in lines)
     if marked:
-        lines = [line if line[2] else ("", 0, False) for line in lines]
-    weights = [weight for _, weight, _ in lines] + [0] * window
-    stretches: list[tuple[int, int, int]] = []
-    block, surge = sum(weights[: window - 1]), None
+        lines = [line if line[2] else ("", 0, False, 0) for line in lines]
+    weights = [line[1] for line in lines] + [0] * window
+    stretches: list[tuple[int, int, int, int]] = []
+    block, surge, peak = sum(weights[: window - 1]), None, 0
     for i in range(len(lines) + 1):
         block += weights[i + window - 1] if i < len(lines) else 0
         if block and surge is None:
-            surge = i
+            surge, peak = i, 0
         elif not block and surge is not None:
-            stretches.append((surge, i, sum(weights[surge:i])))
+            stretches.append((surge, i, sum(weights[surge:i]), peak))
             surge = None
+        peak = max(peak, block)
         block -= weights[i]
     best = max(stretches, key=lambda s: s[2], default=None)
-    return "\n".join(text for s in stretches if marked or s is best for text, _, _ in lines[s[0] : s[1]] if text)
+    if best and not marked:
+        home = max(lines[best[0] : best[1]], key=lambda line: line[1])[3]
+        stretches = [s for s in stretches if s is best or s[3] >= DENSE or any(line[1] and line[3] == home for line in lines[s[0] : s[1]])]
+    return "\n".join(line[0] for s in stretches for line in lines[s[0] : s[1]] if line[0])
 
 
 def with_main_text(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

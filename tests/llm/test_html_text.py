@@ -39,3 +39,12 @@ def test_frame_of_pages(spark):
     got = with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, k1 int")).collect()
     assert sorted((r.page_id or 0, r.k1, r.text, r.n_chars) for r in got if r.k1 is not None) == [(0, 0, "", 0), (1, 5, "", 0), (3, 1, "é😀", 2), (3, 1, "é😀", 2)]
     assert with_main_text(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+def test_adverts_within_a_page_without_article():
+    long = ("Long text here. " * 20).strip()
+    advert = '<div class="ad"><p>Buy</p></div>'
+    assert main_text(FRAME % f"<div><p>{long}</p>{advert}<p>more</p><aside>x</aside><h2>Part</h2><p>{long}</p></div>") == f"{long}\nmore\nPart\n{long}"
+    assert main_text(FRAME % f"<div><section><p>{long}</p></section>{advert}<section><p>{long} Two.</p></section></div>") == f"{long}\n{long} Two."
+    assert main_text(f"<body><p>One.</p>{advert}<p>Two.</p></body>") == "One.\nTwo."
+    assert main_text(FRAME % f"<div>Little chrome</div>{advert}<div><p>{long}</p></div>") == long
