@@ -1,8 +1,8 @@
 """Cold-chain and speed rules over telemetry, in batch form.
 
 Histories are window frames of bounded length, so a truck's readings stream through one
-sort and are never collected. The throttle is a fold over runs of alerts that lie closer
-than the throttle window; runs are independent of one another.
+sort and are never collected. The throttle walks the sorted alerts of a key with one time
+in hand.
 """
 
 from __future__ import annotations
@@ -94,30 +94,33 @@ def speed_candidates(pings: DataFrame, *, max_speed: float = 120.0) -> DataFrame
 def throttle(candidates: DataFrame, *, window_seconds: int = 300) -> DataFrame:
     """Drop alerts less than ``window_seconds`` after the last *fired* one of their (truck, type).
 
-    Suppressed alerts do not extend the window. An alert that follows its predecessor by
-    the window or more always fires, so a key falls into independent runs, each folded
-    alone; a key of any size is one sort and many small folds.
+    Suppressed alerts do not extend the window. A task walks the sorted alerts of its keys
+    with the time of the last fired one, whatever their number.
     """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
     if window_seconds <= 0:
         return candidates
     key, micros = ["truck_id", "alert_type"], window_seconds * 1_000_000
-    order = Window.partitionBy(*key).orderBy("ts", "seq", "check_order")
-    at = F.unix_micros("ts")
-    starts = F.when(at - F.lag(at).over(order) < micros, 0).otherwise(1)
-    rest = [c for c in candidates.columns if c not in key]
-    runs = candidates.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(order))
-    entry = F.struct(F.unix_micros("ts").alias("at"), "seq", "check_order", F.struct(*rest).alias("row"))
-    folded = F.aggregate(
-        F.sort_array(F.collect_list(entry)),
-        F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(_array_type(candidates, rest)).alias("kept")),
-        lambda s, x: F.when(s["last"].isNull() | (x["at"] - s["last"] >= micros), F.struct(x["at"].alias("last"), F.concat(s["kept"], F.array(x["row"])).alias("kept"))).otherwise(s),
-    )
-    fired = runs.groupBy(*key, "_run").agg(folded.alias("f"))
-    return fired.select(*key, F.explode("f.kept").alias("r")).select(*key, *(f"r.{c}" for c in rest)).select(*candidates.columns)
-
-
-def _array_type(df: DataFrame, names: list[str]) -> str:
-    return f"array<struct<{', '.join(f'`{n}`: {df.schema[n].dataType.simpleString()}' for n in names)}>>"
+    names = candidates.columns
+    rest = [c for c in names if c not in (*key, "ts", "seq", "check_order")]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, None
+        for batch in batches:
+            fired = []
+            for *now, at in zip(*(batch.column(c).to_pylist() for c in (*key, "_at")), strict=True):
+                if now != own:
+                    own, last = now, None
+                fires = at is None or last is None or at - last >= micros
+                fired.append(fires)
+                last = at if fires and at is not None else last
+            yield batch.select(names).filter(pa.array(fired, pa.bool_()))
+
+    rows = candidates.withColumn("_at", F.unix_micros("ts")).repartition(*key).sortWithinPartitions(*key, "_at", "seq", "check_order", *rest)
+    return rows.mapInArrow(walk, candidates.schema)
 
 
 def with_staleness(rows: DataFrame, now: Column, *, seconds: int = 30) -> DataFrame:

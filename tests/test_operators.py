@@ -147,3 +147,16 @@ def test_sources(spark, tmp_path):
     good, bad = files.split_valid(spark.createDataFrame([(1,), (9,), (None,)], "level int"), {"level": F.col("level").between(1, 4)})
     assert good.count() == 1 and bad.count() == 2
     assert files.new_rows(spark.createDataFrame([(1,), (2,), (2,)], "id int"), spark.createDataFrame([(1,)], "id int"), ["id"]).count() == 1
+
+
+def test_throttle_collects_no_steady_run(spark):
+    rows = spark.range(20000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 7)).alias("truck_id"), F.lit("speed_anomaly").alias("alert_type"), F.timestamp_seconds(F.col("id") * 10).alias("ts"), F.col("id").alias("seq"), F.lit(0).alias("check_order"))
+    found = telemetry.throttle(rows)
+    want, last = set(), {}
+    for i in range(20000):
+        truck = "hot" if i % 3 == 0 else f"t{i % 7}"
+        if i * 10 - last.get(truck, -300) >= 300:
+            want.add(i)
+            last[truck] = i * 10
+    assert {r.seq for r in found.collect()} == want
+    assert "collect_list" not in found._jdf.queryExecution().toString()
