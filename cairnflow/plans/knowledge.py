@@ -92,7 +92,7 @@ def provider_benchmark(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return quality.bootstrap_ci(S.table(spark, d, "labels").select("doc_id", F.col("quality").alias("score")), resamples=200)
+    return quality.bootstrap_ci(S.table(spark, d, "labels").select("doc_id", F.col("quality").alias("score")))
 
 
 def pii_flags(spark: SparkSession, d: str) -> DataFrame:

@@ -160,3 +160,12 @@ def test_throttle_collects_no_steady_run(spark):
             last[truck] = i * 10
     assert {r.seq for r in found.collect()} == want
     assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_bootstrap_query_takes_a_thousand_resamples(spark):
+    from cairnflow.plans import knowledge
+
+    folder = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("quality").alias("score"))
+    got, few = knowledge.bootstrap_ci(spark, folder).collect(), quality.bootstrap_ci(labels, resamples=200).collect()
+    assert got == quality.bootstrap_ci(labels, resamples=1000).collect() != few
