@@ -1,31 +1,46 @@
-"""Packing documents into token sequences beside their lexical neighbours."""
+"""Packing documents into token sequences beside their lexical neighbours.
+
+Documents are tokenized once. Document frequencies and the mean length are those of all
+documents. A tree of principal directions, fitted on a bounded sample, gives each document
+a place among lexically similar ones; runs in that order are shards. Each shard's BM25 index
+is asked for the unused neighbours of every seed, by all of the seed's terms.
+"""
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import cut, table, text_bytes
 
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Text bytes and documents of one index shard.
-SHARD_BYTES = 8 << 20
-SHARD_DOCS = 20000
-QUERY_TERMS = 32
-NEIGHBOURS = 64
-#: Words whose ids a task remembers, those it encodes at once, and text bytes that are split into words at once.
+#: Token ids of one index shard, and what a document counts for besides its own: the bound of a task's memory.
+SHARD_TOKENS = 3 << 20
+DOCUMENT_COST = 32
+#: Shards of one task.
+SHARDS_A_TASK = 2
+#: Documents that the routing tree is fitted on (about), its depth, and dimensions of its vectors.
+SAMPLE = 8192
+DEPTH = 10
+DIMENSIONS = 32
+SEED = 17
+#: Words whose ids a Python worker remembers, those it encodes at once, and text bytes that are split into words at once.
 WORD_CACHE = 1_000_000
 NEW_WORDS = 4000
 ENCODE_BYTES = 1 << 18
+_TAIL = b".,;:!?"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -38,18 +53,25 @@ class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The vocabulary's pre-tokenizer drops white space and no token crosses it, so the ids of
-    a text are those of its words in a row; each different word is encoded once.
+    a text are those of its words in a row; each different word is encoded once. Its
+    normalizer lower-cases, so capitals of ASCII may go before, unless marks that compose
+    with them or a special token are in the text.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        top = max(vocabulary.values()) + 1
+        self.kind = np.dtype("<u2" if top <= 1 << 16 else "<u4")
+        self.closes = np.zeros(top, bool)  # tokens that end a piece of a word
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.end = np.array([end_id], self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, with the end id."""
+        """Ids of each text as bytes of ``kind``, with the end id."""
         out, held, size = [], [], 0
         for text in texts:
             held.append(text)
@@ -60,80 +82,178 @@ class WordTokenizer:
         return out + self._encode(held)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         found = [list(map(self.known.get, words)) for words in split]
         new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
         if new:
             if len(self.known) + len(new) > WORD_CACHE:
                 self.known.clear()
                 new = {w for words in split for w in words}
-            new = list(new)
-            for low in range(0, len(new), NEW_WORDS):
-                self._learn(new[low : low + NEW_WORDS])
+            self._learn(new)
             found = [ids if None not in ids else list(map(self.known.__getitem__, words)) for words, ids in zip(split, found, strict=True)]
         return [b"".join(ids) + self.end for ids in found]
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Encode words in one go, a space apart, and deal the ids out by where they begin."""
-        text = [w.decode() for w in new]
-        found = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
-        begin = np.fromiter(chain.from_iterable(found.offsets), np.int64)[::2]
-        cuts = np.searchsorted(begin, np.cumsum([len(w) + 1 for w in text]), side="left").tolist()
-        ids, first = np.array(found.ids, "<u4").tobytes(), 0
-        for word, last in zip(new, cuts, strict=True):
-            self.known[word] = ids[4 * first : 4 * last]
+    def _learn(self, new: set[bytes]) -> None:
+        """Encode words; stops after a letter or digit are a piece of their own, so what is before is looked up alone."""
+        parted, plain, other = [], set(), set()
+        for word in new:
+            core = word.rstrip(_TAIL)
+            if len(core) < len(word) and core and _apart(core):
+                tail = word[len(core) :]
+                parted.append((word, core, tail))
+                for part in (core, tail):
+                    if part not in self.known:
+                        (plain if part.isalpha() or part.decode().isalpha() else other).add(part)
+            else:
+                (plain if word.isalpha() or word.decode().isalpha() else other).add(word)
+        for words, fast in ((list(plain), True), (list(other), False)):
+            for low in range(0, len(words), NEW_WORDS):
+                self._learn_some(words[low : low + NEW_WORDS], fast)
+        for word, core, tail in parted:
+            self.known[word] = self.known[core] + self.known[tail]
+
+    def _learn_some(self, words: list[bytes], fast: bool) -> None:
+        """Encode words in one go, a space apart; those of letters alone are one piece each, others are told by where their ids begin."""
+        text = [w.decode() for w in words]
+        joined = " ".join(text)
+        if fast:
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(self.closes[ids]) + 1
+        if not fast or len(cuts) != len(words) or cuts[-1] != len(ids):
+            found = self.tokenizer.encode(joined, add_special_tokens=False)
+            begin = np.fromiter(chain.from_iterable(found.offsets), np.int64)[::2]
+            ids = np.array(found.ids, self.kind)
+            cuts = np.searchsorted(begin, np.cumsum([len(w) + 1 for w in text]), side="left")
+        size, data, first = self.kind.itemsize, ids.tobytes(), 0
+        for word, last in zip(words, cuts.tolist(), strict=True):
+            self.known[word] = data[size * first : size * last]
             first = last
 
 
+def _apart(core: bytes) -> bool:
+    """Whether a stop after ``core`` is a piece of its own: after a letter or digit that normalizing leaves as it is."""
+    if core[-1] < 128:
+        return core[-1:].isalnum()
+    last = core.decode()[-1]
+    return last.isalpha() and last.lower() == last and unicodedata.is_normalized("NFC", last)
+
+
 @cache
 def shared_tokenizer(path: str) -> WordTokenizer:
     """One for all tasks of a Python worker, so that words are learned once there."""
     return WordTokenizer(path)
 
 
+# ---- places of documents among similar ones
+
+
+@cache
+def _directions(terms: int, seed: int = SEED) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((terms, DIMENSIONS), np.float32)
+
+
+def vectors(docs: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """A random projection of each document's weighted terms, of length 1 (0 without any weight)."""
+    own = [np.unique(x, return_counts=True) for x in docs]
+    out, low = np.zeros((len(docs), DIMENSIONS), np.float32), 0
+    sizes = np.cumsum([len(t) for t, _ in own])
+    while low < len(docs):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + (1 << 17), side="right")))
+        term = np.concatenate([t for t, _ in own[low:high]]).astype(np.int64)
+        weight = idf[term] * (1 + np.log(np.concatenate([c for _, c in own[low:high]]).astype(np.float32)))
+        starts = np.cumsum([0] + [len(t) for t, _ in own[low : high - 1]])
+        out[low:high] = np.add.reduceat(_directions(len(idf))[term] * weight[:, None].astype(np.float32), starts, axis=0)
+        low = high
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+@dataclass
+class Tree:
+    """Nodes in arrays: a direction, where it is cut, the children, and the number of a leaf (its children are itself)."""
+
+    direction: np.ndarray
+    cut: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    leaf: np.ndarray
+    depth: int
+
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each row and its place along the leaf's direction."""
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            node = np.where(np.einsum("ij,ij->i", x, self.direction[node]) <= self.cut[node], self.low[node], self.high[node])
+        return self.leaf[node], np.einsum("ij,ij->i", x, self.direction[node]).astype(np.float64)
+
+
+def fit_tree(x: np.ndarray, depth: int = DEPTH, least: int = 8) -> Tree:
+    """Halve the rows at the median along their main direction, again and again; leaves are numbered from left to right."""
+    nodes: list[list] = []
+    leaves = 0
+
+    def grow(rows: np.ndarray, level: int, above: np.ndarray) -> int:
+        nonlocal leaves
+        at = len(nodes)
+        own = x[rows] - x[rows].mean(axis=0) if len(rows) else x[rows]
+        way = np.linalg.eigh(own.T @ own)[1][:, -1].astype(np.float32) if len(rows) > 1 else above
+        way = way * (1 if way[np.abs(way).argmax()] > 0 else -1)
+        nodes.append([way, np.inf, at, at, 0])
+        if level < depth and len(rows) >= 2 * least:
+            along = x[rows] @ way
+            middle = float(np.median(along))
+            side = along <= middle
+            if 0 < side.sum() < len(rows):
+                nodes[at][1] = middle
+                nodes[at][2] = grow(rows[side], level + 1, way)
+                nodes[at][3] = grow(rows[~side], level + 1, way)
+                return at
+        nodes[at][4] = leaves
+        leaves += 1
+        return at
+
+    grow(np.arange(len(x)), 0, np.zeros(x.shape[1], np.float32))
+    way, at, low, high, leaf = zip(*nodes, strict=True)
+    return Tree(np.array(way, np.float32), np.array(at), np.array(low), np.array(high), np.array(leaf), depth)
+
+
+# ---- index and packing of a shard
+
+
+def idf_of(df: np.ndarray, documents: int) -> np.ndarray:
+    return np.log1p((documents - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
 class Index:
-    """A BM25 inverted index over the token ids of a shard's items."""
+    """A BM25 inverted index over a shard's documents; ``idf`` by term and ``mean`` length are those of the whole corpus."""
 
-    def __init__(self, items: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
         own = [np.unique(x, return_counts=True) for x in items]
-        lengths = np.array([len(t) for t, _ in own])
-        term = np.concatenate([t.astype(np.int32) for t, _ in own])
+        self.ends = np.cumsum([0] + [len(t) for t, _ in own])
+        term = np.concatenate([t for t, _ in own])
         tf = np.concatenate([c.astype(np.float32) for _, c in own])
         del own
-        item = np.repeat(np.arange(len(items), dtype=np.int32), lengths)
+        item = np.repeat(np.arange(len(items), dtype=np.int32), np.diff(self.ends))
         sizes = np.array([len(x) for x in items], np.float32)
-        order = np.argsort(term, kind="stable").astype(np.int32)
-        self.terms, self.first, df = np.unique(term[order], return_index=True, return_counts=True)
-        self.after = self.first + df
-        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = (k1 * (1 - b + b * sizes / sizes.mean())).astype(np.float32)
-        self.item = item[order]
-        self.weight = np.repeat(idf, df) * tf[order] * np.float32(k1 + 1) / (tf[order] + norm[self.item])
-        self.n = len(items)
-        del item, order
-        slot = np.searchsorted(self.terms, term).astype(np.int32)
-        rank = np.where(df[slot] > 1, tf * idf[slot], np.float32(-1))
-        ends = np.cumsum(lengths)
-        self.query: list[np.ndarray] = []
-        for low, high in zip(np.append(0, ends[:-1]), ends, strict=True):
-            best = np.argsort(-rank[low:high], kind="stable")[:QUERY_TERMS]
-            self.query.append(slot[low:high][best[rank[low:high][best] > 0]])
-
-    def neighbours(self, seed: int, unused: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
-        """Unused items by BM25 score of the seed's leading terms, best first, those that share none left out."""
-        terms = self.query[seed]
-        if not len(terms):
-            return np.zeros(0, np.int64)
-        parts = [slice(a, b) for a, b in zip(self.first[terms], self.after[terms], strict=True)]
-        score = np.bincount(np.concatenate([self.item[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
+        norm = (k1 * (1 - b + b * sizes / max(mean, 1.0))).astype(np.float32)
+        weight = idf[term] * tf * np.float32(k1 + 1) / (tf + norm[item])
+        order = np.argsort(term, kind="stable")
+        names, first, df = np.unique(term[order], return_index=True, return_counts=True)
+        self.first, self.after = first, first + df
+        self.slot = np.searchsorted(names, term).astype(np.int32)
+        self.item, self.weight, self.n = item[order], weight[order], len(items)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents by BM25 score of the seed's terms, all of them, best first; those that share none are left out."""
+        terms = self.slot[self.ends[seed] : self.ends[seed + 1]]
+        first, sizes = self.first[terms], self.after[terms] - self.first[terms]
+        at = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        score = np.bincount(self.item[at], self.weight[at], self.n)
         score[~unused] = 0
         found = np.flatnonzero(score > 0)
-        if len(found) > most:
-            found = found[np.argpartition(-score[found], most - 1)[:most]]
         return found[np.lexsort((found, -score[found]))]
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length): every id once, all sequences full but those of powers of two.
 
     What a document has over whole windows is cut off first. Each seed's window is then
@@ -146,7 +266,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
         whole = len(ids) // window
         out += [[(d, k * window, window)] for k in range(whole)]
         start[d], left[d] = whole * window, len(ids) - whole * window
-    index = Index([ids[s:] if len(ids) > s else ids[-1:] for ids, s in zip(docs, start, strict=True)])
+    index = Index([ids[s:] if len(ids) > s else ids[-1:] for ids, s in zip(docs, start, strict=True)], idf, mean)
     unused = left > 0
     queue, at, seed = np.argsort(-left, kind="stable"), 0, -1
     while True:
@@ -159,20 +279,22 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
         row = [(seed, int(start[seed]), int(left[seed]))]
         room = window - int(left[seed])
         unused[seed] = False
-        near = index.neighbours(seed, unused) if room else []
-        seed = -1
-        for d in near:
-            if left[d] <= room:
-                row.append((int(d), int(start[d]), int(left[d])))
-                room -= int(left[d])
-                unused[d] = False
-            if not room:
+        near = index.neighbours(seed, unused) if room else np.zeros(0, np.int64)
+        seed, k = -1, 0
+        while room and k < len(near):
+            fits = np.flatnonzero(left[near[k:]] <= room)
+            if not len(fits):
                 break
-        spare = [int(d) for d in near if unused[d]]
+            k += int(fits[0])
+            d = int(near[k])
+            row.append((d, int(start[d]), int(left[d])))
+            room -= int(left[d])
+            unused[d] = False
+            k += 1
+        spare = iter(near[unused[near]].tolist()) if room else iter(())
         while room:
-            if spare:
-                d = spare.pop(0)
-            else:
+            d = next(spare, -1)
+            if d < 0:
                 while at < len(queue) and not unused[queue[at]]:
                     at += 1
                 if at == len(queue):
@@ -211,30 +333,103 @@ def _powers_of_two(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
     return out
 
 
-def pack(docs: DataFrame, *, window: int = WINDOW, tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES, ids: bool = False) -> DataFrame:
+# ---- the corpus
+
+
+def _arrays(column: pa.Array, kind: np.dtype) -> list[np.ndarray]:
+    """Ids of each value of a binary column."""
+    ends = np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_binary(column.type) else np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    return [data[a:b].view(kind) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _frequencies(tokens: DataFrame, terms: int, kind: np.dtype) -> tuple[np.ndarray, int, int]:
+    """Documents that have each term, and documents and ids in all; a row for each term of the vocabulary reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, ids = np.zeros(terms, np.int64), 0, 0
+        for batch in batches:
+            own = _arrays(batch.column(0), kind)
+            for x in own:
+                df[np.unique(x)] += 1
+                ids += len(x)
+            n += len(own)
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, [-1, -2])), pa.array(np.append(df[found], [n, ids]))], names=["term", "n"])
+
+    rows = tokens.select("tokens").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
+    df = np.zeros(terms, np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term == -1].sum()), int(n[term == -2].sum())
+
+
+def routing_tree(docs: DataFrame, path: str, *, sample: int = SAMPLE) -> tuple[Tree, np.ndarray]:
+    """The tree and the term weights that its vectors take, fitted on about ``sample`` documents picked by hash."""
+    terms, kind = len(shared_tokenizer(path).closes), shared_tokenizer(path).kind
+    rate = max(1, -(-docs.count() // sample))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared_tokenizer(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(words.encode([x.as_py() for x in batch.column(0)]), pa.binary())], names=["tokens"])
+
+    picked = docs.select(text_bytes(), "doc_id").filter(F.pmod(F.xxhash64("doc_id", "data"), F.lit(rate)) == 0).select("data")
+    tokens = cut(picked.mapInArrow(code, "tokens binary"), "packing-sample")
+    df, n, _ = _frequencies(tokens, terms, kind)
+    weights = idf_of(df, n)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = vectors(_arrays(batch.column(0), kind), weights)
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float32()))], names=["v"])
+
+    rows = tokens.mapInArrow(project, "v array<float>").toArrow()["v"].to_pylist()
+    x = np.array(rows, np.float32).reshape(-1, DIMENSIONS)
+    return fit_tree(x[np.lexsort(x.T)]), weights
+
+
+def pack(docs: DataFrame, *, window: int = WINDOW, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, sample: int = SAMPLE, ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    Shards are dealt by hash and cut at ``shard_bytes`` (a longer text alone), so any number of
-    equal rows is split. A null or empty text is the end id alone; null and repeated ids are
-    documents of their own. Other columns are ignored.
+    Shards are runs of similar documents cut at ``shard_tokens``, so any number of equal rows
+    is split. A null or empty text is the end id alone; null and repeated ids are documents
+    of their own. Ids are taken as long integers. Other columns are ignored.
     """
     path = tokenizer or tokenizer_path()
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    shards = max(1, -(-int(total) // shard_bytes))
+    terms, kind = len(shared_tokenizer(path).closes), shared_tokenizer(path).kind
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tree, weights = routing_tree(docs, path, sample=sample)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared_tokenizer(path)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                coded = words.encode([x.as_py() for x in part.column(1)])
+                leaf, place = tree.places(vectors([np.frombuffer(c, kind) for c in coded], weights))
+                columns = [part.column(0), pa.array(coded, pa.binary()), pa.array(leaf.astype(np.int32)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "leaf", "place"])
+
+    routed = docs.select("doc_id", text_bytes()).mapInArrow(code, "doc_id long, tokens binary, leaf int, place double")
+    tokens = cut(routed, "packing-tokens")
+    df, documents, total = _frequencies(tokens, terms, kind)
+    idf, mean = idf_of(df, documents), total / max(1, documents)
+
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 8 if ids else 7]
     kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())]
 
-    def solve(words: WordTokenizer, shard: int, first: int, rows: list[tuple]) -> tuple[int, Iterator[pa.RecordBatch]]:
-        coded = [np.frombuffer(b, "<u4") for b in words.encode([t for _, t in rows])]
-        sequences = pack_shard(coded, window)
+    def solve(first: int, own: list[int | None], coded: list[bytes]) -> tuple[int, Iterator[pa.RecordBatch]]:
+        arrays = [np.frombuffer(c, kind) for c in coded]
+        sequences = pack_shard(arrays, idf, mean, window)
 
         def batches() -> Iterator[pa.RecordBatch]:
             out: list[list] = [[] for _ in names]
             for k, pieces in enumerate(sequences):
                 offset = 0
                 for d, s, n in pieces:
-                    part = coded[d][s : s + n]
-                    row = (rows[d][0], s, n, zlib.crc32(part), len(coded[d]), (shard << 32) + first + k, offset, part.astype(np.int32) if ids else None)
+                    part = arrays[d][s : s + n]
+                    row = (own[d], s, n, zlib.crc32(part.astype("<u4")), len(arrays[d]), first + k, offset, part.astype(np.int32) if ids else None)
                     for column, value in zip(out, row, strict=False):
                         column.append(value)
                     offset += n
@@ -246,25 +441,26 @@ def pack(docs: DataFrame, *, window: int = WINDOW, tokenizer: str | None = None,
         return first + len(sequences), batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size, own, first = shared_tokenizer(path), [], 0, None, 0
+        own, coded, size, first = [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for shard, doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = data.as_py()
-                if held and (shard != own or size + len(data) > shard_bytes * 5 // 4 or len(held) >= SHARD_DOCS):
-                    first, made = solve(words, own, first, held)
+                cost = len(data) // kind.itemsize + DOCUMENT_COST
+                if own and size + cost > shard_tokens:
+                    first, made = solve(first, own, coded)
                     yield from made
-                    held, size = [], 0
-                if shard != own:
-                    own, first = shard, 0
-                held.append((doc_id, data))
-                size += len(data)
-        if held:
-            yield from solve(words, own, first, held)[1]
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    own = own.select(F.pmod(F.xxhash64("doc_id", "data"), F.lit(shards)).alias("shard"), "doc_id", "data")
+                    own, coded, size = [], [], 0
+                own.append(doc_id)
+                coded.append(data)
+                size += cost
+        if own:
+            yield from solve(first, own, coded)[1]
+
+    tasks = max(1, -(-(total + DOCUMENT_COST * documents) // (SHARDS_A_TASK * shard_tokens)))
+    order = ["leaf", "place", "h", "doc_id"]
+    dealt = tokens.withColumn("h", F.xxhash64("doc_id", "tokens")).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     schema = ", ".join(f"{n} long" for n in names[:7]) + (", ids array<int>" if ids else "")
-    return own.repartition("shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("data")).mapInArrow(run, schema)
+    return dealt.select("doc_id", "tokens").mapInArrow(run, schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,5 +468,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their ids."""
+    """The pieces of all documents, with their ids; nulls, empty texts and repeated rows as in :func:`pack`."""
     return pack(docs, ids=True)
