@@ -14,10 +14,10 @@ from .common import table
 
 #: Lines of a sliding window.
 WINDOW = 3
-#: Share of a line's characters within links from which it counts as blank.
-LINK_SHARE = 0.6
-#: Characters in a window from which a stretch of a page without articles is text by itself.
+#: Weight in a window from which a stretch is text by itself.
 DENSE = 86
+#: What a character outside of articles weighs on a page with articles.
+OUTSIDE = 0.1
 
 RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "select", "textarea", "button", "canvas", "audio", "video", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -30,6 +30,8 @@ SIDE_NAMES = {
     "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply",
     "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget",
 }
+#: Words that say nothing beside those: a name of other words too, as in share-price, is no side name on a block of text or in an article.
+NEUTRAL = {"area", "bar", "block", "box", "button", "buttons", "container", "content", "inner", "item", "items", "links", "list", "main", "outer", "page", "panel", "post", "posts", "section", "site", "slot", "top", "unit", "wrap", "wrapper"}
 KEEP = {"html", "body", "main"}
 #: Blocks of text, whose parent is the container that they lie in.
 TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "thead", "tbody", "tr", "td", "th"}
@@ -51,18 +53,22 @@ def _is_side(tag: str, raw: str, in_article: bool) -> bool:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
     if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")) or found.get("role", "").lower() in SIDE_ROLES:
         return True
-    names = {w.lower() for k in ("class", "id") for w in _NAME.findall(found.get(k, ""))}
-    return bool(names & SIDE_NAMES) or "header" in names and not in_article and tag != "article"
+    names = [[w.lower() for w in _NAME.findall(name)] for k in ("class", "id") for name in found.get(k, "").split()]
+    if in_article or tag in TEXT_BLOCKS:
+        return any(SIDE_NAMES & set(n) and all(w in SIDE_NAMES or w in NEUTRAL or w.isdigit() for w in n) for n in names)
+    words = {w for n in names for w in n}
+    return bool(words & SIDE_NAMES) or "header" in words and tag != "article"
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """Lines (text, weight, in article, container) of a page without markup.
+def lines_of(page: str) -> list[tuple[str, float, bool, int]]:
+    """Lines (text, weight, in article, container) of a page without markup and the frame's elements.
 
-    A line is the text of a block; blank ones stand for what was cut out around articles.
-    Its weight is its length, none if links outside of an article make up most of it. Its
-    container is the number of the element around its blocks of text, 0 for the page.
+    A line is the text of a block; blank ones stand for what was cut out, and for the rim of
+    an article. It weighs its characters outside of links, all of them in an article, and a
+    tenth outside of articles if the page has any. Its container is the number of the
+    element around its blocks of text, 0 for the page.
     """
-    lines: list[tuple[str, int, bool, int]] = []
+    lines: list[tuple[str, float, bool, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool, int]] = []  # tag, side, article, container
@@ -76,7 +82,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, 0 if not article and linked > LINK_SHARE * len(text) else len(text), article > 0, inside()))
+                lines.append((text, len(text) if article else max(0, len(text) - linked), article > 0, inside()))
             parts.clear()
         linked = 0
 
@@ -131,6 +137,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "font") and not stack[-1][1]:
                     stack.pop()
             own = tag in ("article", "main") and not hides and not side
+            if own:
+                cut()
             made += tag not in TEXT_BLOCKS
             stack.append((tag, hides, own, inside() if tag in TEXT_BLOCKS or tag in ("html", "body") else made))
             side += hides
@@ -147,52 +155,64 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                     if was_article:
                         end()
                     article -= was_article
+                    if was_article:
+                        cut()
                     link -= name == "a" and link > 0
                     if name == tag:
                         break
                 if not side and tag not in INLINE:
                     parts.append("")
     end()
+    if any(line[2] for line in lines):
+        return [line if line[2] else (line[0], OUTSIDE * line[1], False, line[3]) for line in lines]
     return lines
 
 
-def main_text(page: str, window: int = WINDOW) -> str:
-    """The text between surge and dive points of the distribution, in lines; empty without any.
+def stretches(weights: list[float], window: int) -> list[tuple[int, int, float]]:
+    """(surge, dive, peak): where the sum of the ``window`` lines from a line on leaves zero and returns to it, and its most between.
 
-    The distribution gives each line the weight of itself and the lines after it, ``window``
-    in all. It surges where it leaves zero and dives where it returns to it; lines without
-    weight between the two points stay. Lines outside of articles weigh nothing if the page
-    has articles, and the text is all of their stretches; else it is the heaviest stretch,
-    those in the container of its heaviest line, and those with ``DENSE`` characters in a window.
+    A stretch begins with its first line of any weight.
     """
-    lines = lines_of(page)
-    marked = any(line[2] for line in lines)
-    if marked:
-        lines = [line if line[2] else ("", 0, False, 0) for line in lines]
-    weights = [line[1] for line in lines] + [0] * window
-    stretches: list[tuple[int, int, int, int]] = []
-    block, surge, peak = sum(weights[: window - 1]), None, 0
-    for i in range(len(lines) + 1):
-        block += weights[i + window - 1] if i < len(lines) else 0
+    out: list[tuple[int, int, float]] = []
+    weights = [*weights, *[0] * window]
+    surge, peak = None, 0.0
+    for i in range(len(weights) - window + 1):
+        block = sum(weights[i : i + window])
         if block and surge is None:
-            surge, peak = i, 0
+            if not weights[i]:
+                continue
+            surge, peak = i, 0.0
         elif not block and surge is not None:
-            stretches.append((surge, i, sum(weights[surge:i]), peak))
+            out.append((surge, i, peak))
             surge = None
         peak = max(peak, block)
-        block -= weights[i]
-    best = max(stretches, key=lambda s: s[2], default=None)
-    if best and not marked:
-        home = max(lines[best[0] : best[1]], key=lambda line: line[1])[3]
-        stretches = [s for s in stretches if s is best or s[3] >= DENSE or any(line[1] and line[3] == home for line in lines[s[0] : s[1]])]
-    return "\n".join(line[0] for s in stretches for line in lines[s[0] : s[1]] if line[0])
+    return out
+
+
+def main_text(page: str, window: int = WINDOW) -> str:
+    """The text between surge and dive points of the distribution, in lines; empty without any.
+
+    The distribution gives each line the weight of itself and the lines after it, ``window``
+    in all. Every stretch that reaches ``DENSE`` is text; else it must be the heaviest, the
+    earlier of equal ones, or hold lines of an article, or without any of the heaviest line's container.
+    Lines without weight between surge and dive stay.
+    """
+    lines = lines_of(page)
+    found = stretches([line[1] for line in lines], window)
+    if not found:
+        return ""
+    best = max(found, key=lambda s: (any(line[2] for line in lines[s[0] : s[1]]), sum(line[1] for line in lines[s[0] : s[1]])))
+    home = max(lines[best[0] : best[1]], key=lambda line: (line[2], line[1]))
+    own = lambda line: line[2] if home[2] else line[1] and line[3] == home[3]
+    kept = [s for s in found if s is best or s[2] >= DENSE or any(own(line) for line in lines[s[0] : s[1]])]
+    return "\n".join(line[0] for s in kept for line in lines[s[0] : s[1]] if line[0])
 
 
 def with_main_text(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (its code points) in place of the html.
 
     A null or empty page, or one without any text outside of its frame, gives an empty
-    text. Other columns pass through, but for those two names.
+    text. Other columns pass through; of that name, ``text`` and ``n_chars`` are replaced.
     """
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in rest), "text string", "n_chars long"])
