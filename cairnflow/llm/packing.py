@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +33,14 @@ DOCUMENT_COST = 32
 #: Shards of one task.
 SHARDS_A_TASK = 2
 #: Documents that the routing tree is fitted on (about), its depth, and dimensions of its vectors.
-SAMPLE = 8192
-DEPTH = 10
+SAMPLE = 4096
+DEPTH = 9
 DIMENSIONS = 32
 SEED = 17
 #: Words whose ids a Python worker remembers, those it encodes at once, and text bytes that are split into words at once.
 WORD_CACHE = 1_000_000
-NEW_WORDS = 4000
-ENCODE_BYTES = 1 << 18
+NEW_WORDS = 500
+ENCODE_BYTES = 16 << 20
 _TAIL = b".,;:!?"
 
 
@@ -49,85 +50,155 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _bytes_in(chars: bytes) -> np.ndarray:
+    own = np.zeros(256, bool)
+    own[list(chars)] = True
+    return own
+
+
+_STOP, _SPACE, _ALNUM = _bytes_in(_TAIL), _bytes_in(b" \t\n\x0b\x0c\r"), _bytes_in(bytes(b for b in range(128) if chr(b).isalnum()))
+
+
+def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column and the ends of its values, from 0 on."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends[1:].astype(np.int64) - ends[0]
+
+
+def _binary(data: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _words_apart(column: pa.Array) -> pa.Array:
+    """Texts in lower case, with a space before stops that end a word.
+
+    A stop after a letter or digit and before white space is a piece of its own for the
+    vocabulary, so the ids stay. Its normalizer lower-cases, so capitals of ASCII may go
+    first, but in texts with marks that compose with them or with special tokens.
+    """
+    data, ends = _spans(column)
+    if not len(data):
+        return _binary(data, ends, pa.string())
+    raw = data.tobytes()
+    out = np.frombuffer(bytearray(raw.lower()), np.uint8)
+    if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw:
+        special = np.flatnonzero((data == 0xCC) | (data == 0xCD) | (data == 60) & (np.append(data[1:], 32) == 124))
+        for d in np.unique(np.searchsorted(ends, special, side="right")).tolist():
+            low = ends[d - 1] if d else 0
+            out[low : ends[d]] = data[low : ends[d]]
+    stops = np.flatnonzero(_STOP[data])
+    stops = stops[(stops > 0) & (stops + 1 < len(data))]
+    stops = stops[_ALNUM[data[stops - 1]] & _SPACE[data[stops + 1]]]
+    return _binary(np.insert(out, stops, 32), ends + np.searchsorted(stops, ends), pa.string())
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The vocabulary's pre-tokenizer drops white space and no token crosses it, so the ids of
-    a text are those of its words in a row; each different word is encoded once. Its
-    normalizer lower-cases, so capitals of ASCII may go before, unless marks that compose
-    with them or a special token are in the text.
+    a text are those of its words in a row; each different word is encoded once and its ids
+    kept in one array.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)  # for words of letters that normalizing leaves as they are
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         top = max(vocabulary.values()) + 1
         self.kind = np.dtype("<u2" if top <= 1 << 16 else "<u4")
         self.closes = np.zeros(top, bool)  # tokens that end a piece of a word
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.end = np.array([end_id], self.kind).tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as bytes of ``kind``, with the end id."""
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size > ENCODE_BYTES:
-                out += self._encode(held)
-                held, size = [], 0
-        return out + self._encode(held)
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        if new:
-            if len(self.known) + len(new) > WORD_CACHE:
-                self.known.clear()
-                new = {w for words in split for w in words}
-            self._learn(new)
-            found = [ids if None not in ids else list(map(self.known.__getitem__, words)) for words, ids in zip(split, found, strict=True)]
-        return [b"".join(ids) + self.end for ids in found]
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Encode words; stops after a letter or digit are a piece of their own, so what is before is looked up alone."""
-        parted, plain, other = [], set(), set()
+        self.end = end_id
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, self.kind), np.zeros(1 << 14, np.int64)  # word i has ids ends[i - 1] to ends[i]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text of a binary column as bytes of ``kind``, with the end id."""
+        _, ends = _spans(texts)
+        parts, low = [], 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + ENCODE_BYTES, side="right")))
+            parts.append(self._encode(texts.slice(low, high - low)))
+            low = high
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def _encode(self, texts: pa.Array) -> pa.Array:
+        words = pc.ascii_split_whitespace(_words_apart(texts))
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        slots = list(map(self.known.get, names))
+        if None in slots:
+            if len(self.known) + slots.count(None) > WORD_CACHE:
+                self._forget()
+            self._learn([w for w in names if w not in self.known])
+            slots = list(map(self.known.__getitem__, names))
+        slot = np.array(slots, np.int64)[coded.indices.to_numpy()]
+        first = np.where(slot > 0, self.ends[slot - 1], 0)
+        sizes = self.ends[slot] - first
+        done = np.append(0, np.cumsum(sizes))
+        ids = self.ids[np.arange(done[-1]) + np.repeat(first - done[:-1], sizes)]
+        ends = done[np.cumsum(pc.list_value_length(words).to_numpy())]
+        ids = np.insert(ids, ends, self.kind.type(self.end))
+        return _binary(ids.view(np.uint8), (ends + np.arange(1, len(ends) + 1)) * self.kind.itemsize, pa.binary())
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, cuts: np.ndarray) -> None:
+        """Words with their ids: each one's end at its cut."""
+        n = len(self.known)
+        used = int(self.ends[n - 1]) if n else 0
+        while n + len(words) > len(self.ends):
+            self.ends = np.append(self.ends, np.zeros_like(self.ends))
+        while used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[used : used + len(ids)] = ids
+        self.ends[n : n + len(words)] = used + cuts
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _of(self, word: bytes) -> np.ndarray:
+        i = self.known[word]
+        return self.ids[self.ends[i - 1] if i else 0 : self.ends[i]]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode different words; a stop at the end of one is a piece of its own, so what is before it is encoded alone."""
+        parted, plain, other = [], {}, {}
         for word in new:
+            if word.isalpha():
+                plain[word] = None
+                continue
             core = word.rstrip(_TAIL)
             if len(core) < len(word) and core and _apart(core):
-                tail = word[len(core) :]
-                parted.append((word, core, tail))
-                for part in (core, tail):
+                parted.append((word, core, word[len(core) :]))
+                for part in parted[-1][1:]:
                     if part not in self.known:
-                        (plain if part.isalpha() or part.decode().isalpha() else other).add(part)
+                        (plain if part.decode().isalpha() else other)[part] = None
             else:
-                (plain if word.isalpha() or word.decode().isalpha() else other).add(word)
+                (plain if word.decode().isalpha() else other)[word] = None
         for words, fast in ((list(plain), True), (list(other), False)):
             for low in range(0, len(words), NEW_WORDS):
                 self._learn_some(words[low : low + NEW_WORDS], fast)
-        for word, core, tail in parted:
-            self.known[word] = self.known[core] + self.known[tail]
+        if parted:
+            ids = [np.concatenate([self._of(core), self._of(tail)]) for _, core, tail in parted]
+            self._keep([word for word, *_ in parted], np.concatenate(ids), np.cumsum([len(x) for x in ids]))
 
     def _learn_some(self, words: list[bytes], fast: bool) -> None:
         """Encode words in one go, a space apart; those of letters alone are one piece each, others are told by where their ids begin."""
-        text = [w.decode() for w in words]
-        joined = " ".join(text)
+        joined = b" ".join(words).decode()
         if fast:
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+            own = self.bare if joined.isascii() and joined.islower() or joined.lower() == joined and unicodedata.is_normalized("NFC", joined) else self.tokenizer
+            ids = np.array(own.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(self.closes[ids]) + 1
         if not fast or len(cuts) != len(words) or cuts[-1] != len(ids):
             found = self.tokenizer.encode(joined, add_special_tokens=False)
             begin = np.fromiter(chain.from_iterable(found.offsets), np.int64)[::2]
             ids = np.array(found.ids, self.kind)
-            cuts = np.searchsorted(begin, np.cumsum([len(w) + 1 for w in text]), side="left")
-        size, data, first = self.kind.itemsize, ids.tobytes(), 0
-        for word, last in zip(words, cuts.tolist(), strict=True):
-            self.known[word] = data[size * first : size * last]
-            first = last
+            cuts = np.searchsorted(begin, np.cumsum([len(w.decode()) + 1 for w in words]), side="left")
+        self._keep(words, ids, cuts)
 
 
 def _apart(core: bytes) -> bool:
@@ -240,14 +311,13 @@ class Index:
         names, first, df = np.unique(term[order], return_index=True, return_counts=True)
         self.first, self.after = first, first + df
         self.slot = np.searchsorted(names, term).astype(np.int32)
-        self.item, self.weight, self.n = item[order], weight[order], len(items)
+        self.item, self.weight, self.n = item[order].astype(np.int64), weight[order].astype(np.float64), len(items)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents by BM25 score of the seed's terms, all of them, best first; those that share none are left out."""
         terms = self.slot[self.ends[seed] : self.ends[seed + 1]]
-        first, sizes = self.first[terms], self.after[terms] - self.first[terms]
-        at = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-        score = np.bincount(self.item[at], self.weight[at], self.n)
+        parts = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.after[terms].tolist(), strict=True)]
+        score = np.bincount(np.concatenate([self.item[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
         score[~unused] = 0
         found = np.flatnonzero(score > 0)
         return found[np.lexsort((found, -score[found]))]
@@ -338,9 +408,8 @@ def _powers_of_two(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
 
 def _arrays(column: pa.Array, kind: np.dtype) -> list[np.ndarray]:
     """Ids of each value of a binary column."""
-    ends = np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_binary(column.type) else np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8)
-    return [data[a:b].view(kind) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    data, ends = _spans(column)
+    return [data[a:b].view(kind) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def _frequencies(tokens: DataFrame, terms: int, kind: np.dtype) -> tuple[np.ndarray, int, int]:
@@ -372,7 +441,7 @@ def routing_tree(docs: DataFrame, path: str, *, sample: int = SAMPLE) -> tuple[T
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared_tokenizer(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(words.encode([x.as_py() for x in batch.column(0)]), pa.binary())], names=["tokens"])
+            yield pa.RecordBatch.from_arrays([words.encode(batch.column(0))], names=["tokens"])
 
     picked = docs.select(text_bytes(), "doc_id").filter(F.pmod(F.xxhash64("doc_id", "data"), F.lit(rate)) == 0).select("data")
     tokens = cut(picked.mapInArrow(code, "tokens binary"), "packing-sample")
@@ -404,12 +473,9 @@ def pack(docs: DataFrame, *, window: int = WINDOW, tokenizer: str | None = None,
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared_tokenizer(path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                coded = words.encode([x.as_py() for x in part.column(1)])
-                leaf, place = tree.places(vectors([np.frombuffer(c, kind) for c in coded], weights))
-                columns = [part.column(0), pa.array(coded, pa.binary()), pa.array(leaf.astype(np.int32)), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "leaf", "place"])
+            coded = words.encode(batch.column(1))
+            leaf, place = tree.places(vectors(_arrays(coded, kind), weights))
+            yield pa.RecordBatch.from_arrays([batch.column(0), coded, pa.array(leaf.astype(np.int32)), pa.array(place)], names=["doc_id", "tokens", "leaf", "place"])
 
     routed = docs.select("doc_id", text_bytes()).mapInArrow(code, "doc_id long, tokens binary, leaf int, place double")
     tokens = cut(routed, "packing-tokens")
