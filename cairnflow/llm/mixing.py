@@ -21,10 +21,11 @@ MOST_TIMES = 3
 SEED = 20260
 #: Parts of a source whose sizes are summed apart, so that no task orders a whole source.
 PARTS = 1024
-#: Shards whose counts one task draws at once.
-SHARDS_AT_ONCE = 4096
-#: Tasks that the slots are drawn in, at most; the counts are too small for Spark to tell how many rows they stand for.
+#: Shards whose slots one task draws at once, and tasks at most; numbers of shards are too small for Spark to tell how many rows they stand for.
+SHARDS_AT_ONCE = 8
 MOST_TASKS = 10000
+#: Slots that are drawn without replacement together; larger mixes are strata with an even part of every source.
+STRATUM_SLOTS = 1 << 29
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -72,77 +73,93 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_times:
 
     Weights repeat in that order. Targets share the sum of all sizes by weight but stop at
     ``most_times`` times a source's size; what is over is shared again among the others.
-    The table has a row a source; only sums of it reach the driver.
+    A row for each source goes through the driver: a mix is of far fewer sources than documents.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    ranked = per.withColumn("sid", F.row_number().over(order) - 1)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int"))
-    ranked = cut(ranked.withColumn("weight", weight.cast("double")), "mixing-sources")
-    room = F.col("source_size") * most_times
-    level, total = 0.0, ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    rows = sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    rows.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
+    size = np.array([r["size"] for r in rows], np.int64)
+    weight = np.array(weights, float)[np.arange(len(rows)) % len(weights)]
+    room, level, total = size * most_times, 0.0, int(size.sum())
     while total:
-        over = F.col("weight") * level >= room
-        row = ranked.agg(F.sum(F.when(over, room).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
-        after = (total - row[0]) / row[1] if row[1] else level
+        over = weight * level >= room
+        rest = float(weight[~over].sum())
+        after = (total - int(room[over].sum())) / rest if rest else level
         if after <= level:
             break
         level = after
-    target = F.least(F.col("weight") * F.lit(float(level)), room.cast("double"))
-    blocks = F.ceil(F.col("source_size") / block_words).cast("long")
-    slots = F.round(target * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long")
-    return ranked.withColumn("target", target).withColumn("blocks", blocks).withColumn("slots", F.least(slots, F.col("blocks") * most_times)).drop("weight")
+    target = np.minimum(weight * level, room.astype(float))
+    blocks = -(-size // block_words)
+    slots = np.minimum(np.rint(target * blocks / np.maximum(size, 1)).astype(np.int64), blocks * most_times)
+    made = [(i, r.source, *map(int, row[:1]), float(row[1]), *map(int, row[2:])) for i, (r, row) in enumerate(zip(rows, zip(size, target, blocks, slots, strict=True), strict=True))]
+    return sizes.sparkSession.createDataFrame(made, "sid long, source string, source_size long, target double, blocks long, slots long")
 
 
 def _key(*parts: int) -> int:
     return zlib.crc32(" ".join(map(str, parts)).encode())
 
 
-def _spread(shards: int, seed: int, at_once: int):
-    """A source's slots over groups of shards, then each group's over its shards: multinomial draws."""
+def shard_counts(slots: np.ndarray, edges: np.ndarray, low: int, high: int, seed: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source, those of earlier shards) for the shards from ``low`` to ``high``.
 
-    def groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                firsts = np.arange(0, shards, at_once)
-                widths = np.minimum(at_once, shards - firsts)
-                n = np.random.default_rng([seed, int(r.sid), 1]).multinomial(int(r.slots), widths / shards)
-                yield pd.DataFrame({"sid": r.sid, "blocks": r.blocks, "first_shard": firsts, "width": widths, "n": n, "start": np.cumsum(n) - n})
+    Shard j has ``edges[j + 1] - edges[j]`` slots. Its counts by source are a multinomial
+    draw on condition that the sources' totals come out: halves of the shards draw without
+    replacement from what the sources have left, down to single shards. Every draw has a
+    seed of its own, so any range of shards can be told alone.
+    """
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                n = np.random.default_rng([seed, int(r.sid), 2, int(r.first_shard)]).multinomial(int(r.n), np.full(int(r.width), 1 / r.width))
-                yield pd.DataFrame({"sid": r.sid, "blocks": r.blocks, "shard": r.first_shard + np.arange(len(n)), "n": n, "start": r.start + np.cumsum(n) - n})
+    def walk(a: int, b: int, left: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if b <= low or a >= high:
+            return
+        if b - a == 1:
+            yield a, left, before
+            return
+        middle = (a + b) // 2
+        first = np.random.default_rng([*seed, a, b]).multivariate_hypergeometric(left, int(edges[middle] - edges[a]), method="marginals")
+        yield from walk(a, middle, first, before)
+        yield from walk(middle, b, left - first, before + first)
 
-    return groups, each
+    return walk(0, len(edges) - 1, slots, np.zeros_like(slots))
 
 
-def mixed_slots(sources: DataFrame, *, shards: int | None = None, seed: int = SEED) -> DataFrame:
-    """(shard, sid, slot, epoch, block): the blocks that each output shard takes.
+def mixed_slots(sources: DataFrame, *, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """(shard, place, sid, slot, epoch, block): the block at each place of each output shard.
 
-    Each source has a fixed number of slots. They fall on the shards by multinomial draws,
-    so a shard's counts by source follow the targets. Slot i is place ``i % blocks`` of the
-    source's permutation for epoch ``i // blocks``: all blocks once before any again.
+    Each shard draws its counts by source (:func:`shard_counts`); its slots of one source
+    continue those of the shards before. Slot i is place ``i % blocks`` of the source's
+    permutation for epoch ``i // blocks``: all blocks once before any again. A shard's slots
+    lie at permuted places.
     """
-    if shards is None:
-        shards = max(1, -(-int(sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]) // SHARD_SLOTS))
-    groups, each = _spread(shards, seed, SHARDS_AT_ONCE)
-    live = sources.filter("slots > 0").select("sid", "blocks", "slots")
-    spread = live.mapInPandas(groups, "sid long, blocks long, first_shard long, width long, n long, start long").repartition("sid", "first_shard")
-    counts = spread.mapInPandas(each, "sid long, blocks long, shard long, n long, start long").filter("n > 0").repartition(min(shards, MOST_TASKS), "sid", "shard")
+    rows = sorted(sources.filter("slots > 0").select("sid", "blocks", "slots").collect())
+    sid, blocks, slots = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    strata = max(1, -(-int(slots.sum()) // STRATUM_SLOTS))
+    cuts = np.array([slots * k // strata for k in range(strata + 1)])  # each source's slots of each stratum begin here
+    totals = np.diff(cuts, axis=0).sum(axis=1)
+    shards = max(1, -(-int(totals.max(initial=0)) // shard_slots))
+    groups = -(-shards // SHARDS_AT_ONCE)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                slot = np.arange(int(r.start), int(r.start + r.n))
-                epoch = slot // r.blocks
-                names, back = np.unique(epoch, return_inverse=True)
-                keys = np.array([_key(seed, int(r.sid), int(e)) for e in names], np.uint64)[back]
-                block = permuted(slot % r.blocks, np.full(len(slot), r.blocks), keys)
-                yield pd.DataFrame({"shard": r.shard, "sid": r.sid, "slot": slot, "epoch": epoch, "block": block})
-
-    return counts.mapInPandas(draw, "shard long, sid long, slot long, epoch long, block long")
+        for unit in (int(u) for frame in frames for u in frame["id"]):
+            stratum, low = unit // groups, unit % groups * SHARDS_AT_ONCE
+            edges = int(totals[stratum]) * np.arange(shards + 1) // shards
+            for shard, n, before in shard_counts(cuts[stratum + 1] - cuts[stratum], edges, low, low + SHARDS_AT_ONCE, (seed, stratum)):
+                total = int(n.sum())
+                own = np.repeat(np.arange(len(sid)), n)
+                slot = (cuts[stratum] + before)[own] + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+                epoch = slot // blocks[own]
+                names, back = np.unique(np.stack([sid[own], epoch]), axis=1, return_inverse=True)
+                keys = np.array([_key(seed, int(s), int(e)) for s, e in names.T], np.uint64)[back.ravel()]
+                block = permuted(slot % blocks[own], blocks[own], keys)
+                number = stratum * shards + shard
+                place = permuted(np.arange(total), np.full(total, total), np.full(total, _key(seed, number, -1)))
+                yield pd.DataFrame({"shard": number, "place": place, "sid": sid[own], "slot": slot, "epoch": epoch, "block": block})
+
+    units = strata * groups if len(sid) else 0
+    return sources.sparkSession.range(0, units, 1, max(1, min(units, MOST_TASKS))).mapInPandas(draw, "shard long, place long, sid long, slot long, epoch long, block long")
+
+
+def _times(sources: DataFrame, seed: int = SEED) -> DataFrame:
+    """(sid, block, times, first): how often the mix takes a block, and the first shard and place that do."""
+    return mixed_slots(sources, seed=seed).groupBy("sid", "block").agg(F.count("*").alias("times"), F.min(F.struct("shard", "place")).alias("first"))
 
 
 def placed(sizes: DataFrame, sources: DataFrame, *, parts: int = PARTS) -> DataFrame:
@@ -166,21 +183,22 @@ def _pieces(where: DataFrame, times: DataFrame, block_words: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row: the words that the mix takes of it.
+    """(doc_id, size, source_size, target, taken, shard, place) of every row: the words that the mix takes of it, and the first shard and place there that hold any (else null).
 
     A null text has no words and null is a source of its own. Equal rows are mixed one by
     one. Other columns are ignored. Reruns agree: draws depend on the seed, the sources'
     sizes and rows alone.
     """
     sizes = cut(sized(docs), "mixing-sizes")
-    sources = cut(targets(sizes, weights=weights, most_times=most_times, block_words=block_words), "mixing-targets")
+    sources = targets(sizes, weights=weights, most_times=most_times, block_words=block_words)
     where = placed(sizes, sources)
-    times = mixed_slots(sources, seed=seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = _pieces(where, times, block_words).groupBy("doc_id", "h", "sid", "at", "size").agg(F.sum(F.col("times") * (F.col("high") - F.col("low"))).alias("taken"))
+    taken = F.sum(F.col("times") * (F.col("high") - F.col("low"))).alias("taken")
+    rows = _pieces(where, _times(sources, seed), block_words).groupBy("doc_id", "h", "sid", "at", "size").agg(taken, F.min("first").alias("first"))
     facts = sources.select("sid", "source_size", "target")
-    untaken = where.filter("size = 0").select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken"))
-    rows = taken.select("doc_id", "sid", "size", "taken").unionByName(untaken)
-    return rows.join(facts, "sid").select("doc_id", "size", "source_size", "target", "taken")
+    rows = rows.select("doc_id", "sid", "size", "taken", "first.shard", "first.place")
+    none = F.lit(None).cast("long")
+    rows = rows.unionByName(where.filter("size = 0").select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken"), none.alias("shard"), none.alias("place")))
+    return rows.join(facts, "sid").select("doc_id", "size", "source_size", "target", "taken", "shard", "place")
 
 
 def _cut_words(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -198,25 +216,28 @@ def _cut_words(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents: a row for each whole epoch that a document is in, and one with its pieces of the last, partial epoch.
 
-    Documents without words in the mix go. ``n_chars`` is kept true where the table has it.
+    Rows of a partition come in the order of the first shard and place that take their
+    document. Documents without words in the mix go, so null and empty texts do; repeated
+    rows are mixed one by one. ``n_chars`` is kept true where the table has it; other
+    columns pass through, whatever their names and types.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "h"]
     same = Window.partitionBy("_id", "h").orderBy("size", "sid", "at")
     sizes = cut(sized(docs), "mixing-sizes")
-    sources = cut(targets(sizes), "mixing-targets")
+    sources = targets(sizes)
     where = placed(sizes, sources)
-    times = mixed_slots(sources).groupBy("sid", "block").agg(F.count("*").alias("times"))
     epochs = sources.select("sid", F.expr("slots DIV greatest(blocks, 1)").alias("epochs"))
-    pieces = _pieces(where, times, BLOCK_WORDS).join(epochs, "sid")
+    pieces = _pieces(where, _times(sources), BLOCK_WORDS).join(epochs, "sid")
     last = F.collect_list(F.when(F.col("times") > F.col("epochs"), F.struct("low", "high")))
-    spans = pieces.groupBy("doc_id", "h", "sid", "at", "size").agg(F.first("epochs").alias("epochs"), last.alias("spans"))
-    spans = spans.select(*key, "sid", "at", "size", "epochs", "spans").withColumn("_n", F.row_number().over(same)).select("_id", "h", "_n", "epochs", "spans")
+    spans = pieces.groupBy("doc_id", "h", "sid", "at", "size").agg(F.first("epochs").alias("epochs"), last.alias("spans"), F.min("first").alias("first"))
+    spans = spans.select(*key, "sid", "at", "size", "epochs", "spans", "first").withColumn("_n", F.row_number().over(same)).select("_id", "h", "_n", "epochs", "spans", "first")
     names = [f"_{i}" for i in range(len(docs.columns))]
     text, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
     plain = docs.select("*", F.xxhash64("text", F.col("source").isNull()).alias("_h")).toDF(*names, "h")
     plain = plain.withColumn("_id", F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(-(1 << 63))))
-    numbered = plain.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "h").orderBy(*(n for i, n in enumerate(names) if i != text))))
-    joined = numbered.join(spans, ["_id", "h", "_n"]).select(*names, "epochs", "spans")
+    rest = F.to_json(F.struct(*(n for i, n in enumerate(names) if i != text)))  # orders columns of any type
+    numbered = plain.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "h").orderBy(rest)))
+    joined = numbered.join(spans, ["_id", "h", "_n"]).sortWithinPartitions("first.shard", "first.place").select(*names, "epochs", "spans")
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
