@@ -38,9 +38,9 @@ DEPTH = 9
 DIMENSIONS = 32
 SEED = 17
 #: Words whose ids a Python worker remembers, those it encodes at once, and text bytes that are split into words at once.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 1_600_000
 NEW_WORDS = 500
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 8 << 20
 _TAIL = b".,;:!?"
 
 
@@ -113,8 +113,20 @@ class WordTokenizer:
         self.closes = np.zeros(top, bool)  # tokens that end a piece of a word
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = end_id
+        self.before: tuple = ({}, None, None)  # words of the time before, half of the cache; those seen again are kept
         self._forget()
 
+    def _recall(self, words: list[bytes]) -> None:
+        """Keep those of the words that were known before the last change of the guard."""
+        known, ids, ends = self.before
+        old = [w for w in words if w in known] if known else []
+        if old:
+            slot = np.array([known[w] for w in old])
+            first = np.where(slot > 0, ends[slot - 1], 0)
+            sizes = ends[slot] - first
+            cuts = np.cumsum(sizes)
+            self._keep(old, ids[np.arange(cuts[-1]) + np.repeat(first - cuts + sizes, sizes)], cuts)
+
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.ends = np.zeros(1 << 16, self.kind), np.zeros(1 << 14, np.int64)  # word i has ids ends[i - 1] to ends[i]
@@ -132,12 +144,17 @@ class WordTokenizer:
     def _encode(self, texts: pa.Array) -> pa.Array:
         words = pc.ascii_split_whitespace(_words_apart(texts))
         coded = words.flatten().dictionary_encode()
-        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        data, ends = _spans(coded.dictionary)
+        data, ends = data.tobytes(), ends.tolist()
+        names = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         slots = list(map(self.known.get, names))
         if None in slots:
-            if len(self.known) + slots.count(None) > WORD_CACHE:
+            new = [w for w, i in zip(names, slots, strict=True) if i is None]
+            if len(self.known) + len(new) > WORD_CACHE // 2:
+                self.before, new = (self.known, self.ids, self.ends), names
                 self._forget()
-            self._learn([w for w in names if w not in self.known])
+            self._recall(new)
+            self._learn([w for w in new if w not in self.known])
             slots = list(map(self.known.__getitem__, names))
         slot = np.array(slots, np.int64)[coded.indices.to_numpy()]
         first = np.where(slot > 0, self.ends[slot - 1], 0)
@@ -166,11 +183,8 @@ class WordTokenizer:
 
     def _learn(self, new: list[bytes]) -> None:
         """Encode different words; a stop at the end of one is a piece of its own, so what is before it is encoded alone."""
-        parted, plain, other = [], {}, {}
-        for word in new:
-            if word.isalpha():
-                plain[word] = None
-                continue
+        parted, plain, other = [], dict.fromkeys(w for w in new if w.isalpha()), {}
+        for word in (w for w in new if not w.isalpha()):
             core = word.rstrip(_TAIL)
             if len(core) < len(word) and core and _apart(core):
                 parted.append((word, core, word[len(core) :]))
@@ -223,9 +237,14 @@ def _directions(terms: int, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((terms, DIMENSIONS), np.float32)
 
 
-def vectors(docs: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """A random projection of each document's weighted terms, of length 1 (0 without any weight)."""
-    own = [np.unique(x, return_counts=True) for x in docs]
+def counted(docs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms and their counts of each document."""
+    return [np.unique(x, return_counts=True) for x in docs]
+
+
+def vectors(own: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """A random projection of each document's weighted terms (:func:`counted`), of length 1 (0 without any weight)."""
+    docs = own
     out, low = np.zeros((len(docs), DIMENSIONS), np.float32), 0
     sizes = np.cumsum([len(t) for t, _ in own])
     while low < len(docs):
@@ -311,16 +330,32 @@ class Index:
         names, first, df = np.unique(term[order], return_index=True, return_counts=True)
         self.first, self.after = first, first + df
         self.slot = np.searchsorted(names, term).astype(np.int32)
+        common = np.flatnonzero(4 * df > len(items))  # a row of weights for all documents is faster there
+        self.row = np.full(len(names), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(items)), np.float32)
+        for r, t in enumerate(common.tolist()):
+            own = order[first[t] : first[t] + df[t]]
+            self.dense[r, item[own]] = weight[own]
         self.item, self.weight, self.n = item[order].astype(np.int64), weight[order].astype(np.float64), len(items)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents by BM25 score of the seed's terms, all of them, best first; those that share none are left out."""
         terms = self.slot[self.ends[seed] : self.ends[seed + 1]]
+        rows = self.row[terms]
+        score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        terms = terms[rows < 0]
         parts = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.after[terms].tolist(), strict=True)]
-        score = np.bincount(np.concatenate([self.item[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
-        score[~unused] = 0
-        found = np.flatnonzero(score > 0)
-        return found[np.lexsort((found, -score[found]))]
+        if parts:
+            score += np.bincount(np.concatenate([self.item[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
+        found = np.flatnonzero((score > 0) & unused)
+        return found[np.argsort(-score[found], kind="stable")]
+
+    def forget_used(self, unused: np.ndarray) -> None:
+        """Drop the postings of used documents."""
+        keep = unused[self.item]
+        at = np.append(0, np.cumsum(keep))
+        self.first, self.after, self.item, self.weight = at[self.first], at[self.after], self.item[keep], self.weight[keep]
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -338,8 +373,11 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         start[d], left[d] = whole * window, len(ids) - whole * window
     index = Index([ids[s:] if len(ids) > s else ids[-1:] for ids, s in zip(docs, start, strict=True)], idf, mean)
     unused = left > 0
-    queue, at, seed = np.argsort(-left, kind="stable"), 0, -1
+    queue, at, seed, live = np.argsort(-left, kind="stable"), 0, -1, len(docs)
     while True:
+        if np.count_nonzero(unused) < 0.75 * live:
+            index.forget_used(unused)
+            live = np.count_nonzero(unused)
         if seed < 0:
             while at < len(queue) and not unused[queue[at]]:
                 at += 1
@@ -412,25 +450,36 @@ def _arrays(column: pa.Array, kind: np.dtype) -> list[np.ndarray]:
     return [data[a:b].view(kind) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def _frequencies(tokens: DataFrame, terms: int, kind: np.dtype) -> tuple[np.ndarray, int, int]:
-    """Documents that have each term, and documents and ids in all; a row for each term of the vocabulary reaches the driver."""
+class Frequencies:
+    """Documents that have each term, documents and ids, added up over documents or over the bytes of other such counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, ids = np.zeros(terms, np.int64), 0, 0
+    def __init__(self, terms: int):
+        self.counts = np.zeros(terms + 2, np.int64)
+
+    def add(self, own: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        for term, n in own:
+            self.counts[term] += 1
+            self.counts[-1] += int(n.sum())
+        self.counts[-2] += len(own)
+
+    def row(self) -> bytes:
+        return self.counts.astype("<i8").tobytes()
+
+
+def _summed(rows: DataFrame, terms: int) -> tuple[np.ndarray, int, int]:
+    """Document frequencies, documents and ids of all rows of (df); one row for each term of the vocabulary reaches the driver."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(terms + 2, np.int64)
         for batch in batches:
-            own = _arrays(batch.column(0), kind)
-            for x in own:
-                df[np.unique(x)] += 1
-                ids += len(x)
-            n += len(own)
-        found = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, [-1, -2])), pa.array(np.append(df[found], [n, ids]))], names=["term", "n"])
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_py(), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(terms + 2)), pa.array(total)], names=["term", "n"])
 
-    rows = tokens.select("tokens").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
-    df = np.zeros(terms, np.int64)
-    df[term[term >= 0]] = n[term >= 0]
-    return df, int(n[term == -1].sum()), int(n[term == -2].sum())
+    found = rows.filter("df IS NOT NULL").select("df").mapInArrow(spread, "term long, n long").filter("n > 0").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(terms + 2, np.int64)
+    total[found["term"].to_numpy()] = found["n"].to_numpy()
+    return total[:-2], int(total[-2]), int(total[-1])
 
 
 def routing_tree(docs: DataFrame, path: str, *, sample: int = SAMPLE) -> tuple[Tree, np.ndarray]:
@@ -439,21 +488,24 @@ def routing_tree(docs: DataFrame, path: str, *, sample: int = SAMPLE) -> tuple[T
     rate = max(1, -(-docs.count() // sample))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared_tokenizer(path)
+        words, df = shared_tokenizer(path), Frequencies(terms)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([words.encode(batch.column(0))], names=["tokens"])
+            tokens = words.encode(batch.column(0))
+            df.add(counted(_arrays(tokens, kind)))
+            yield pa.RecordBatch.from_arrays([tokens, pa.nulls(len(tokens), pa.binary())], names=["tokens", "df"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([df.row()], pa.binary())], names=["tokens", "df"])
 
     picked = docs.select(text_bytes(), "doc_id").filter(F.pmod(F.xxhash64("doc_id", "data"), F.lit(rate)) == 0).select("data")
-    tokens = cut(picked.mapInArrow(code, "tokens binary"), "packing-sample")
-    df, n, _ = _frequencies(tokens, terms, kind)
+    tokens = cut(picked.mapInArrow(code, "tokens binary, df binary"), "packing-sample")
+    df, n, _ = _summed(tokens, terms)
     weights = idf_of(df, n)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = vectors(_arrays(batch.column(0), kind), weights)
+            x = vectors(counted(_arrays(batch.column(0), kind)), weights)
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float32()))], names=["v"])
 
-    rows = tokens.mapInArrow(project, "v array<float>").toArrow()["v"].to_pylist()
+    rows = tokens.filter("tokens IS NOT NULL").select("tokens").mapInArrow(project, "v array<float>").toArrow()["v"].to_pylist()
     x = np.array(rows, np.float32).reshape(-1, DIMENSIONS)
     return fit_tree(x[np.lexsort(x.T)]), weights
 
@@ -471,15 +523,20 @@ def pack(docs: DataFrame, *, window: int = WINDOW, tokenizer: str | None = None,
     tree, weights = routing_tree(docs, path, sample=sample)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared_tokenizer(path)
+        """Rows of documents, and at the end one with the task's counts."""
+        words, df, names = shared_tokenizer(path), Frequencies(terms), ["doc_id", "tokens", "leaf", "place", "df"]
         for batch in batches:
             coded = words.encode(batch.column(1))
-            leaf, place = tree.places(vectors(_arrays(coded, kind), weights))
-            yield pa.RecordBatch.from_arrays([batch.column(0), coded, pa.array(leaf.astype(np.int32)), pa.array(place)], names=["doc_id", "tokens", "leaf", "place"])
+            own = counted(_arrays(coded, kind))
+            df.add(own)
+            leaf, place = tree.places(vectors(own, weights))
+            yield pa.RecordBatch.from_arrays([batch.column(0), coded, pa.array(leaf.astype(np.int32)), pa.array(place), pa.nulls(len(own), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int32(), pa.float64())), pa.array([df.row()], pa.binary())], names=names)
 
-    routed = docs.select("doc_id", text_bytes()).mapInArrow(code, "doc_id long, tokens binary, leaf int, place double")
+    routed = docs.select("doc_id", text_bytes()).mapInArrow(code, "doc_id long, tokens binary, leaf int, place double, df binary")
     tokens = cut(routed, "packing-tokens")
-    df, documents, total = _frequencies(tokens, terms, kind)
+    df, documents, total = _summed(tokens, terms)
+    tokens = tokens.filter("tokens IS NOT NULL").drop("df")
     idf, mean = idf_of(df, documents), total / max(1, documents)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 8 if ids else 7]

@@ -72,6 +72,17 @@ def test_neighbours_follow_bm25():
     assert index.neighbours(0, np.array([False, False, True, True, True])).tolist() == [3]
 
 
+def test_words_seen_again_are_recalled(monkeypatch):
+    monkeypatch.setattr(P, "WORD_CACHE", 60)
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeé.,#1"), int(n))) for n in rng.integers(1, 7, 120)]
+    W = P.WordTokenizer(P.tokenizer_path())
+    for _ in range(60):
+        texts = [" ".join(rng.choice(words, 8)) for _ in range(2)]
+        assert [np.frombuffer(c, "<u2").tolist() for c in W.encode(pa.array([t.encode() for t in texts], pa.binary())).to_pylist()] == [whole(t) for t in texts]
+        assert len(W.known) <= 30 + 40 and len(W.before[0]) <= 30 + 40
+
+
 def test_index_equals_brute_force():
     rng = np.random.default_rng(2)
     items = [rng.integers(0, 300, int(n)) for n in rng.integers(1, 60, 200)]
@@ -101,8 +112,8 @@ def test_tree_keeps_near_copies_together():
     near = [np.where(rng.random(300) < 0.03, rng.integers(0, 2000, 300), d) for d in docs]
     df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=2000)
     idf = P.idf_of(df, 600)
-    tree = P.fit_tree(P.vectors(docs[:300], idf), depth=5)
-    (a, x), (b, y) = (tree.places(P.vectors(d, idf)) for d in (docs, near))
+    tree = P.fit_tree(P.vectors(P.counted(docs[:300]), idf), depth=5)
+    (a, x), (b, y) = (tree.places(P.vectors(P.counted(d), idf)) for d in (docs, near))
     place = np.argsort(np.lexsort((np.concatenate([x, y]), np.concatenate([a, b]))))
     assert np.median(np.abs(place[:600] - place[600:])) < 60  # of 1,200
     assert sorted(set(a.tolist())) == list(range(32))
