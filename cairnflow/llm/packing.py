@@ -40,7 +40,7 @@ SEED = 17
 #: Words whose ids a Python worker remembers, those it encodes at once, and text bytes that are split into words at once.
 WORD_CACHE = 1_600_000
 NEW_WORDS = 500
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 _TAIL = b".,;:!?"
 
 
