@@ -257,32 +257,45 @@ def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of hashes whose texts are near copies, by their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}  # pairs come in the order of a, and few texts are in most of them
+
+        def shingles(h: int, text: pa.Scalar) -> np.ndarray:
+            if h not in known:
+                if len(known) >= 64:
+                    del known[next(iter(known))]
+                known[h] = np.unique(shingle_hashes(text.as_py(), NEAR_WIDTH))
+            return known[h]
+
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.unique(shingle_hashes(t.as_py(), NEAR_WIDTH)) for t in (x, y))
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                x, y = shingles(a, x), shingles(b, y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(NEAR[1] * both >= NEAR[0] * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one, two = (texts.select(F.col("h").alias(c), F.col("data").alias(f"of_{c}")) for c in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "of_a", "of_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
 def near_links(docs: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
     """(node, root): hashes of texts that are near copies, by links, and the smallest of their component.
 
     The first candidates are fingerprints within ``bits`` bits. Those of more bits meet in a
-    shared key; a key's two ends are candidates with all its texts as long as many pairs are
-    open, then all pairs of texts that are not yet of one component. Each is verified.
+    shared key; a key's two ends are candidates with all its texts as long as that halves
+    what is open, then the pairs whose texts are not yet of one component and whose sizes
+    and places leave room for the similarity. Each is verified.
     """
     rows = cut(_near_keys(docs).dropDuplicates(["h"]), "simhash-keys")
     per_print = rows.groupBy("fp").agg(F.min("h").alias("low"))
     found = links(per_print.select("fp"), max_bits=bits).join(per_print.toDF("a", "x"), "a").join(per_print.toDF("b", "y"), "b").select("x", "y")
     pairs = found.unionByName(rows.join(per_print, "fp").filter("h <> low").select(F.col("h").alias("x"), F.col("low").alias("y")))
-    keyed = rows.select("h", "n", F.explode("keys").alias("k"))
+    keyed = rows.select("h", "n", F.posexplode("keys").alias("p", "k"))
     members = cut(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k"), "k"), "simhash-members")
-    edges, comp, tested, last = None, None, None, False
+    # keys come in one order, so texts that first meet at places px and py share nothing before; at least 4/9 of both sizes must be left
+    t, u = NEAR
+    fits = f"{u} * least(nx, ny) >= {t} * greatest(nx, ny) AND {t + u} * least(nx - px, ny - py) >= {t} * (nx + ny)"
+    comp, tested, last, before = None, None, False, None
     for turn in range(8):
         if turn:
             where = members.join(comp.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("c", F.coalesce("root", "h")).drop("root")
@@ -291,24 +304,25 @@ def near_links(docs: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
             total, size = open_keys.agg(F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("s")), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
             if not total:
                 break
-            last = turn == 7 or total <= 20 * size
+            last = turn == 7 or total <= 20 * size or before is not None and 2 * total > before
+            before = total
             where = where.join(open_keys.select("k"), "k")
+            named = lambda x: where.select("k", *(F.col(c).alias(f"{c}{x}" if c != "h" else x) for c in "hnpc"))  # noqa: E731, B023
             if last:
-                one, two = (where.select("k", F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "xy")
-                pairs = one.join(two, "k").filter("x > y AND cx <> cy")
+                pairs = named("x").join(named("y"), "k").filter("x > y AND cx <> cy")
             else:
-                salted = F.struct(F.xxhash64("h", F.lit(turn)), "h", "n", "c")
-                ends = where.groupBy("k").agg(F.array(F.min(salted), F.max(salted)).alias("e")).select("k", F.explode("e").alias("e")).select("k", F.col("e.h").alias("y"), F.col("e.n").alias("ny"), F.col("e.c").alias("cy"))
-                pairs = where.select("k", F.col("h").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")).join(ends, "k").filter("cx <> cy")
-            pairs = pairs.filter(f"{NEAR[1]} * least(nx, ny) >= {NEAR[0]} * greatest(nx, ny)").select("x", "y")
+                salted = F.struct(F.xxhash64("h", F.lit(turn)), "h", "n", "p", "c")
+                ends = where.groupBy("k").agg(F.array(F.min(salted), F.max(salted)).alias("e")).select("k", F.explode("e").alias("e"))
+                ends = ends.select("k", F.col("e.h").alias("y"), *(F.col(f"e.{c}").alias(f"{c}y") for c in "npc"))
+                pairs = named("x").join(ends, "k").filter("cx <> cy")
+            pairs = pairs.filter(fits).select("x", "y")
         pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
         texts = docs.select(F.xxhash64("text").alias("h"), text_bytes()).join(wanted, "h", "left_semi").dropDuplicates(["h"])
         new = cut(_near(pairs, cut(texts, "simhash-texts")), "simhash-near")
-        edges = new if edges is None else edges.unionByName(new)
-        comp = components(edges)
+        comp = components(new if comp is None else new.unionByName(comp.toDF("a", "b")))
         if last:
             break
     return comp
