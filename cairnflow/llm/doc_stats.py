@@ -98,13 +98,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int, label_col:
     """FEATURES and labels of at most ``rows`` labelled documents, those with the least hash of their id.
 
     The bound keeps what the driver holds to a few MB. A document's label is 1 or 0; null
-    labels and ids are no labels, an id with several labels counts once with the least.
+    labels and ids are no labels, an id with several labels counts once with the least, and one
+    with several texts by that of the least statistics.
     """
     own = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("label_id").isNotNull())
     if learn is not None:
         own = own.filter(learn(F.col("label_id")))
     own = own.groupBy("label_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     picked = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("label_id"))
-    found = with_statistics(picked, keep=["label"], features=True).select("label", *FEATURES).limit(2 * rows).toPandas()
+    found = with_statistics(picked, keep=["label_id", "label"], features=True).groupBy("label_id").agg(F.min(F.struct("label", *FEATURES)).alias("r")).select("r.*").toPandas()
     found = found.sort_values(["label", *FEATURES], kind="stable")
     return found[FEATURES].to_numpy(float), found["label"].to_numpy(int)

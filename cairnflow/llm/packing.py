@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ DEPTH = 9
 DIMENSIONS = 32
 SEED = 17
 #: Words whose ids a Python worker remembers, those it encodes at once, and text bytes that are split into words at once.
-WORD_CACHE = 1_600_000
+WORD_CACHE = 2_000_000
 NEW_WORDS = 500
 ENCODE_BYTES = 4 << 20
 _TAIL = b".,;:!?"
@@ -97,8 +98,8 @@ class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The vocabulary's pre-tokenizer drops white space and no token crosses it, so the ids of
-    a text are those of its words in a row; each different word is encoded once and its ids
-    kept in one array.
+    a text are those of its words in a row. Each different word is encoded once and kept in
+    arrays, about 30 bytes each, found by a hash of 64 bits.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -113,23 +114,12 @@ class WordTokenizer:
         self.closes = np.zeros(top, bool)  # tokens that end a piece of a word
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = end_id
-        self.before: tuple = ({}, None, None)  # words of the time before, half of the cache; those seen again are kept
         self._forget()
 
-    def _recall(self, words: list[bytes]) -> None:
-        """Keep those of the words that were known before the last change of the guard."""
-        known, ids, ends = self.before
-        old = [w for w in words if w in known] if known else []
-        if old:
-            slot = np.array([known[w] for w in old])
-            first = np.where(slot > 0, ends[slot - 1], 0)
-            sizes = ends[slot] - first
-            cuts = np.cumsum(sizes)
-            self._keep(old, ids[np.arange(cuts[-1]) + np.repeat(first - cuts + sizes, sizes)], cuts)
-
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.ends = np.zeros(1 << 16, self.kind), np.zeros(1 << 14, np.int64)  # word i has ids ends[i - 1] to ends[i]
+        """No words: sorted hashes, where a word's ids begin and how many there are."""
+        self.hash, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of each text of a binary column as bytes of ``kind``, with the end id."""
@@ -147,39 +137,41 @@ class WordTokenizer:
         data, ends = _spans(coded.dictionary)
         data, ends = data.tobytes(), ends.tolist()
         names = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        slots = list(map(self.known.get, names))
-        if None in slots:
-            new = [w for w, i in zip(names, slots, strict=True) if i is None]
-            if len(self.known) + len(new) > WORD_CACHE // 2:
-                self.before, new = (self.known, self.ids, self.ends), names
+        at, known = self._find(names)
+        if not known.all():
+            if len(self.hash) + np.count_nonzero(~known) > WORD_CACHE:
                 self._forget()
-            self._recall(new)
-            self._learn([w for w in new if w not in self.known])
-            slots = list(map(self.known.__getitem__, names))
-        slot = np.array(slots, np.int64)[coded.indices.to_numpy()]
-        first = np.where(slot > 0, self.ends[slot - 1], 0)
-        sizes = self.ends[slot] - first
-        done = np.append(0, np.cumsum(sizes))
+                known[:] = False
+            self._learn([w for w, k in zip(names, known.tolist(), strict=True) if not k])
+            at, _ = self._find(names)
+        at = at[coded.indices.to_numpy()]
+        first, sizes = self.first[at], self.size[at]
+        done = np.append(0, np.cumsum(sizes, dtype=np.int64))
         ids = self.ids[np.arange(done[-1]) + np.repeat(first - done[:-1], sizes)]
         ends = done[np.cumsum(pc.list_value_length(words).to_numpy())]
         ids = np.insert(ids, ends, self.kind.type(self.end))
         return _binary(ids.view(np.uint8), (ends + np.arange(1, len(ends) + 1)) * self.kind.itemsize, pa.binary())
 
-    def _keep(self, words: list[bytes], ids: np.ndarray, cuts: np.ndarray) -> None:
-        """Words with their ids: each one's end at its cut."""
-        n = len(self.known)
-        used = int(self.ends[n - 1]) if n else 0
-        while n + len(words) > len(self.ends):
-            self.ends = np.append(self.ends, np.zeros_like(self.ends))
-        while used + len(ids) > len(self.ids):
+    def _find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word, by a hash of 64 bits, and whether it is known."""
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.hash, hashes), max(0, len(self.hash) - 1))
+        return at, (self.hash[at] == hashes) if len(self.hash) else np.zeros(len(words), bool)
+
+    def _keep(self, words: list[bytes], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        """Different new words with their ids, in a row, and how many each has."""
+        if not words:
+            return
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.ids[used : used + len(ids)] = ids
-        self.ends[n : n + len(words)] = used + cuts
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def _of(self, word: bytes) -> np.ndarray:
-        i = self.known[word]
-        return self.ids[self.ends[i - 1] if i else 0 : self.ends[i]]
+        self.ids[self.used : self.used + len(ids)] = ids
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hash, hashes[order])
+        first = self.used + np.cumsum(sizes) - sizes
+        self.hash, self.first, self.size = (np.insert(old, place, new[order]) for old, new in ((self.hash, hashes), (self.first, first), (self.size, sizes.astype(np.int32))))
+        self.used += len(ids)
 
     def _learn(self, new: list[bytes]) -> None:
         """Encode different words; a stop at the end of one is a piece of its own, so what is before it is encoded alone."""
@@ -188,20 +180,22 @@ class WordTokenizer:
             core = word.rstrip(_TAIL)
             if len(core) < len(word) and core and _apart(core):
                 parted.append((word, core, word[len(core) :]))
-                for part in parted[-1][1:]:
-                    if part not in self.known:
-                        (plain if part.decode().isalpha() else other)[part] = None
             else:
                 (plain if word.decode().isalpha() else other)[word] = None
-        for words, fast in ((list(plain), True), (list(other), False)):
-            for low in range(0, len(words), NEW_WORDS):
-                self._learn_some(words[low : low + NEW_WORDS], fast)
+        parts = list(dict.fromkeys(x for _, *both in parted for x in both))
+        for part, known in zip(parts, self._find(parts)[1].tolist(), strict=True):
+            if not known:
+                (plain if part.decode().isalpha() else other)[part] = None
+        learnt = [self._learn_some(words[low : low + NEW_WORDS], fast) for words, fast in ((list(plain), True), (list(other), False)) for low in range(0, len(words), NEW_WORDS)]
+        self._keep([*plain, *other], [ids for ids, _ in learnt], [sizes for _, sizes in learnt])
         if parted:
-            ids = [np.concatenate([self._of(core), self._of(tail)]) for _, core, tail in parted]
-            self._keep([word for word, *_ in parted], np.concatenate(ids), np.cumsum([len(x) for x in ids]))
+            at = self._find([x for _, *both in parted for x in both])[0]
+            sizes = self.size[at].astype(np.int64)
+            ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.first[at] - (np.cumsum(sizes) - sizes), sizes)]
+            self._keep([word for word, *_ in parted], [ids], [sizes.reshape(-1, 2).sum(axis=1)])
 
-    def _learn_some(self, words: list[bytes], fast: bool) -> None:
-        """Encode words in one go, a space apart; those of letters alone are one piece each, others are told by where their ids begin."""
+    def _learn_some(self, words: list[bytes], fast: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, in a row, and how many each has. They are encoded in one go, a space apart; those of letters alone are one piece each, others are told by where their ids begin."""
         joined = b" ".join(words).decode()
         if fast:
             own = self.bare if joined.isascii() and joined.islower() or joined.lower() == joined and unicodedata.is_normalized("NFC", joined) else self.tokenizer
@@ -212,7 +206,7 @@ class WordTokenizer:
             begin = np.fromiter(chain.from_iterable(found.offsets), np.int64)[::2]
             ids = np.array(found.ids, self.kind)
             cuts = np.searchsorted(begin, np.cumsum([len(w.decode()) + 1 for w in words]), side="left")
-        self._keep(words, ids, cuts)
+        return ids, np.diff(cuts, prepend=0)
 
 
 def _apart(core: bytes) -> bool:

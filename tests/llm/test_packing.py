@@ -72,7 +72,7 @@ def test_neighbours_follow_bm25():
     assert index.neighbours(0, np.array([False, False, True, True, True])).tolist() == [3]
 
 
-def test_words_seen_again_are_recalled(monkeypatch):
+def test_words_are_forgotten_and_learned_again(monkeypatch):
     monkeypatch.setattr(P, "WORD_CACHE", 60)
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdeé.,#1"), int(n))) for n in rng.integers(1, 7, 120)]
@@ -80,7 +80,7 @@ def test_words_seen_again_are_recalled(monkeypatch):
     for _ in range(60):
         texts = [" ".join(rng.choice(words, 8)) for _ in range(2)]
         assert [np.frombuffer(c, "<u2").tolist() for c in W.encode(pa.array([t.encode() for t in texts], pa.binary())).to_pylist()] == [whole(t) for t in texts]
-        assert len(W.known) <= 30 + 40 and len(W.before[0]) <= 30 + 40
+        assert len(W.hash) <= 60 + 40 and (np.diff(W.hash.astype(object)) > 0).all()
 
 
 def test_index_equals_brute_force():
