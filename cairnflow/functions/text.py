@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,12 +116,23 @@ def needs_legal_context(text: Column) -> Column:
 
 
 def pii_flags(text: Column, *, prefix_stems: bool = False) -> Column:
-    """(email, phone, national_id, keyword, name, any) of a text. With ``prefix_stems`` a stem may go on."""
+    """(email, phone, national_id, keyword, name, any) of a text. With ``prefix_stems`` a stem may go on.
+
+    Classes and word bounds are those of Unicode. A pattern is only tried where a plain
+    search finds what it can't do without.
+    """
     t = F.coalesce(text, F.lit(""))
-    end = "" if prefix_stems else r"\b"
-    email, phone, number = t.rlike(EMAIL), t.rlike(PHONE), t.rlike(NATIONAL_ID)
-    keyword, name = t.rlike(rf"(?i)\b({PII_WORDS}){end}"), t.rlike(NAME)
-    any_of = email | phone | number | (keyword & (name | t.rlike(r"(?i)\bpesel\b")))
+    low, end = F.lower(t), "" if prefix_stems else r"\b"
+    stems = [re.sub(r"\[.*|\\s.*", "", w) for w in PII_WORDS.split("|")]
+    some = F.lit(False)
+    for stem in stems:
+        some = some | low.contains(stem)
+    email = t.contains("@") & t.rlike(EMAIL)
+    phone = t.contains("+") & t.rlike(rf"(?U){PHONE}")
+    number = t.rlike(r"(?U)\d{11}") & t.rlike(rf"(?U){NATIONAL_ID}")
+    keyword = some & t.rlike(rf"(?iU)\b({PII_WORDS}){end}")
+    name = t.rlike(rf"(?U){NAME}")
+    any_of = email | phone | number | (keyword & (name | t.rlike(r"(?iU)\bpesel\b")))
     named = {"email": email, "phone": phone, "national_id": number, "keyword": keyword, "name": name, "any": any_of}
     return F.struct(*(c.alias(n) for n, c in named.items()))
 
@@ -200,3 +213,19 @@ def answer_relevancy(question: Column, answer: Column) -> Column:
     both = word_overlap(question, answer)
     bonus = F.least(F.lit(0.2), F.size(words(answer)) / 100.0)
     return F.when(both > 0.05, F.least(F.lit(1.0), both * 2.0 + 0.5 + bonus)).otherwise(0.15)
+
+
+def search_query(*parts: Column) -> Column:
+    """A search text from the parts that are there."""
+    return F.concat_ws(" ", *(F.when(p != "", p) for p in parts))
+
+
+def joined_context(texts: Column, *, separator: str = "\n\n---\n\n") -> Column:
+    """The texts of an array as one context."""
+    return F.array_join(texts, separator)
+
+
+def token_usage(payload: Column) -> Column:
+    """(prompt_tokens, completion_tokens) of a model's JSON answer, 0 where there are none."""
+    count = lambda *paths: F.coalesce(*(F.get_json_object(payload, p).try_cast("long") for p in paths), F.lit(0).cast("long"))
+    return F.struct(count("$.usage.prompt_tokens", "$.prompt_eval_count").alias("prompt_tokens"), count("$.usage.completion_tokens", "$.eval_count").alias("completion_tokens"))

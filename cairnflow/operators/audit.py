@@ -19,11 +19,11 @@ def band_order(column: Column) -> Column:
 
 
 def current_rates(rates: DataFrame, *, keys: tuple[str, ...] = ("cargo_type",), version_col: str | None = None) -> DataFrame:
-    """One rate for each key: the last by ``version_col``; without one the keys are taken to be unique."""
-    if version_col is None:
-        return rates
+    """One rate for each key: the last by ``version_col``; without one the last in the order of the rows."""
     rest = [c for c in rates.columns if c not in (*keys, version_col)]
-    return rates.groupBy(*keys).agg(F.max_by(F.struct(*rest), version_col).alias("r")).select(*keys, "r.*")
+    ordered = rates if version_col else rates.withColumn("_row", F.monotonically_increasing_id())
+    newest = F.max_by(F.struct(*rest), version_col or "_row")
+    return ordered.groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*")
 
 
 def discrepancies(lines: DataFrame, rates: DataFrame, *, version_col: str | None = None, strict: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the header of a section.
 SECTION = r"^(?:Section|Article|Chapter|\d+\.)\s"
 SCHEMA = "doc_id long, chunk_index int, chunk_type string, parent_index int, content string"
 #: (content, type, index of the parent)
@@ -97,7 +98,7 @@ def _parts(text: str, header: str, most: int) -> list[tuple[str, str]]:
         if groups[-1] and size + len(p) + 1 > most:
             groups.append([])
             size = 0
-        size += len(p) + (1 if groups[-1] or not size else 1)
+        size += len(p) + 1
         groups[-1].append(p)
     many = len(groups) > 1
     return [("\n".join(g), f"{header} (part {i})" if header and many else header) for i, g in enumerate(groups, 1)]
@@ -138,3 +139,21 @@ def parent_clearance(chunks: DataFrame) -> DataFrame:
     """Parents take the highest clearance of their children."""
     highest = chunks.filter("chunk_type = 'child'").groupBy("doc_id", F.col("parent_index").alias("chunk_index")).agg(F.max("clearance_level").alias("_c"))
     return chunks.join(highest, ["doc_id", "chunk_index"], "left").withColumn("clearance_level", F.coalesce("_c", "clearance_level")).drop("_c")
+
+
+def ingested(docs: DataFrame, *, strategy: str = "fixed_size", embed: Callable | None = None, id_col: str = "document_id", **options) -> DataFrame:
+    """Rows of the search index for documents (document_id, text, department_id, clearance_level, source_file).
+
+    Texts are chunked; each chunk has its number, its text, the document's security fields, a
+    dense vector if ``embed`` (a column to a column) is given, and its terms with their
+    counts. An empty text has no chunks.
+    """
+    from ..functions.text import tokens
+
+    pieces = chunked(docs.select(F.monotonically_increasing_id().alias("_row"), "text"), strategy, id_col="_row", **options)
+    facts = docs.select(F.monotonically_increasing_id().alias("_row"), id_col, "department_id", "clearance_level", "source_file")
+    rows = pieces.withColumnRenamed("doc_id", "_row").join(facts, "_row")
+    words = tokens(F.col("content"))
+    terms = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(words)), lambda t: F.struct(t, F.size(F.filter(words, lambda w: w == t)))))
+    dense = [] if embed is None else [embed(F.col("content")).alias("dense")]
+    return rows.select(F.concat_ws(":", id_col, "chunk_index").alias("id"), "content", id_col, "department_id", "clearance_level", "source_file", "chunk_index", *dense, terms.alias("sparse"))

@@ -49,26 +49,29 @@ def prefixed_sha256(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
-def compliance_report(entries: DataFrame, start: Column, end: Column) -> DataFrame:
+def compliance_report(entries: DataFrame, start: Column, end: Column, *, chains: DataFrame | None = None) -> DataFrame:
     """The report of a period: counts, models, users, approvals, cost, degraded entries and a completeness hash.
 
     Entries are first added up by level, model and user, which bounds what the last
-    step sees by their number.
+    step sees by their number. With ``chains``, the result of :func:`verify_chains`, it
+    also tells whether all of them are whole.
     """
-    own = entries.filter(F.col("created_at").between(start, end))
-    cost = F.sum("total_cost_eur") if "total_cost_eur" in entries.columns else F.lit(0).cast("decimal(18,6)")
-    total = F.count("*")
-    stamp = prefixed_sha256(F.concat_ws(":", total.cast("string"), iso_utc(start), iso_utc(end)))
-    return own.agg(
-        total.alias("total_entries"),
+    zero = F.lit(0).cast("decimal(18,6)")
+    cost = F.col("total_cost_eur").cast("decimal(18,6)") if "total_cost_eur" in entries.columns else zero
+    per = entries.filter(F.col("created_at").between(start, end)).groupBy("log_level", "model_version", "user_id").agg(F.count("*").alias("n"), F.count("hitl_approver_id").alias("approved"), F.count_if("is_degraded").alias("degraded"), F.sum(cost).alias("cost"))
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    stamp = prefixed_sha256(F.concat_ws(":", add("n").cast("string"), iso_utc(start), iso_utc(end)))
+    out = per.agg(
+        add("n").alias("total_entries"),
         F.array_sort(F.collect_set("model_version")).alias("models_used"),
         F.countDistinct("user_id").alias("unique_users"),
-        F.count("hitl_approver_id").alias("hitl_approvals"),
-        F.coalesce(cost, F.lit(0).cast("decimal(18,6)")).alias("total_cost"),
-        F.count_if("is_degraded").alias("degraded_count"),
-        *(F.count_if(F.col("log_level") == level).alias(level) for level in ("full_trace", "summary", "metadata_only")),
+        add("approved").alias("hitl_approvals"),
+        F.coalesce(F.sum("cost"), zero).alias("total_cost"),
+        add("degraded").alias("degraded_count"),
+        *(add(F.when(F.col("log_level") == level, F.col("n"))).alias(level) for level in ("full_trace", "summary", "metadata_only")),
         stamp.alias("entry_count_hash"),
     )
+    return out if chains is None else out.crossJoin(chains.agg(F.coalesce(F.bool_and("valid"), F.lit(True)).alias("chain_valid")))  # one row each
 
 
 def proportion_bias(counts: DataFrame, *, min_entries: int = 30, times: float = 2.0) -> DataFrame:
@@ -166,9 +169,21 @@ def document_versions(docs: DataFrame) -> DataFrame:
     return keyed.withColumn("document_id", first).withColumn("version", F.row_number().over(order)).select("document_id", "version", "source_hash", "doc_id")
 
 
-def lineage(versions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunk versions beside their document versions, by (version_id)."""
-    return versions.join(chunks, "version_id")
+def lineage(versions: DataFrame, chunks: DataFrame, *, document_id: int | str | None = None) -> DataFrame:
+    """Chunk versions beside their document versions by version_id, of one document if given, in the order of version and chunk."""
+    own = versions if document_id is None else versions.filter(F.col("document_id") == document_id)
+    joined = own.join(chunks, "version_id")
+    return joined if document_id is None else joined.orderBy("version", "chunk_index")
+
+
+def full_lineage(versions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document_id, versions, chunks): all versions of a document and all its chunks, each list in order.
+
+    A list holds the versions and chunks of one document, not of the corpus.
+    """
+    own = versions.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("version", "version_id", "source_hash"))).alias("versions"))
+    per = lineage(versions, chunks).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("version", "chunk_index", "content_hash"))).alias("chunks"))
+    return own.join(per, "document_id", "left").select("document_id", "versions", F.coalesce("chunks", F.array().cast(per.schema["chunks"].dataType)).alias("chunks"))
 
 
 def verified_sources(claims: DataFrame, versions: DataFrame) -> DataFrame:
@@ -204,3 +219,49 @@ def vault_delete(vault: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """The vault with ``deleted_at`` set, once, for the ids (audit_entry_id)."""
     gone = ids.select("audit_entry_id").distinct().withColumn("_gone", F.lit(True))
     return vault.join(gone, "audit_entry_id", "left").withColumn("deleted_at", F.coalesce("deleted_at", F.when(F.col("_gone"), now))).drop("_gone")
+
+
+def output_hash(payload: Column) -> Column:
+    """A hash of the ``output`` of a trace's JSON, written with sorted keys, so that their order doesn't matter; null counts as null."""
+    import hashlib
+    import json
+
+    @F.pandas_udf("string")
+    def hashed(texts: pd.Series) -> pd.Series:
+        own = (json.dumps(json.loads(t or "{}").get("output"), sort_keys=True, default=str) for t in texts)
+        return pd.Series(["sha256:" + hashlib.sha256(x.encode()).hexdigest() for x in own], dtype=object)
+
+    return hashed(payload)
+
+
+def snapshots(traces: DataFrame, *, payload: str = "payload") -> DataFrame:
+    """Audit fields of traces given as JSON: tokens and cost (0 where missing), model (null) and a hash of the output."""
+    text = F.col(payload)
+    number = lambda path, kind: F.coalesce(F.get_json_object(text, path).try_cast(kind), F.lit(0).cast(kind))
+    return traces.select(
+        "trace_id",
+        number("$.usage.prompt_tokens", "long").alias("prompt_tokens"),
+        number("$.usage.completion_tokens", "long").alias("completion_tokens"),
+        number("$.cost", "decimal(18,6)").alias("total_cost_eur"),
+        F.get_json_object(text, "$.model").alias("model_version"),
+        output_hash(text).alias("response_hash"),
+    )
+
+
+def metadata_field(metadata: Column, name: str) -> Column:
+    """A field of metadata kept as JSON text."""
+    return F.get_json_object(metadata, f"$.{name}")
+
+
+def legal_findings(found: DataFrame, *, contract_id: str, parent_clearance: int | None = None) -> DataFrame:
+    """What a search under a raised clearance found for a contract, cut back to the asker's own; a missing level counts as 1."""
+    from .retrieval import cleared
+
+    level = F.when(F.coalesce("clearance_level", F.lit(0)) == 0, 1).otherwise(F.col("clearance_level"))
+    own = found.withColumn("clearance_level", level).withColumn("contract_id", F.lit(contract_id))
+    return own if parent_clearance is None else cleared(own, parent_clearance)
+
+
+def entry(entries: DataFrame, entry_id: int | str, *, key: str = "id") -> DataFrame:
+    """The row of a key, none if there is no such."""
+    return entries.filter(F.col(key) == entry_id).limit(1)

@@ -30,12 +30,33 @@ def bearing(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
 
 
 def headings(pings: DataFrame, *, least: float = 0.0001) -> DataFrame:
-    """Adds ``heading`` from the previous position, kept while a truck moves less than ``least`` degrees; 0 at first."""
-    order = Window.partitionBy("truck_id").orderBy("ts", "seq")
-    lat, lng = F.lag("latitude").over(order), F.lag("longitude").over(order)
-    moved = (F.abs(F.col("latitude") - lat) > least) | (F.abs(F.col("longitude") - lng) > least)
-    turn = F.when(moved, F.round(bearing(lat, lng, F.col("latitude"), F.col("longitude")), 4))
-    return pings.withColumn("_turn", turn).withColumn("heading", F.coalesce(F.last("_turn", ignorenulls=True).over(order), F.lit(0.0))).drop("_turn")
+    """Adds ``heading``: the bearing from the last accepted position to the one that moved on from it; 0 at first.
+
+    A position is accepted when it lies over ``least`` degrees from the last accepted one, so
+    small steps add up until they count. A task walks the sorted pings of its trucks with
+    one position each in hand.
+    """
+    import math
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, lat, lng, now = None, None, None, 0.0
+        for batch in batches:
+            out = []
+            for truck, y, x in zip(*(batch.column(c).to_pylist() for c in ("truck_id", "latitude", "longitude")), strict=True):
+                if truck != own or lat is None:
+                    own, lat, lng, now = truck, y, x, 0.0
+                elif y is not None and x is not None and (abs(y - lat) > least or abs(x - lng) > least):
+                    east = (x - lng) * math.cos(math.radians((lat + y) / 2))
+                    now = (math.degrees(math.atan2(east, y - lat)) + 360.0) % 360.0
+                    lat, lng = y, x
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "heading"])
+
+    rows = pings.repartition("truck_id").sortWithinPartitions("truck_id", "ts", "seq")
+    return rows.mapInArrow(walk, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pings.schema) + ", heading double")
 
 
 def compass(degrees: Column) -> Column:
@@ -138,3 +159,56 @@ def breaker_states(calls: DataFrame, *, failures: int = 5, reset_seconds: float
 def retry_delay(attempt: Column, *, base: float = 1.0, most: float = 30.0) -> Column:
     """Seconds before a retry, doubling up to a limit, without jitter."""
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))
+
+
+def jittered_delay(attempt: Column, draw: Column, *, base: float = 1.0, most: float = 30.0) -> Column:
+    """Full jitter: a share, ``draw`` from 0 to 1, of the delay without it."""
+    return retry_delay(attempt, base=base, most=most) * draw
+
+
+def near_waypoint(progress: Column, waypoint: Column, points: Column, *, band: float = 0.15) -> Column:
+    """Whether a trip's progress lies within the band around a waypoint's share of the way."""
+    return F.abs(progress - waypoint / F.greatest(points - 1, F.lit(1))) <= band
+
+
+def anomaly_progress(progress: Column, waypoint: Column, points: Column, *, band: float = 0.15) -> Column:
+    """From 0 at the start of the band around a waypoint to 1 at its end."""
+    start = waypoint / F.greatest(points - 1, F.lit(1)) - band
+    return F.least(F.greatest((progress - start) / (2 * band), F.lit(0.0)), F.lit(1.0))
+
+
+def even_points(points: Column, n: int) -> Column:
+    """``n`` evenly spaced elements of an array with both ends; all of a shorter one."""
+    step = (F.size(points) - 1) / F.lit(float(max(1, n - 1)))
+    picked = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(points, F.round(i * step).cast("int")))
+    return F.when(F.size(points) <= n, points).otherwise(picked)
+
+
+def truck_shard(truck: Column, shards: int) -> Column:
+    """The number at the end of a truck's id modulo the shards; 0 without one."""
+    return F.pmod(F.coalesce(F.regexp_extract(truck, r"(\d+)$", 1).try_cast("long"), F.lit(0)), F.lit(shards)).cast("int")
+
+
+def route_label(route: Column) -> Column:
+    """``milan-berlin`` as ``Milan → Berlin``."""
+    return F.array_join(F.transform(F.split(route, "-"), lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))), " → ")
+
+
+def message_rate(rows: DataFrame) -> DataFrame:
+    """One row: messages and messages a second over the time that they span, a second at least."""
+    span = (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1e6
+    return rows.agg(F.count("*").alias("n"), F.round(F.count("*") / F.greatest(F.coalesce(span, F.lit(0.0)), F.lit(1.0)), 6).alias("per_second"))
+
+
+def active_anomalies(trucks: DataFrame, *, column: str = "anomaly") -> DataFrame:
+    return trucks.filter(F.col(column).isNotNull())
+
+
+def alert_histogram(alerts: DataFrame) -> DataFrame:
+    """(alert_type, severity, n) for the map's side panel."""
+    return alerts.groupBy("alert_type", "severity").agg(F.count("*").alias("n"))
+
+
+def shown_rows(rows: DataFrame, n: int = 20, *, by: str = "ts", tie: str = "seq") -> DataFrame:
+    """The newest n rows for display: an ordered limit, which Spark takes in every partition first."""
+    return rows.orderBy(F.col(by).desc(), F.col(tie).desc()).limit(n)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import elements_at, with_before
+
 
 def retrieval_metrics(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, k: int, *, id_col: str = "doc_id") -> DataFrame:
     """precision, recall and reciprocal_rank of each query over its distinct documents; 0 where there is nothing.
@@ -27,6 +29,13 @@ def metrics_by(metrics: DataFrame, key: str) -> DataFrame:
     return metrics.rollup(key).agg(F.count("*").alias("n"), mean("precision"), mean("recall"), mean("reciprocal_rank"))
 
 
+def hit_details(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, k: int, *, id_col: str = "doc_id") -> DataFrame:
+    """(query_id, hit, hit_rank) of each query: its first relevant document among the first k, null without one; latency_ms passes through."""
+    first = retrieved.filter(F.col("rank") <= k).join(relevant.select("query_id", id_col).distinct(), ["query_id", id_col], "left_semi").groupBy("query_id").agg(F.min("rank").alias("hit_rank"))
+    more = ["latency_ms"] if "latency_ms" in queries.columns else []
+    return queries.join(first, "query_id", "left").select("query_id", F.col("hit_rank").isNotNull().alias("hit"), "hit_rank", *more)
+
+
 def hit_rate(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, k: int, *, id_col: str = "doc_id") -> DataFrame:
     """Share of queries with a relevant document among the first k; one that expects none is hit by an empty answer."""
     top = retrieved.filter(F.col("rank") <= k)
@@ -39,11 +48,9 @@ def hit_rate(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, k: i
 
 
 def average_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean rank, from counts of each value: no row-wise window over all rows."""
-    per = rows.groupBy(column).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn(out, before + (F.col("_c") + 1) / 2.0).drop("_c")
-    return rows.join(ranked, column)
+    """Ranks from 1 of a numeric column, ties sharing their mean rank, from counts of each value."""
+    per = with_before(rows.groupBy(column).agg(F.count("*").alias("_c")), column, "_c")
+    return rows.join(per.select(column, (F.col("before") + (F.col("_c") + 1) / 2.0).alias(out)), column)
 
 
 def spearman(rows: DataFrame, x: str, y: str, *, minimum: float = 0.85, least: int = 5) -> DataFrame:
@@ -89,38 +96,102 @@ def passes_gate(*scores: Column, threshold: float = 0.8) -> Column:
     return out
 
 
-def bootstrap_ci(scores: DataFrame, *, column: str = "score", resamples: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
+#: Counts of a Poisson distribution of mean 1: a draw from 0 to DRAWS - 1 counts once for each of these that it reaches.
+DRAWS = 2147483647
+POISSON_STEPS = tuple(int(p * DRAWS) for p in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119))
+
+
+def bootstrap_ci(scores: DataFrame, *, key: str = "doc_id", column: str = "score", resamples: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
     """One row (n, mean, lower, upper): a Poisson bootstrap, in which a score counts k times in a resample with P(k) of mean 1.
 
-    Each row draws its count for every resample from a hash, so the resamples are sums
-    that combine before one small shuffle, whatever the number of scores.
+    Each row draws its counts from its integer ``key`` and the resample's number, by rounds
+    of squaring modulo a prime. A task adds up all resamples of its rows in arrays, so a row
+    for each task and resample is shuffled, whatever the number of scores. Resamples that
+    draw nobody are left out; bounds are the means at the shares of the others. Null scores
+    don't count. Under 3 scores are an error.
     """
-    rows = scores.select(F.col(column).cast("double").alias("s"), F.xxhash64(*scores.columns).alias("_h"))
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    u = F.pmod(F.xxhash64("_h", "_r", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    k = sum(((u >= c).cast("int") for c in steps), F.lit(0))
-    drawn = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_k", k)
-    means = drawn.groupBy("_r").agg((F.sum(F.col("s") * F.col("_k")) / F.sum("_k")).alias("m"))
-    ordered = means.agg(F.array_sort(F.collect_list("m")).alias("m"))
-    low, high = max(0, int((1 - level) / 2 * resamples)), min(resamples - 1, int((1 + level) / 2 * resamples))
-    bounds = ordered.select(F.element_at("m", low + 1).alias("lower"), F.element_at("m", high + 1).alias("upper"))
-    return rows.agg(F.count("*").alias("n"), F.avg("s").alias("mean")).join(bounds)
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows = scores.select(F.pmod(F.col(key).cast("long"), F.lit(DRAWS)).alias("key"), F.col(column).cast("double").alias("s")).filter("s IS NOT NULL AND key IS NOT NULL")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(resamples, dtype=np.int64)[None, :]
+        total, weight = np.zeros(resamples), np.zeros(resamples, np.int64)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                own, s = (batch.column(i).slice(low, 1024).to_numpy() for i in range(2))
+                x = (own[:, None] * 48271 + number * 16807 + seed) % DRAWS
+                for _ in range(3):
+                    x = (x * x + own[:, None] + number) % DRAWS
+                k = sum((x >= step).astype(np.int64) for step in POISSON_STEPS)
+                total += s @ k
+                weight += k.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(number[0]), pa.array(total), pa.array(weight)], names=["r", "t", "w"])
+
+    means = rows.mapInArrow(draw, "r long, t double, w long").groupBy("r").agg(F.try_divide(F.sum("t"), F.sum("w")).alias("m"))
+    ordered = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # a number for each resample
+    size = F.size("m")
+    low, high = (F.floor(size * F.lit(x)).cast("int") for x in ((1 - level) / 2, (1 + level) / 2))
+    bounds = ordered.select(F.get("m", low).alias("lower"), F.get("m", F.least(size - 1, high)).alias("upper"))
+    facts = rows.agg(F.count("*").alias("n"), F.avg("s").alias("mean"))
+    few = F.raise_error(F.concat(F.lit("a bootstrap needs 3 scores, not "), F.col("n").cast("string"))).cast("long")
+    return facts.crossJoin(bounds).select(F.when(F.col("n") < 3, few).otherwise(F.col("n")).alias("n"), "mean", "lower", "upper")  # one row each
 
 
 def provider_benchmark(results: DataFrame) -> DataFrame:
-    """Accuracy, p50, p95 (the element at int(0.95 n)), mean latency and tokens a second of each provider."""
-    order = Window.partitionBy("provider").orderBy("latency_ms", "trace_id")
-    size = Window.partitionBy("provider")
-    rows = results.withColumn("_n", F.count("*").over(size)).withColumn("_i", F.row_number().over(order))
+    """Accuracy over all rows, p50 (the median), p95 (the element at int(0.95 n)), mean latency, tokens a second and mean cost of successes of each provider.
+
+    A result without ``correct`` counts as wrong. The two quantiles come from counts of the latencies.
+    """
+    places = {"_a": "(n - 1) div 2", "_b": "n div 2", "p95_ms": "CAST(floor(n * 0.95D) AS BIGINT)"}
+    found = elements_at(results, "latency_ms", "provider", places)
     seconds = F.sum("latency_ms") / 1000
-    return rows.groupBy("provider").agg(
+    cost = F.avg(F.when(F.col("success"), F.col("cost"))) if {"success", "cost"} <= set(results.columns) else F.lit(None).cast("double")
+    per = results.groupBy("provider").agg(
         F.count("*").alias("n"),
-        F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"),
-        F.round(F.percentile("latency_ms", 0.5), 4).alias("p50_ms"),
-        F.max(F.when(F.col("_i") == F.floor(F.col("_n") * 0.95) + 1, F.col("latency_ms"))).alias("p95_ms"),
+        F.round(F.avg(F.coalesce(F.col("correct"), F.lit(False)).cast("double")), 6).alias("accuracy"),
         F.round(F.avg("latency_ms"), 4).alias("mean_ms"),
         F.round(F.when(seconds > 0, F.sum("completion_tokens") / seconds).otherwise(0.0), 4).alias("tokens_per_s"),
+        F.round(cost, 6).alias("success_cost"),
     )
+    out = per.join(found, "provider", "left").withColumn("p50_ms", F.round((F.col("_a") + F.col("_b")) / 2, 4))
+    return out.select("provider", "n", "accuracy", "p50_ms", "p95_ms", "mean_ms", "tokens_per_s", "success_cost")
+
+
+def category_accuracy(results: DataFrame) -> DataFrame:
+    """(provider, category, n, accuracy) of a benchmark; unanswered numbers (null) are left out of both."""
+    return results.filter(F.col("correct").isNotNull()).groupBy("provider", "category").agg(F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"))
+
+
+def category_matrix(results: DataFrame, models: list[str], *, base: str) -> DataFrame:
+    """A row for each category and, without one, for all: a model's mean score, its difference from the base model's, and its mean latency."""
+    mean = lambda m, c: F.avg(F.when(F.col("model") == m, F.col(c)))
+    columns = [F.round(mean(m, "score"), 6).alias(m) for m in models]
+    columns += [F.round(mean(m, "score") - mean(base, "score"), 6).alias(f"{m}_delta") for m in models if m != base]
+    columns += [F.round(mean(m, "latency_ms"), 4).alias(f"{m}_ms") for m in models]
+    return results.rollup("category").agg(F.count("*").alias("n"), *columns)
+
+
+def outage_phases(responses: DataFrame) -> DataFrame:
+    """Responses of each phase of an outage: how many, how many degraded, and whether all are."""
+    return responses.groupBy("phase").agg(F.count("*").alias("n"), F.count_if("degraded").alias("degraded"), F.bool_and("degraded").alias("all_degraded"))
+
+
+def tier_counts(routed: DataFrame) -> DataFrame:
+    return routed.groupBy("tier").agg(F.count("*").alias("n"))
+
+
+def eval_means(pairs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
+    """One row: mean heuristic scores of (question, context, answer) and whether all pass the gate."""
+    from ..functions import text as X
+
+    q, c, a = (F.col(x) for x in ("question", "context", "answer"))
+    scored = pairs.select(X.context_precision(q, c, a).alias("precision"), X.faithfulness(q, c, a).alias("faithfulness"), X.answer_relevancy(q, a).alias("relevancy"))
+    means = scored.agg(F.count("*").alias("n"), *(F.round(F.avg(x), 6).alias(x) for x in ("precision", "faithfulness", "relevancy")))
+    return means.withColumn("passes", passes_gate(*(F.col(x) for x in ("precision", "faithfulness", "relevancy")), threshold=threshold))
 
 
 def paired_comparison(metrics: DataFrame, *, arm: str = "arm", base: str = "base", treated: str = "treated") -> DataFrame:
@@ -136,16 +207,54 @@ def chunk_stats(chunks: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), (F.count("*") / F.countDistinct(id_col)).alias("per_doc"), F.avg(size).alias("mean_size"), F.min(size).alias("min_size"), F.max(size).alias("max_size"), F.stddev_samp(size).alias("sd_size"))
 
 
-def clause_integrity(clauses: DataFrame, chunks: DataFrame, *, probe: int = 24) -> DataFrame:
-    """Clauses (item_id, text) with ``whole``: some chunk holds all of one.
+#: Bytes of clauses that a task searches for at once.
+CLAUSE_BYTES = 16 << 20
+
 
-    Chunks and clauses meet on a clause's rarest-looking word (its longest), which any
-    chunk with the whole clause has too; only those pairs are searched for the text.
+def texts_with(clauses: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """Different clauses (text) that lie in any of the texts, as plain substrings.
+
+    Every text is scanned once for each block of clauses, all of them together, so nothing
+    is paired; a block holds ``CLAUSE_BYTES`` or so, and one usually holds all.
     """
-    from ..functions.text import tokens
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    wanted = clauses.select("text").filter("text <> ''").distinct()
+    total = wanted.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // CLAUSE_BYTES))
+
+    def scan(own: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            search, seen = ahocorasick.Automaton(), set()
+            for clause in own:
+                search.add_word(clause, clause)
+            search.make_automaton()
+            for batch in batches:
+                new = {c for x in batch.column(0) if x.is_valid for _, c in search.iter(x.as_py())} - seen
+                seen |= new
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], names=["text"])
+
+        return run
+
+    out = None
+    for block in range(blocks):
+        own = [r.text for r in wanted.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+        found = texts.select(column).mapInArrow(scan(own), "text string") if own else wanted.filter("false")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def clause_integrity(clauses: DataFrame, chunks: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Clauses (item_id, text) that lie in a text of the corpus, with ``whole``: some chunk (content) holds all of one."""
+    there = texts_with(clauses, corpus, "text")
+    whole = texts_with(clauses, chunks, "content").withColumn("_whole", F.lit(True))
+    return clauses.join(there, "text", "left_semi").join(whole, "text", "left").select("item_id", F.coalesce("_whole", F.lit(False)).alias("whole"))
+
 
-    longest = F.array_max(F.transform(tokens(F.col("text")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    probes = clauses.select("item_id", F.col("text").alias("_clause"), longest.alias("_term"))
-    words = chunks.select("content", F.explode(F.array_distinct(tokens(F.col("content")))).alias("_term"))
-    found = words.join(probes, "_term").filter(F.col("content").contains(F.col("_clause"))).select("item_id").distinct().withColumn("_whole", F.lit(True))
-    return clauses.join(found, "item_id", "left").select("item_id", F.coalesce("_whole", F.lit(False)).alias("whole"))
+def integrity_rate(found: DataFrame) -> DataFrame:
+    """One row of :func:`clause_integrity`: clauses, whole ones and their share (0 without any)."""
+    return found.agg(F.count("*").alias("total"), F.count_if("whole").alias("intact"), F.round(F.coalesce(F.avg(F.col("whole").cast("double")), F.lit(0.0)), 6).alias("rate"))

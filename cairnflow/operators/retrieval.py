@@ -6,6 +6,12 @@ it reaches the scan and no arm is filled with rows that the user may not see.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +67,82 @@ def dense_scores(queries: DataFrame, corpus: DataFrame, *, id_col: str = "doc_id
     return c.crossJoin(q).select("query_id", id_col, score.alias("score"))
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "doc_id") -> DataFrame:
-    return top_k(dense_scores(queries, corpus, id_col=id_col), k, id_col=id_col)
+#: Queries that a task scores at once, and rows that it scores them on.
+QUERY_BLOCK = 1024
+ROW_BLOCK = 2000
+
+
+def _blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    """The query set in blocks of about ``QUERY_BLOCK``, dealt by hash; each is small enough for the driver and every task."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the k best finite scores of each column, ties by id."""
+    rows, columns = [], []
+    for q in range(scores.shape[1]):
+        own = scores[:, q]
+        if len(own) > k:
+            found = np.flatnonzero(own >= np.partition(own, -k)[-k])
+            found = found[np.isfinite(own[found])]
+        else:
+            found = np.flatnonzero(np.isfinite(own))
+        found = found[np.lexsort((ids[found], -own[found]))][:k]
+        rows.append(found)
+        columns.append(np.full(len(found), q))
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(rows), join(columns)
+
+
+def _scored(corpus: DataFrame, blocks: list, score: Callable, k: int, id_col: str, query_type: str) -> DataFrame:
+    """The best rows of each query in each part of the corpus: ``score(block, batch)`` gives rows x queries."""
+    id_type = corpus.schema[id_col].dataType.simpleString()
+    schema = f"query_id {query_type}, `{id_col}` {id_type}, score double"
+    out = None if blocks else corpus.sparkSession.createDataFrame([], schema)
+    for block in blocks:
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for low in range(0, whole.num_rows, ROW_BLOCK):
+                    batch = whole.slice(low, ROW_BLOCK)
+                    scores = score(block, batch)
+                    rows, columns = _best(scores, np.array(batch.column(0).to_pylist()), k)
+                    yield pa.RecordBatch.from_arrays([block["ids"].take(pa.array(columns)), batch.column(0).take(pa.array(rows)), pa.array(scores[rows, columns])], names=["query_id", id_col, "score"])
+
+        part = corpus.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Vectors as rows, missing elements as zeros."""
+    rows = column.to_pylist()
+    width = width or max((len(r) for r in rows if r), default=0)
+    out = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        own = [0.0 if x is None else x for x in (r or [])[:width]]
+        out[i, : len(own)] = own
+    return out
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "doc_id", digits: int = 6) -> DataFrame:
+    """The k rows most alike (cosine) to each query; the query set goes over all rows in blocks, as matrix products."""
+    blocks = []
+    for own in _blocks(queries.select("query_id", "embedding")):
+        rows = own.toArrow().combine_chunks()
+        if not rows.num_rows:
+            continue
+        vectors = _matrix(rows["embedding"])
+        blocks.append({"ids": pa.array(rows["query_id"].to_pylist(), rows["query_id"].type), "unit": vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)})
+
+    def score(block: dict, batch: pa.RecordBatch) -> np.ndarray:
+        own = _matrix(batch.column(1), block["unit"].shape[1])
+        return np.round(own @ block["unit"].T / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300), digits)
+
+    found = _scored(corpus.select(id_col, "embedding"), blocks, score, k, id_col, queries.schema["query_id"].dataType.simpleString())
+    return top_k(found, k, id_col=id_col)
 
 
 def term_frequencies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,8 +171,47 @@ def sparse_scores(queries: DataFrame, corpus: DataFrame, *, id_col: str = "doc_i
     return scored.filter("score > 0")
 
 
-def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "doc_id") -> DataFrame:
-    return top_k(sparse_scores(queries, corpus, id_col=id_col), k, id_col=id_col)
+def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "doc_id", digits: int = 6) -> DataFrame:
+    """The k rows of each query by :func:`sparse_scores`, without a row for each pair that shares a word.
+
+    Document frequencies are counted first. Then the query set goes over all rows in
+    blocks: each part of the corpus is scored term by term and only its best rows go on, so
+    a word that all texts have is no hot key.
+    """
+    q = term_frequencies(queries, id_col="query_id")
+    words = corpus.select(id_col, F.array_distinct(tokens(F.col("text"))).alias("t")).select(F.explode("t").alias("term"))
+    df = words.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    n = corpus.agg(F.count("*").alias("_n"))
+    idf = df.join(n).select("term", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighted = q.join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    blocks = []
+    for own in _blocks(queries.select("query_id").distinct()):
+        rows = weighted.join(own, "query_id").select("query_id", "term", "weight").toPandas()
+        if rows.empty:
+            continue
+        ids = sorted(rows["query_id"].unique().tolist())
+        at = {i: n for n, i in enumerate(ids)}
+        terms = {t: (np.array([at[i] for i in g["query_id"]]), g["weight"].to_numpy()) for t, g in rows.groupby("term")}
+        blocks.append({"ids": pa.array(ids, pa.int64() if not ids or isinstance(ids[0], int) else pa.string()), "terms": terms})
+
+    def score(block: dict, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((batch.num_rows, len(block["ids"])))
+        held = batch.column(1)
+        coded = held.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(held).to_numpy())
+        live = np.array([t in block["terms"] for t in names], bool)
+        term = coded.indices.to_numpy()
+        own = live[term] if len(term) else np.zeros(0, bool)
+        pair, tf = np.unique(term[own].astype(np.int64) * batch.num_rows + doc[own], return_counts=True)
+        cuts = np.flatnonzero(np.diff(pair // max(1, batch.num_rows), prepend=-1)).tolist()
+        for low, high in itertools.pairwise([*cuts, len(pair)]):
+            queries_of, weight = block["terms"][names[pair[low] // batch.num_rows]]
+            out[np.ix_(pair[low:high] % batch.num_rows, queries_of)] += np.outer(tf[low:high], weight)
+        return np.where(out > 0, np.round(out, digits), -np.inf)
+
+    found = _scored(corpus.select(id_col, tokens(F.col("text")).alias("t")), blocks, score, k, id_col, queries.schema["query_id"].dataType.simpleString())
+    return top_k(found.filter("score > 0"), k, id_col=id_col)
 
 
 def fuse(arms: list[DataFrame], k: int, *, id_col: str = "doc_id", constant: int = RRF_CONSTANT, digits: int = 9) -> DataFrame:
@@ -105,9 +224,70 @@ def fuse(arms: list[DataFrame], k: int, *, id_col: str = "doc_id", constant: int
 
 
 def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, id_col: str = "doc_id", constant: int = RRF_CONSTANT) -> DataFrame:
-    """Both arms give their best 4k rows; fusion orders them."""
+    """Both arms give their best 4k rows; fusion orders them.
+
+    A query may have two texts: with ``sparse_text`` the dense arm goes by the embedding, as
+    of an answer made up for it, and the sparse one by its own words.
+    """
     dense = dense_topk(queries, corpus, PREFETCH * k, id_col=id_col)
-    return fuse([dense, sparse_topk(queries, corpus, PREFETCH * k, id_col=id_col)], k, id_col=id_col, constant=constant)
+    words = queries.withColumn("text", F.col("sparse_text")) if "sparse_text" in queries.columns else queries
+    return fuse([dense, sparse_topk(words.select("query_id", "text"), corpus, PREFETCH * k, id_col=id_col)], k, id_col=id_col, constant=constant)
+
+
+def enhanced_search(
+    queries: DataFrame,
+    corpus: DataFrame,
+    embed: Callable[[DataFrame], DataFrame],
+    k: int = 5,
+    *,
+    sanitize: Callable[[Column], Column] | None = None,
+    classify: Callable[[Column], Column] | None = None,
+    made_up: DataFrame | None = None,
+    split: DataFrame | None = None,
+    score: Callable[[DataFrame], DataFrame] | None = None,
+    rerank_k: int = 20,
+    threshold: float = 0.0,
+    id_col: str = "doc_id",
+) -> DataFrame:
+    """Sanitize, route, transform, search and rerank a set of queries (query_id, text); every step but the search may be left out.
+
+    ``classify`` gives a category (keyword, standard, vague, multi_hop). Vague queries are
+    embedded by their text in ``made_up`` (query_id, text) but keep their own words for
+    the sparse arm; queries of several hops are searched by their parts in ``split``
+    (query_id, part, text) and the best row of each document stays. Without a router both
+    apply to all queries. A keyword query is neither transformed nor reranked. A query that a
+    table doesn't name, as its transformer failed, goes on with its own text; a null score,
+    as the reranker failed, leaves its query in the order of the search.
+    Returns (query_id, id, rank from 1, score, category, stage).
+    """
+    text = F.col("text") if sanitize is None else sanitize(F.col("text"))
+    category = F.lit(None).cast("string") if classify is None else F.coalesce(classify(F.col("_clean")), F.lit("standard"))
+    base = queries.select("query_id", text.alias("_clean")).withColumn("category", category)
+    fits = lambda kind: F.col("category").isNull() | (F.col("category") == kind)
+    plain = base.select("query_id", F.lit(0).alias("part"), F.col("_clean").alias("text"), F.col("_clean").alias("sparse_text"), "category")
+    if made_up is not None:
+        with_text = plain.join(made_up.select("query_id", F.col("text").alias("_t")), "query_id", "left")
+        plain = with_text.withColumn("text", F.when(fits("vague"), F.coalesce("_t", "text")).otherwise(F.col("text"))).drop("_t")
+    if split is not None:
+        parts = split.select("query_id", F.col("part").alias("_part"), F.col("text").alias("_t"))
+        met = plain.join(parts, (plain.query_id == parts.query_id) & fits("multi_hop"), "left").drop(parts.query_id)
+        plain = met.select("query_id", F.coalesce("_part", "part").alias("part"), F.coalesce("_t", "text").alias("text"), F.coalesce("_t", "sparse_text").alias("sparse_text"), "category")
+    limit = k if score is None else rerank_k
+    keyed = plain.withColumn("_name", F.concat_ws(":", "query_id", "part"))
+    found = hybrid_topk(embed(keyed.select(F.col("_name").alias("query_id"), "text", "sparse_text")), corpus, limit, id_col=id_col)
+    merged = found.withColumnRenamed("query_id", "_name").join(keyed.select("_name", "query_id"), "_name").groupBy("query_id", id_col).agg(F.max("score").alias("score"))
+    ranked = top_k(merged, limit, id_col=id_col).join(base.select("query_id", "category", "_clean"), "query_id")
+    if score is None:
+        return ranked.select("query_id", id_col, "rank", "score", "category", F.lit("searched").alias("stage"))
+    keyword = F.coalesce(F.col("category") == "keyword", F.lit(False))
+    own = Window.partitionBy("query_id")
+    judged = ranked.join(score(ranked.filter(~keyword)).select("query_id", id_col, "rerank_score"), ["query_id", id_col], "left")
+    judged = judged.withColumn("_again", ~keyword & (F.count("rerank_score").over(own) == F.count("*").over(own)))
+    judged = judged.withColumn("_order", F.when(F.col("_again"), -F.col("rerank_score")).otherwise(F.lit(0.0)))
+    judged = judged.withColumn("_rank", F.row_number().over(own.orderBy("_order", "rank")))
+    judged = judged.filter((F.col("_rank") <= k) & (~F.col("_again") | (F.col("rerank_score") >= threshold)))
+    final = F.when(F.col("_again"), F.col("rerank_score")).otherwise(F.col("score"))
+    return judged.select("query_id", id_col, F.col("_rank").alias("rank"), final.alias("score"), "category", F.when(F.col("_again"), "reranked").otherwise("searched").alias("stage"))
 
 
 def merged_results(results: list[DataFrame]) -> DataFrame:

@@ -44,16 +44,19 @@ def cost_by_user(spark: SparkSession, d: str) -> DataFrame:
 
 def cost_summary_period(spark: SparkSession, d: str) -> DataFrame:
     own = finops.in_period(_costs(spark, d), F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
-    return finops.cost_summary(own).select(F.col("total_cost").cast("double"), "total_queries", "avg_cost", "cache_hit_rate", F.size("by_agent").alias("agents"))
+    return finops.cost_summary(own).select(F.col("total_cost").cast("double"), "total_queries", "avg_cost", "cache_hit_rate", F.array_join(F.transform(F.map_entries("by_agent"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("decimal(18,8)").cast("string"))), ",").alias("by_agent"))
 
 
 def drift_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """Weekly mean latency and cache rate of each model against the first week's."""
+    """Weekly mean latency and cache rate of each model, every later week against the first."""
     weeks = S.traces(spark, d).withColumn("week", F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7))
     means = weeks.groupBy("model", "week").agg(F.avg("latency_ms").alias("latency"), F.avg(F.col("cache_hit").cast("double")).alias("cache"))
-    long = means.select("model", "week", F.explode(F.create_map(F.lit("latency"), F.round(F.col("latency") / 100, 6), F.lit("cache"), F.round("cache", 6))).alias("metric", "score"))
-    base, now = (long.filter(F.col("week") == w).drop("week") for w in (0, 1))
-    return finops.drift_alerts(base, now)
+    long = means.select("model", "week", F.explode(F.create_map(F.lit("latency"), F.round(F.col("latency") / 20, 6), F.lit("cache"), F.round("cache", 6))).alias("metric", "score"))
+    return finops.drift_alerts(long.filter("week = 0").drop("week"), long.filter("week > 0"))
+
+
+def drift_worst(spark: SparkSession, d: str) -> DataFrame:
+    return finops.worst_severity(drift_alerts(spark, d))
 
 
 def prompt_cache_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -74,8 +77,8 @@ def compliance_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compliance_report(spark: SparkSession, d: str) -> DataFrame:
-    found = compliance.compliance_report(S.audit_entries(spark, d), F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
-    return found.withColumn("models_used", F.array_join("models_used", ",")).drop("total_cost")
+    found = compliance.compliance_report(S.audit_entries(spark, d).withColumn("total_cost_eur", (F.col("id") % 1000 / 1000).cast("decimal(12,6)")), F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
+    return found.withColumn("models_used", F.array_join("models_used", ",")).withColumn("total_cost", F.col("total_cost").cast("double"))
 
 
 def entries_by_level(spark: SparkSession, d: str) -> DataFrame:
@@ -107,8 +110,9 @@ def routing_costs(spark: SparkSession, d: str) -> DataFrame:
     return finops.routing_costs(own.select("scenario", "queries", F.lit(0.7).alias("simple"), F.lit(0.2).alias("medium"), F.lit(0.1).alias("complex")))
 
 
-QUERIES = {f.__name__: f for f in (audit_discrepancies, audit_report, cost_by_agent, cost_by_user, cost_summary_period, drift_alerts, prompt_cache_hits, cache_friendliness, compliance_summary, compliance_report, entries_by_level, fairness_report, audit_rbac_view, chain_verify, document_lineage, routing_costs)}
+QUERIES = {f.__name__: f for f in (audit_discrepancies, audit_report, cost_by_agent, cost_by_user, cost_summary_period, drift_alerts, drift_worst, prompt_cache_hits, cache_friendliness, compliance_summary, compliance_report, entries_by_level, fairness_report, audit_rbac_view, chain_verify, document_lineage, routing_costs)}
 
+_DRIFT = f"WITH {TRACES}, w AS (SELECT model, date_diff('day', DATE '2024-01-01', ts::DATE) // 7 AS week, round(avg(latency_ms) / 20, 6) AS latency, round(avg(cache_hit::INT), 6) AS cache FROM t GROUP BY 1, 2), m AS (SELECT model, week, 'latency' AS metric, latency AS score FROM w UNION ALL SELECT model, week, 'cache', cache FROM w), j AS (SELECT b.model, b.metric, c.week, b.score AS baseline, c.score AS current, round(c.score - b.score, 9) AS delta FROM m b JOIN m c ON b.model = c.model AND b.metric = c.metric AND b.week = 0 AND c.week > 0) SELECT *, CASE WHEN -delta >= 0.05 THEN 'RED' ELSE 'YELLOW' END AS severity FROM j WHERE -delta >= 0.02"
 _BIAS = "SELECT \"group\", n, round(n / sum(n) OVER (), 6) AS share, CASE WHEN sum(n) OVER () < 30 THEN 'insufficient' WHEN n / sum(n) OVER () > 2.0 / count(*) OVER () THEN 'biased' ELSE 'clean' END AS result, 2.0 / count(*) OVER () < 1 AS max_possible, '{check}' AS \"check\" FROM (SELECT coalesce({key}, 'unknown') AS \"group\", count(*) AS n FROM a {where} GROUP BY 1)"
 
 ORACLES = {
@@ -116,12 +120,13 @@ ORACLES = {
     "audit_report": f"WITH {LINES}, p AS (SELECT invoice_id, count(*) AS n, CAST((sum(abs(diff4)) + 50) // 100 AS BIGINT) AS cents, max(o) AS o FROM b GROUP BY 1) SELECT o_orderkey AS invoice_id, coalesce(n, 0) AS n_discrepancies, coalesce(cents, 0) / 100.0::DOUBLE AS total_discrepancy, {BANDS}[coalesce(o, 0) + 1] AS max_band, coalesce(o, 0) > 0 AS needs_approval, 'Invoice ' || o_orderkey || ' from customer ' || o_custkey || ': ' || CASE WHEN n > 0 THEN n || CASE WHEN n = 1 THEN ' discrepancy' ELSE ' discrepancies' END || ' found totaling EUR ' || CAST(CAST(cents AS DECIMAL(24,2)) / 100 AS DECIMAL(24,2)) || '. Maximum severity: ' || {BANDS}[o + 1] || '.' ELSE 'no discrepancies found. All rates match contract.' END AS summary FROM orders LEFT JOIN p ON invoice_id = o_orderkey",
     "cost_by_agent": f"WITH {TRACES} SELECT agent_name, sum(u)::DOUBLE / 1e8 AS total_cost, count(*) AS queries FROM cost WHERE agent_name <> '' GROUP BY 1",
     "cost_by_user": f"WITH {TRACES} SELECT user_id, sum(u)::DOUBLE / 1e8 AS total_cost, count(*) AS queries FROM cost WHERE user_id IS NOT NULL GROUP BY 1",
-    "cost_summary_period": f"WITH {TRACES} SELECT sum(u)::DOUBLE / 1e8 AS total_cost, count(*) AS total_queries, round(sum(u)::DOUBLE / 1e8 / count(*), 8) AS avg_cost, round(avg(cache_hit::INT), 8) AS cache_hit_rate, count(DISTINCT agent_name) AS agents FROM cost WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
-    "drift_alerts": f"WITH {TRACES}, w AS (SELECT model, date_diff('day', DATE '2024-01-01', ts::DATE) // 7 AS week, round(avg(latency_ms) / 100, 6) AS latency, round(avg(cache_hit::INT), 6) AS cache FROM t GROUP BY 1, 2), m AS (SELECT model, week, 'latency' AS metric, latency AS score FROM w UNION ALL SELECT model, week, 'cache', cache FROM w), j AS (SELECT b.model, b.metric, b.score AS baseline, c.score AS current, round(c.score - b.score, 9) AS delta FROM m b JOIN m c ON b.model = c.model AND b.metric = c.metric AND b.week = 0 AND c.week = 1) SELECT *, CASE WHEN -delta >= 0.05 THEN 'RED' ELSE 'YELLOW' END AS severity FROM j WHERE -delta >= 0.02",
+    "cost_summary_period": f"WITH {TRACES} SELECT sum(u)::DOUBLE / 1e8 AS total_cost, count(*) AS total_queries, round(sum(u)::DOUBLE / 1e8 / count(*), 8) AS avg_cost, round(avg(cache_hit::INT), 8) AS cache_hit_rate, (SELECT string_agg(agent_name || '=' || x, ',' ORDER BY agent_name) FROM (SELECT agent_name, (sum(u)::DECIMAL(26,8) / 100000000)::DECIMAL(18,8)::VARCHAR AS x FROM cost WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY 1)) AS by_agent FROM cost WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
+    "drift_alerts": _DRIFT,
+    "drift_worst": f"SELECT model, CASE WHEN bool_or(severity = 'RED') THEN 'RED' ELSE 'YELLOW' END AS severity, count(*) AS n FROM ({_DRIFT}) GROUP BY 1",
     "prompt_cache_hits": f"WITH {TRACES}, p AS (SELECT concat_ws('|', user_id, agent_name) AS x FROM t) SELECT count(*) AS total_prompts, count(*) - count(DISTINCT x) AS hits, count(DISTINCT x) AS misses, round((count(*) - count(DISTINCT x)) / count(*), 6) AS hit_rate FROM p",
     "cache_friendliness": "WITH s AS (SELECT conv_id AS prompt_id, turn AS position, min(CASE role WHEN 'system' THEN 'STATIC' WHEN 'assistant' THEN 'SESSION_STABLE' ELSE 'DYNAMIC' END) AS kind, min(text) AS content FROM conversations GROUP BY 1, 2), f AS (SELECT *, length(coalesce(content, '')) // 4 AS t, min(CASE WHEN kind = 'DYNAMIC' THEN position END) OVER (PARTITION BY prompt_id) AS fd FROM s), g AS (SELECT prompt_id, sum(t) AS total, coalesce(sum(t) FILTER (kind = 'STATIC'), 0) AS st, coalesce(sum(t) FILTER (kind <> 'DYNAMIC'), 0) AS ca, coalesce(sum(t) FILTER (fd IS NULL OR position < fd), 0) AS pre FROM f GROUP BY 1) SELECT prompt_id, round(CASE WHEN total > 0 THEN st / total ELSE 0 END, 6) AS static_ratio, round(CASE WHEN total > 0 THEN ca / total ELSE 0 END, 6) AS cacheable_ratio, round(CASE WHEN total > 0 AND ca > 0 THEN (ca / total) * (pre / ca) ELSE 0 END, 6) AS score FROM g",
     "compliance_summary": f"WITH {ENTRIES} SELECT count(*) AS total_entries, count(*) FILTER (is_degraded) AS degraded_count, count(DISTINCT model_version) AS distinct_models, count(DISTINCT user_id) AS distinct_users FROM a",
-    "compliance_report": f"WITH {ENTRIES} SELECT count(*) AS total_entries, string_agg(DISTINCT model_version, ',' ORDER BY model_version) AS models_used, count(DISTINCT user_id) AS unique_users, count(hitl_approver_id) AS hitl_approvals, count(*) FILTER (is_degraded) AS degraded_count, count(*) FILTER (log_level = 'full_trace') AS full_trace, count(*) FILTER (log_level = 'summary') AS summary, count(*) FILTER (log_level = 'metadata_only') AS metadata_only, 'sha256:' || sha256(count(*) || ':2024-01-05T00:00:00+00:00:2024-01-20T00:00:00+00:00') AS entry_count_hash FROM a WHERE created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
+    "compliance_report": f"WITH {ENTRIES} SELECT count(*) AS total_entries, string_agg(DISTINCT model_version, ',' ORDER BY model_version) AS models_used, count(DISTINCT user_id) AS unique_users, count(hitl_approver_id) AS hitl_approvals, sum(id % 1000)::BIGINT / 1000.0::DOUBLE AS total_cost, count(*) FILTER (is_degraded) AS degraded_count, count(*) FILTER (log_level = 'full_trace') AS full_trace, count(*) FILTER (log_level = 'summary') AS summary, count(*) FILTER (log_level = 'metadata_only') AS metadata_only, 'sha256:' || sha256(count(*) || ':2024-01-05T00:00:00+00:00:2024-01-20T00:00:00+00:00') AS entry_count_hash FROM a WHERE created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
     "entries_by_level": f"WITH {ENTRIES} SELECT log_level, count(*) AS n FROM a GROUP BY 1",
     "fairness_report": f"WITH {ENTRIES} " + " UNION ALL ".join(_BIAS.format(check=c, key=k, where=w) for c, k, w in (("routing", "department", ""), ("model_preference", "model_version", ""), ("degraded", "department", "WHERE is_degraded"))),
     "audit_rbac_view": f"WITH {ENTRIES} SELECT id, user_id, department FROM a WHERE user_id = 'user-7' OR department = 'error'",

@@ -76,7 +76,8 @@ def geo_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heading(spark: SparkSession, d: str) -> DataFrame:
-    out = fleet.headings(S.gps_pings(spark, d))
+    """Positions half a degree apart count, so that several steps often add up to one."""
+    out = fleet.headings(S.gps_pings(spark, d), least=0.5)
     return out.select("truck_id", "seq", F.round("heading", 3).alias("heading"))
 
 
@@ -102,5 +103,7 @@ ORACLES = {
     "filter_rate": f"WITH {R}, {_SPEED} SELECT count(*) AS processed, count(al.seq) AS anomalies, count(*) - count(al.seq) AS filtered, round((count(*) - count(al.seq)) / count(*), 6) AS filter_rate FROM r LEFT JOIN al USING (truck_id, seq)",
     "status_counts": f"WITH {R}, {_SPEED}, l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY truck_id ORDER BY ts DESC, seq DESC) = 1), s AS (SELECT CASE WHEN truck_id IN (SELECT truck_id FROM al WHERE seq % 7 = 0) THEN 'alert' WHEN CAST(truck_id AS INT) % 5 = 0 THEN 'cold_chain' WHEN v = 0 AND event_type = 'signup' THEN 'stopped' WHEN v = 0 THEN 'idle' ELSE 'moving' END AS state FROM l) SELECT n.state, count(s.state) AS n FROM (SELECT unnest(['alert', 'cold_chain', 'stopped', 'idle', 'moving']) AS state) n LEFT JOIN s USING (state) GROUP BY 1",
     "geo_grid": "WITH p AS (SELECT 47.0::DOUBLE + (event_id % 1000) / 250.0::DOUBLE AS latitude, 8.0::DOUBLE + (event_id % 700) / 100.0::DOUBLE AS longitude FROM events) SELECT CAST(floor(longitude / 0.5) AS BIGINT) AS cell_x, CAST(floor(latitude / 0.5) AS BIGINT) AS cell_y, count(*) AS n, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude FROM p GROUP BY 1, 2",
-    "heading": "WITH p AS (SELECT CAST(user_id AS VARCHAR) AS truck_id, event_id AS seq, ts, 47.0::DOUBLE + (event_id % 1000) / 250.0::DOUBLE AS y, 8.0::DOUBLE + (event_id % 700) / 100.0::DOUBLE AS x FROM events), l AS (SELECT *, lag(y) OVER w AS py, lag(x) OVER w AS px FROM p WINDOW w AS (PARTITION BY truck_id ORDER BY ts, seq)), t AS (SELECT *, CASE WHEN abs(y - py) > 0.0001 OR abs(x - px) > 0.0001 THEN round(fmod(degrees(atan2((x - px) * cos(radians((py + y) / 2)), y - py)) + 360.0, 360.0), 4) END AS turn FROM l) SELECT truck_id, seq, round(coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY truck_id ORDER BY ts, seq), 0), 3) AS heading FROM t",
+    "heading": "WITH RECURSIVE p AS (SELECT CAST(user_id AS VARCHAR) AS truck_id, event_id AS seq, 47.0::DOUBLE + (event_id % 1000) / 250.0::DOUBLE AS y, 8.0::DOUBLE + (event_id % 700) / 100.0::DOUBLE AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), h AS (SELECT truck_id, seq, i, y, x, 0.0::DOUBLE AS heading FROM p WHERE i = 1 UNION ALL SELECT p.truck_id, p.seq, p.i, CASE WHEN m THEN p.y ELSE h.y END, CASE WHEN m THEN p.x ELSE h.x END, CASE WHEN m THEN fmod(degrees(atan2((p.x - h.x) * cos(radians((h.y + p.y) / 2)), p.y - h.y)) + 360.0, 360.0) ELSE h.heading END FROM h JOIN p ON p.truck_id = h.truck_id AND p.i = h.i + 1, LATERAL (SELECT abs(p.y - h.y) > 0.5 OR abs(p.x - h.x) > 0.5 AS m) k) SELECT truck_id, seq, round(heading, 3) AS heading FROM h",
+    "temperature_alerts": f"WITH RECURSIVE {R}, {Z}, {D}, c AS (SELECT truck_id, ts, seq, 'temperature_spike' AS alert_type, 'critical' AS severity, 0 AS check_order FROM r WHERE abs(v - 50) > 50 UNION ALL SELECT truck_id, ts, seq, 'temperature_drift', 'high', 1 FROM drift WHERE abs(drift) > 2 UNION ALL SELECT truck_id, ts, seq, 'temperature_spike', 'high', 2 FROM z WHERE n >= 4 AND s > 0 AND abs((v - m) / s) > 5), o AS (SELECT *, row_number() OVER (PARTITION BY truck_id, alert_type ORDER BY ts, seq, check_order) AS i FROM c), k AS (SELECT * FROM o WHERE i = 1 UNION ALL SELECT n.* FROM k, LATERAL (SELECT o.* FROM o WHERE o.truck_id = k.truck_id AND o.alert_type = k.alert_type AND o.i > k.i AND epoch_us(o.ts) - epoch_us(k.ts) >= {THROTTLE}000000 ORDER BY o.i LIMIT 1) n) SELECT truck_id, alert_type, severity, seq, check_order FROM k",
+    "breaker_states": "WITH RECURSIVE p AS (SELECT CAST(user_id AS VARCHAR) AS provider, epoch_us(ts) AS u, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), b AS (SELECT DISTINCT provider, 0::BIGINT AS i, 'closed' AS state, 0::BIGINT AS trips, 0::BIGINT AS rejected, 0::BIGINT AS failed, 0::BIGINT AS succeeded, 0 AS run, 0::BIGINT AS since FROM p UNION ALL SELECT provider, i + 1, CASE WHEN rej THEN 'open' WHEN ok THEN CASE WHEN e = 'half_open' AND r1 >= 2 THEN 'closed' ELSE e END WHEN r1 >= 2 THEN 'open' ELSE e END, trips + (NOT rej AND NOT ok AND r1 >= 2)::BIGINT, rejected + rej::BIGINT, failed + (NOT rej AND NOT ok)::BIGINT, succeeded + (NOT rej AND ok)::BIGINT, CASE WHEN rej THEN run WHEN NOT ok AND r1 >= 2 OR ok AND e = 'half_open' AND r1 >= 2 THEN 0 ELSE r1 END, CASE WHEN NOT rej AND NOT ok AND r1 >= 2 THEN u ELSE since END FROM (SELECT *, CASE WHEN ok THEN CASE WHEN e = 'half_open' THEN r0 + 1 ELSE 0 END ELSE CASE WHEN e = 'half_open' THEN 2 ELSE r0 + 1 END END AS r1 FROM (SELECT b.*, p.u, p.ok, b.state = 'open' AND p.u - b.since < 36000000000 AS rej, CASE WHEN b.state = 'open' THEN 'half_open' ELSE b.state END AS e, CASE WHEN b.state = 'open' THEN 0 ELSE b.run END AS r0 FROM b JOIN p ON p.provider = b.provider AND p.i = b.i + 1))) SELECT provider, state, trips, rejected, failed, succeeded FROM b QUALIFY row_number() OVER (PARTITION BY provider ORDER BY i DESC) = 1",
 }

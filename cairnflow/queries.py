@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import business, knowledge, signals
+from .plans import business, knowledge, records, signals
 
-QUERIES: dict = business.QUERIES | signals.QUERIES | knowledge.QUERIES
-ORACLES: dict[str, str] = business.ORACLES | signals.ORACLES | knowledge.ORACLES
+QUERIES: dict = business.QUERIES | signals.QUERIES | knowledge.QUERIES | records.QUERIES
+ORACLES: dict[str, str] = business.ORACLES | signals.ORACLES | knowledge.ORACLES | records.ORACLES

@@ -50,3 +50,81 @@ def corpus_findings(docs: DataFrame, *, domains: dict[str, list[str]], least: in
     single = docs.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.level", "f.message")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit("error").alias("level"), F.lit("doc_id is repeated").alias("message"))
     return single.unionByName(repeated)
+
+
+def with_manifest(texts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Documents of a manifest (file_name, document_id, department_id, clearance_level, title) with their texts; files that are not there are left out."""
+    return manifest.join(texts, "file_name").withColumnRenamed("file_name", "source_file")
+
+
+def corpus_profile(docs: DataFrame, *, kind: str) -> DataFrame:
+    """Documents of each type and, without one, of all, with least, mean and greatest length."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    return docs.rollup(kind).agg(F.count("*").alias("n"), F.min(size).alias("min_chars"), F.round(F.avg(size), 4).alias("mean_chars"), F.max(size).alias("max_chars"))
+
+
+def append_returning(rows: DataFrame, path: str, *, now: Column, id_col: str = "id") -> DataFrame:
+    """Append rows with an id and a time that they lack, and return what was written.
+
+    The rows of one call are a folder of their own, so the answer is read back from the
+    files: what a caller gets is what is stored.
+    """
+    import uuid
+
+    filled = rows
+    if id_col not in rows.columns:
+        filled = filled.withColumn(id_col, F.expr("uuid()"))
+    if "created_at" not in rows.columns:
+        filled = filled.withColumn("created_at", now)
+    own = f"{path}/batch={uuid.uuid4().hex}"
+    filled.write.parquet(own)
+    return rows.sparkSession.read.schema(filled.schema).parquet(own)
+
+
+def upsert_rows(rows: DataFrame, path: str, keys: list[str], *, order: str) -> None:
+    """Add rows as another version; :func:`current_rows` reads the last of each key."""
+    rows.dropDuplicates(keys).write.mode("append").option("mergeSchema", "true").partitionBy(order).parquet(path)
+
+
+def current_rows(spark: SparkSession, path: str, keys: list[str], *, order: str) -> DataFrame:
+    stored = spark.read.parquet(path)
+    rest = [c for c in stored.columns if c not in (*keys, order)]
+    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def create_table(spark: SparkSession, name: str, schema: str, *, partition_by: tuple[str, ...] = ()) -> None:
+    """A Parquet table of that schema, if there is none of that name."""
+    parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{parts}")
+
+
+def write_with_marker(parts: dict[str, DataFrame], path: str) -> str:
+    """Write several frames as one: all of them into a new folder, then a marker that :func:`last_written` looks for.
+
+    Readers see all of a write or nothing of it, as the marker comes last.
+    """
+    import uuid
+
+    own = uuid.uuid4().hex
+    for name, rows in parts.items():
+        rows.write.parquet(f"{path}/{own}/{name}")
+    spark = next(iter(parts.values())).sparkSession
+    spark.range(1).select(F.lit(own).alias("write"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{path}/_commits")
+    return own
+
+
+def last_written(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A frame of the last write that was completed."""
+    own = spark.read.parquet(f"{path}/_commits").agg(F.max_by("write", "at")).first()[0]
+    return spark.read.parquet(f"{path}/{own}/{name}")
+
+
+def sampled(rows: DataFrame, n: int, *, key: str, seed: int = 0, names: dict[str, str] | None = None) -> DataFrame:
+    """At most ``n`` rows by the hash of their key and a seed, with columns renamed: one cycle of a polled source."""
+    picked = rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return picked.withColumnsRenamed(names or {})
+
+
+def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table, such as warehouses, users or contracts."""
+    return spark.createDataFrame(rows, schema)

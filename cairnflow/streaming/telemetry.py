@@ -31,10 +31,18 @@ def parsed(raw: DataFrame, schema: str = READING, *, value: str = "value") -> tu
     return read.filter(~bad).select("_m.*").drop("_corrupt"), read.filter(bad).select(F.col(value).cast("string").alias("message"))
 
 
+TOPICS = ("fleet.temperature", "fleet.gps-pings")
+
+
 def topic(raw: DataFrame, name: str) -> DataFrame:
     return raw.filter(F.col("topic") == name)
 
 
+def unknown_topics(raw: DataFrame, known: tuple[str, ...] = TOPICS) -> DataFrame:
+    """Messages that no handler takes, as rejects with their text."""
+    return raw.filter(~F.coalesce(F.col("topic").isin(*known), F.lit(False))).select("topic", F.col("value").cast("string").alias("message"))
+
+
 def kafka_source(spark: SparkSession, servers: str, topics: list[str]) -> DataFrame:
     """Raw messages from the latest offsets on; needs the Kafka connector on the class path."""
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", "latest").load()
@@ -93,3 +101,44 @@ def alert_counts(alerts: DataFrame, *, window: str = "1 hour", slide: str | None
 def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **options: str) -> StreamingQuery:
     """A query that hands each micro-batch to ``write``; a replayed batch comes with the same number."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).options(**options).start()
+
+
+def alert_sessions(alerts: DataFrame, *, gap: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
+    """Runs of a truck's alerts of one type without a gap."""
+    return alerts.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap), "truck_id", "alert_type").agg(F.count("*").alias("n"))
+
+
+def with_health(rows: DataFrame, name: str = "health") -> DataFrame:
+    """Counts rows, those without a truck, and the newest event time as the batch's metrics, which a listener or ``lastProgress`` shows."""
+    return rows.observe(name, F.count("*").alias("processed"), F.count_if(F.col("truck_id").isNull()).alias("errors"), F.max("ts").alias("last_message_at"))
+
+
+def health(query: StreamingQuery, name: str = "health") -> dict:
+    """Sums of :func:`with_health` over the query's recent batches."""
+    seen = [p.observedMetrics[name] for p in query.recentProgress if name in p.observedMetrics]
+    newest = max((r.last_message_at for r in seen if r.last_message_at is not None), default=None)
+    return {"processed": sum(r.processed for r in seen), "errors": sum(r.errors for r in seen), "last_message_at": newest}
+
+
+def newest_alerts(spark: SparkSession, path: str, most: int = 50) -> Callable[[DataFrame, int], None]:
+    """A batch writer that keeps the newest alerts at ``path``, a folder for each batch; a replayed batch writes its own again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{path}/{number - 1}") if number else batch.limit(0)
+        both = before.unionByName(batch)
+        both.orderBy(F.col("ts").desc(), F.col("seq").desc(), "check_order").limit(most).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return write
+
+
+def batch_files(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer whose replays change nothing: a batch's rows are the folder of its number."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def ingest(record: DataFrame, history: DataFrame, **rules) -> DataFrame:
+    """Alerts of single records against the readings before them: the stream's rules as a micro-batch, for what doesn't come by a topic."""
+    from ..operators.telemetry import temperature_candidates, throttle
+
+    every = history.unionByName(record).join(record.select("truck_id").distinct(), "truck_id", "left_semi")
+    return throttle(temperature_candidates(every, **rules)).join(record.select("truck_id", "seq"), ["truck_id", "seq"], "left_semi")

@@ -132,7 +132,7 @@ def test_retrieval(spark):
 def test_spearman_and_bootstrap(spark):
     rows = spark.createDataFrame([(1, 10), (2, 20), (2, 30), (4, 40), (5, 35)], "x int, y int")
     assert quality.spearman(rows, "x", "y").first().correlation == pytest.approx(0.872082, abs=1e-6)
-    ci = quality.bootstrap_ci(spark.createDataFrame([(i, float(i % 10)) for i in range(400)], "i int, score double"), resamples=200).first()
+    ci = quality.bootstrap_ci(spark.createDataFrame([(i, float(i % 10)) for i in range(400)], "i int, score double"), key="i", resamples=200).first()
     assert ci.lower < ci.mean < ci.upper and ci.upper - ci.lower < 1.2
 
 
@@ -167,5 +167,147 @@ def test_bootstrap_query_takes_a_thousand_resamples(spark):
 
     folder = "/root/testdata/sf0.001"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("quality").alias("score"))
-    got, few = knowledge.bootstrap_ci(spark, folder).collect(), quality.bootstrap_ci(labels, resamples=200).collect()
-    assert got == quality.bootstrap_ci(labels, resamples=1000).collect() != few
+    got = knowledge.bootstrap_ci(spark, folder).first()
+    many, few = (quality.bootstrap_ci(labels, resamples=n).first() for n in (1000, 200))
+    assert got.lower == round(many.lower, 9) and got.upper == round(many.upper, 9) and (few.lower, few.upper) != (many.lower, many.upper)
+
+
+def test_heading_counts_from_the_last_accepted_position(spark):
+    rows = [("t", 50.0 + 0.00009 * i, 10.0, T0 + dt.timedelta(seconds=i), i) for i in range(50)] + [("u", 1.0, 1.0, T0, 50), ("u", 1.0, 2.0, T0 + dt.timedelta(seconds=1), 51)]
+    got = {r.seq: r.heading for r in fleet.headings(spark.createDataFrame(rows, "truck_id string, latitude double, longitude double, ts timestamp, seq long").repartition(3)).collect()}
+    assert all(got[i] == 0.0 for i in range(50)) and got[51] == pytest.approx(90.0)  # due north, once 0.0001 is passed
+    back = [("t", 50.0 - 0.00006 * i, 10.0, T0 + dt.timedelta(seconds=i), i) for i in range(5)]
+    got = {r.seq: r.heading for r in fleet.headings(spark.createDataFrame(back, "truck_id string, latitude double, longitude double, ts timestamp, seq long")).collect()}
+    assert got == {0: 0.0, 1: 0.0, 2: 180.0, 3: 180.0, 4: 180.0}
+
+
+def test_clauses_are_plain_substrings(spark, monkeypatch):
+    clauses = spark.createDataFrame([(1, "nvoices total"), (2, "!!! ---"), (3, "not there"), (4, "over two"), (5, "nvoices total"), (6, ""), (7, None)], "item_id int, text string")
+    corpus = spark.createDataFrame([("the invoices total !!! --- and over two chunks",), (None,)], "text string")
+    chunks = spark.createDataFrame([("the invoices total !!! --- and over",), ("two chunks",)], "content string")
+    want = {1: True, 2: True, 4: False, 5: True}
+    assert {r.item_id: r.whole for r in quality.clause_integrity(clauses, chunks, corpus).collect()} == want
+    monkeypatch.setattr(quality, "CLAUSE_BYTES", 8)
+    assert {r.item_id: r.whole for r in quality.clause_integrity(clauses, chunks, corpus).collect()} == want
+    assert quality.integrity_rate(quality.clause_integrity(clauses, chunks, corpus)).first() == (4, 3, 0.75)
+
+
+def test_bootstrap_of_few_scores(spark):
+    frame = lambda n: spark.createDataFrame([(i, 0.9) for i in range(n)], "doc_id long, score double")
+    assert quality.bootstrap_ci(frame(3)).first() == (3, pytest.approx(0.9), pytest.approx(0.9), pytest.approx(0.9))
+    with pytest.raises(Exception, match="needs 3 scores"):
+        quality.bootstrap_ci(frame(2)).collect()
+    wide = quality.bootstrap_ci(spark.createDataFrame([(i, float(i % 2)) for i in range(200)], "doc_id long, score double"), level=0.99).first()
+    narrow = quality.bootstrap_ci(spark.createDataFrame([(i, float(i % 2)) for i in range(200)], "doc_id long, score double"), level=0.9).first()
+    assert wide.lower < narrow.lower < 0.5 < narrow.upper < wide.upper and narrow.upper - narrow.lower < 0.15
+
+
+def test_personal_data_in_any_case(spark):
+    found = one(spark, X.pii_flags(F.lit("PENSJĘ Jan Kowalski")))
+    assert found.keyword and found.name and found["any"]
+    assert not one(spark, X.pii_flags(F.lit("énip"))).keyword and one(spark, X.pii_flags(F.lit("SICK   leave"))).keyword
+    assert one(spark, X.pii_flags(F.lit("a@b.co"))).email and one(spark, X.pii_flags(F.lit("+48 123 456 789"))).phone and one(spark, X.pii_flags(F.lit("x 12345678901 y"))).national_id
+
+
+def test_rates_keep_the_last_of_a_key(spark):
+    rates = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "cargo_type string, rate int").coalesce(1)
+    assert {r.cargo_type: r.rate for r in audit.current_rates(rates).collect()} == {"a": 2, "b": 3}
+
+
+def _search(spark, **options):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, "delta"), (4, "alpha contract")], "doc_id long, text string")
+    places = {"alpha": 0, "beta": 1, "gamma": 2, "delta": 3}
+    vector = F.array(*(F.when(F.col("text").contains(w), 1.0).otherwise(0.0) for w in places))
+    embed = lambda df: df.withColumn("embedding", vector)
+    queries = spark.createDataFrame([("k", "contract"), ("v", "unclear"), ("m", "two things"), ("s", "beta")], "query_id string, text string")
+    return retrieval.enhanced_search(queries, embed(docs), embed, 2, **options)
+
+
+def test_enhanced_search(spark):
+    kind = lambda t: F.when(t == "contract", "keyword").when(t == "unclear", "vague").when(t == "two things", "multi_hop")
+    made_up = spark.createDataFrame([("v", "delta"), ("k", "delta")], "query_id string, text string")
+    split = spark.createDataFrame([("m", 0, "alpha"), ("m", 1, "gamma")], "query_id string, part int, text string")
+    score = lambda df: df.withColumn("rerank_score", F.when(F.col("query_id") != "s", F.col("doc_id") / 10.0))
+    got = _search(spark, classify=kind, made_up=made_up, split=split, score=score, rerank_k=4).collect()
+    rows = {q: [(r.doc_id, r.stage, r.category) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in "kvms"}
+    assert rows["k"][0] == (4, "searched", "keyword")
+    assert rows["s"][0][0] in (1, 2) and {x[1:] for x in rows["s"]} == {("searched", "standard")}  # its scores failed
+    assert [x[0] for x in rows["v"]] == [4, 3] and {x[1:] for x in rows["v"]} == {("reranked", "vague")}
+    assert {x[1:] for x in rows["m"]} == {("reranked", "multi_hop")} and len(rows["m"]) == 2
+    plain = _search(spark).collect()
+    assert {r.stage for r in plain} == {"searched"} and {r.category for r in plain} == {None}
+    assert next(r.doc_id for r in _search(spark, made_up=made_up).collect() if r.query_id == "v" and r["rank"] == 1) == 3
+
+
+def test_topk_in_blocks_equals_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 7)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.col("id") % 5)).alias("text"), F.array((F.col("id") % 4).cast("double"), (F.col("id") % 9).cast("double"), F.lit(1.0)).alias("embedding"))
+    queries = docs.filter("doc_id % 6 = 0").withColumnRenamed("doc_id", "query_id")
+    key = lambda df: sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in df.collect())
+    assert key(retrieval.dense_topk(queries, docs, 4)) == key(retrieval.top_k(retrieval.dense_scores(queries, docs), 4))
+    assert key(retrieval.sparse_topk(queries, docs, 4)) == key(retrieval.top_k(retrieval.sparse_scores(queries, docs), 4))
+
+
+def test_ingest_rows(spark):
+    docs = spark.createDataFrame([("a", "One two two. " * 60, "hr", 2, "a.txt"), ("b", "", "hr", 1, "b.txt"), ("c", None, "it", 1, "c.txt")], "document_id string, text string, department_id string, clearance_level int, source_file string")
+    got = chunking.ingested(docs, size=100, overlap=0, embed=lambda t: F.array(F.length(t).cast("double"))).orderBy("chunk_index").collect()
+    assert {r.document_id for r in got} == {"a"} and [r.chunk_index for r in got] == list(range(len(got))) and got[0].id == "a:0"
+    assert got[0].sparse["two"] == got[0].content.lower().split().count("two") + got[0].content.count("two.") and got[0].dense == [float(len(got[0].content))]
+
+
+def test_writers(spark, tmp_path):
+    now = F.lit("2024-01-01").cast("timestamp")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    stored = files.append_returning(rows, str(tmp_path / "log"), now=now)
+    assert stored.count() == 2 and stored.filter("id IS NULL OR created_at IS NULL").count() == 0
+    for version, v in ((1, "old"), (2, "new")):
+        files.upsert_rows(spark.createDataFrame([(1, v, version)], "k int, v string, version int"), str(tmp_path / "vectors"), ["k"], order="version")
+    assert [r.v for r in files.current_rows(spark, str(tmp_path / "vectors"), ["k"], order="version").collect()] == ["new"]
+    files.write_with_marker({"audit": rows, "state": rows.limit(1)}, str(tmp_path / "both"))
+    rows.write.parquet(str(tmp_path / "both" / "unfinished" / "audit"))
+    assert files.last_written(spark, str(tmp_path / "both"), "audit").count() == 2 and files.last_written(spark, str(tmp_path / "both"), "state").count() == 1
+    files.create_table(spark, "entries_made", "id long, day string", partition_by=("day",))
+    files.create_table(spark, "entries_made", "id long")
+    assert spark.table("entries_made").columns == ["id", "day"]
+    assert files.sampled(spark.range(100), 30, key="id", seed=3, names={"id": "truck"}).columns == ["truck"] and files.sampled(spark.range(9), 30, key="id").count() == 9
+    texts = spark.createDataFrame([("a.txt", "x")], "file_name string, text string")
+    manifest = spark.createDataFrame([("a.txt", "A", "hr", 1), ("b.txt", "B", "hr", 1)], "file_name string, document_id string, department_id string, clearance_level int")
+    assert [r.document_id for r in files.with_manifest(texts, manifest).collect()] == ["A"]
+
+
+def test_stream_sinks_and_health(spark, tmp_path):
+    alerts = spark.createDataFrame([(f"t{i % 3}", "speed", "high", T0 + dt.timedelta(minutes=i), i, 0) for i in range(120)], stream.ALERT)
+    alerts.repartition(3).write.parquet(str(tmp_path / "in"))
+    source = stream.with_health(spark.readStream.schema(stream.ALERT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    keep, plain = stream.newest_alerts(spark, str(tmp_path / "newest")), stream.batch_files(str(tmp_path / "all"))
+
+    def both(batch, number):
+        for _ in range(2):  # as a replay does
+            keep(batch, number)
+            plain(batch, number)
+
+    query = stream.write_batches(source, both, str(tmp_path / "c"))
+    query.processAllAvailable()
+    seen = stream.health(query)
+    query.stop()
+    last = max(int(p.name) for p in (tmp_path / "newest").iterdir())
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "newest" / str(last))).collect()) == list(range(70, 120))
+    assert spark.read.parquet(str(tmp_path / "all")).count() == 120
+    assert seen["errors"] == 0 and seen["processed"] >= 120
+    assert stream.alert_sessions(alerts, gap="2 minutes").count() == 120 and stream.alert_sessions(alerts, gap="4 minutes").count() == 3
+    raw = spark.createDataFrame([("fleet.temperature", "a"), ("other", "b"), (None, "c")], "topic string, value string")
+    assert sorted(r.message for r in stream.unknown_topics(raw).collect()) == ["b", "c"]
+
+
+def test_single_record_ingest(spark):
+    rows = readings(spark, [("t", m, 3.0) for m in range(8)] + [("t", 9, 20.0), ("u", 9, 20.0)])
+    got = stream.ingest(rows.filter("seq = 8"), rows.filter("seq < 8"), rate=1e9)
+    assert [(r.truck_id, r.seq, r.alert_type) for r in got.collect()] == [("t", 8, "temperature_spike")]
+
+
+def test_even_points_and_context(spark):
+    points = F.array(*map(F.lit, range(11)))
+    assert one(spark, fleet.even_points(points, 3)) == [0, 5, 10] and one(spark, fleet.even_points(F.array(F.lit(1)), 5)) == [1]
+    assert one(spark, X.joined_context(F.array(F.lit("a"), F.lit("b")), separator="|")) == "a|b"
+    assert one(spark, X.search_query(F.lit("contract"), F.lit(""), F.lit("C-1"))) == "contract C-1"
