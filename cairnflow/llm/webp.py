@@ -731,12 +731,85 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
 # ---- columns
 
 
+#: Bytes of the grams by which copies are found, the share of places (one in so many) that are looked at, and the least gain in bits a sample that a transform must bring.
+COPY_GRAM, COPY_STEP = 24, 8
+LEAST_GAIN = 0.05
+#: Pixels of a copy at most, and how far back one may reach.
+MOST_COPY, MOST_BACK = 4096, (1 << 20) - 121
+
+
+def found_copies(values: np.ndarray, gram: int = COPY_GRAM) -> list[tuple[int, int, int]]:
+    """(start, length, distance code) of what repeats earlier values: by the last earlier place of grams, or the value before.
+
+    The grams looked at are those whose hash ends in zeros, so the same ones in all copies.
+    """
+    n = len(values)
+    starts, sizes = _runs(values)
+    distance = np.ones(len(starts), np.int64)
+    if n > 2 * gram:
+        part = np.frombuffer(values.tobytes() + b"\0" * 8, np.uint8)
+        word = np.lib.stride_tricks.as_strided(part, (n, 8), (1, 1)).copy().view(_U).ravel()  # the 8 bytes from each place on
+        mixed = sum((word[k : n - gram + 1 + k] * _U(2 * k + 0x9E3779B97F4A7C15) for k in range(0, gram, 8)), np.zeros(n - gram + 1, _U))
+        mixed ^= mixed >> _U(29)
+        place = np.flatnonzero((mixed * _U(0xBF58476D1CE4E5B9) >> _U(40)) % _U(COPY_STEP) == 0)
+        key = mixed[place]
+        order = np.argsort(key, kind="stable")
+        same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        here, there = place[order[same + 1]], place[order[same]]
+        good = (here - there <= MOST_BACK) & (here - there > 1)
+        for k in range(0, gram, 8):  # equal hashes are no proof
+            good &= word[here + k] == word[there + k]
+        here, back = here[good], (here - there)[good]
+        order = np.argsort(here, kind="stable")
+        here, back = here[order], back[order]
+        joined = np.append(False, (back[1:] == back[:-1]) & (here[1:] - here[:-1] <= gram))[: len(here)]
+        first = np.flatnonzero(~joined)
+        last = np.append(first[1:], len(here))[: len(first)] - 1
+        starts, sizes, distance = (np.concatenate(x) for x in ((starts, here[first]), (sizes, here[last] + gram - here[first]), (distance, back[first])))
+        order = np.lexsort((-sizes, starts))
+        starts, sizes, distance = starts[order], sizes[order], distance[order]
+    out, end = [], 0
+    for at, size, far in zip(starts.tolist(), sizes.tolist(), distance.tolist(), strict=True):
+        low, high = max(at, end), at + size
+        while high - low >= 4:
+            out.append((low, min(MOST_COPY, high - low), 2 if far == 1 else far + len(NEAR)))
+            low += out[-1][1]
+            end = low
+    return out
+
+
+def _bits(values: np.ndarray) -> float:
+    """Entropy of bytes."""
+    p = np.bincount(values.ravel(), minlength=256) / max(1, values.size)
+    p = p[p > 0]
+    return float(-(p * np.log2(p)).sum())
+
+
+def chosen(grey: np.ndarray) -> list[tuple]:
+    """Transforms for grey samples: a palette that packs several into a pixel, else the neighbour that predicts best if it gains."""
+    if len(np.flatnonzero(np.bincount(grey.ravel(), minlength=256))) <= 16:
+        return [(PALETTE,)]
+    plain = _bits(grey)
+    left, top = np.diff(grey, axis=1), np.diff(grey, axis=0)
+    gains = {1: plain - _bits(left), 2: plain - _bits(top) if len(grey) > 1 else 0.0}
+    best = max(gains, key=gains.get)
+    if gains[best] < LEAST_GAIN:
+        return []
+    return [(PREDICT, 9, np.full((-(-grey.shape[0] // 512), -(-grey.shape[1] // 512)), best))]
+
+
 def store(samples: bytes) -> bytes:
-    """Bytes, a multiple of ROW, as grey samples of WebP files, one after the other if one can't hold them."""
+    """Bytes, a multiple of ROW, as grey samples of WebP files, one after the other if one can't hold them.
+
+    Each file takes the transforms that its samples gain from (:func:`chosen`) and copies what
+    repeats. Colour transforms and a colour cache can't gain where only green varies.
+    """
     out, most = [], ROW * MOST_ROWS
     for low in range(0, len(samples), most):
         grey = np.frombuffer(samples[low : low + most], np.uint8).reshape(-1, ROW)
-        out.append(encode(np.uint32(0xFF000000) | grey.astype(np.uint32) << np.uint32(8)))
+        use = chosen(grey)
+        copies = found_copies(grey.ravel()) if not use else None
+        out.append(encode(np.uint32(0xFF000000) | grey.astype(np.uint32) << np.uint32(8), transforms=use, copies=copies))
     return b"".join(out)
 
 

@@ -108,3 +108,54 @@ def test_facts(spark):
     assert sorted(map(str, (tuple(r)[:7] for r in got))) == sorted(map(str, want))
     assert len({r.feature for r in got if r.payload_sha256 == got[0].payload_sha256}) == 1
     assert W.media_facts(W.with_media(docs.filter("false"))).collect() == []
+
+
+def test_content_chooses_transforms_and_copies():
+    text = ("Repeated passages lie far apart. " + "".join(RNG.choice(list("abcdefghijklmnopqrstuvwxyz .,"), 3000))) * 3
+    plain, lines = W.padded(text.encode()), np.tile(RNG.integers(0, 256, 576), (40, 1)).astype(np.uint8)
+    ramp = ((np.arange(576 * 30) // 3) % 256).astype(np.uint8)
+    few = RNG.integers(0, 9, 576 * 20).astype(np.uint8)
+    for data, kind in ((plain, None), (lines.tobytes(), W.PREDICT), (ramp.tobytes(), W.PREDICT), (few.tobytes(), W.PALETTE)):
+        use = W.chosen(np.frombuffer(data, np.uint8).reshape(-1, 576))
+        assert [t[0] for t in use] == ([] if kind is None else [kind])
+        media = W.store(data)
+        assert W.restore(media).tobytes() == data
+        assert len(media) < 0.75 * len(data)
+    copies = W.found_copies(np.frombuffer(plain, np.uint8))
+    assert max(code for *_, code in copies) == len(text) // 3 + len(W.NEAR) and sum(n for _, n, _ in copies) > len(plain) // 2
+    assert len(W.store(plain)) < len(W.encode(np.uint32(0xFF000000) | np.frombuffer(plain, np.uint8).reshape(-1, 576).astype(np.uint32) << np.uint32(8))) * 0.6
+
+
+def test_stream_written_by_hand():
+    """A 4 x 1 image bit by bit: cross-colour and subtract-green transforms, a colour cache and a copy, with simple codes."""
+    bits: list[tuple[int, int]] = [(3, 14), (0, 14), (1, 1), (0, 3)]  # width and height less 1, alpha, version
+    bits += [(1, 1), (W.SUBTRACT, 2)]
+    bits += [(1, 1), (W.CROSS, 2), (0, 3)]  # blocks of 4 x 4: one element
+    bits += [(0, 1)]  # its image has no cache
+    for symbol in (0, 32, 0, 255):  # green, red, blue and alpha of the element: simple codes of one symbol of 8 bits; red_to_blue 32
+        bits += [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+    bits += [(1, 1), (0, 1), (0, 1), (0, 1)]  # distance code: symbol 0
+    bits += [(0, 1)]  # no more transforms
+    bits += [(1, 1), (1, 4), (0, 1)]  # colour cache of 2 entries, no meta codes
+    # green: a literal (7), a copy of length 1 (256 + 0) and both cache symbols (280, 281), of 2 bits each
+    lengths = np.zeros(282, np.int64)
+    lengths[[7, 256, 280, 281]] = 2
+    out = W.BitWriter()
+    for value, n in bits:
+        out.put(value, n)
+    W._put_code(out, lengths)
+    for symbol in (10, 20, 200):
+        for value, n in ((1, 1), (0, 1), (1, 1), (symbol, 8)):
+            out.put(value, n)
+    for value in (1, 0, 0, 1):  # distance: one symbol of 1 bit, symbol 1: the pixel to the left
+        out.put(value, 1)
+    pixel = 200 << 24 | 10 << 16 | 7 << 8 | 20
+    slot = (pixel * 0x1E35A7BD & 0xFFFFFFFF) >> 31
+    codes = W.canonical(lengths)
+    tokens = [7, 256, 280 + slot, 256]
+    data = b"\x2f" + out.put_all(np.array([codes[t] for t in tokens]), np.full(4, 2))
+    chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) & 1)
+    got, _ = W.decode(b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk)
+    red, green = 10, 7
+    blue = 20 + (32 * red >> 5)  # cross-colour first, as it was written last; then green is added
+    assert got.tolist() == [[200 << 24 | (red + green) << 16 | green << 8 | (blue + green)] * 4]
