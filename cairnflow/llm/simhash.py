@@ -22,6 +22,8 @@ NEAR_WIDTH = 5
 NEAR = (4, 5)
 #: Bits of the stage's first candidates.
 NEAR_BITS = 5
+#: Bits of a map of a text's shingles: each flips one, so texts differ in as many shingles at least as their maps in bits.
+MAP_BITS = 512
 #: Texts from which common shingles are told, and how many of these are known. Both only set an order that saves time.
 SAMPLE = 8000
 COMMON = 300_000
@@ -224,7 +226,7 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near_keys(docs: DataFrame) -> DataFrame:
-    """(h, fp, n, keys) of every row: the shingles, n in all, and the first of them in one order of all shingles.
+    """(h, fp, n, keys, bits) of every row: the shingles, n in all, the first of them in one order of all shingles, and their map.
 
     Texts of Jaccard t share t of the larger one's shingles, so they meet in one of its first
     (1 - t) n + 1, in whatever order: common ones come last, so that few others meet there.
@@ -233,7 +235,7 @@ def _near_keys(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, keys = [], [], []
+            prints, sizes, keys, maps = [], [], [], []
             for x in batch.column(1):
                 hashes = shingle_hashes(x.as_py(), NEAR_WIDTH)
                 prints.append(simhash(hashes))
@@ -245,12 +247,33 @@ def _near_keys(docs: DataFrame) -> DataFrame:
                 first = len(own) - -(-NEAR[0] * len(own) // NEAR[1]) + 1
                 sizes.append(len(own))
                 keys.append(own[np.lexsort((own, rank))[:first]].view(np.int64))
+                flips = np.bincount((own >> np.uint64(20)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
+                maps.append(np.packbits(flips.astype(bool)).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "fp", "n", "keys"])
-
-    return docs.select(F.xxhash64("text").alias("h"), text_bytes()).mapInArrow(run, "h long, fp long, n long, keys array<long>")
+            ends = np.arange(len(maps) + 1) * (MAP_BITS // 64)
+            bits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64)))
+            columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists, bits]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "fp", "n", "keys", "bits"])
+
+    return docs.select(F.xxhash64("text").alias("h"), text_bytes()).mapInArrow(run, "h long, fp long, n long, keys array<long>, bits array<long>")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep the rows whose k, the first column, another row has; rows come in its order."""
+    held, before = None, None  # the last row, which the next one judges, and the k before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        k = rows.column(0).to_numpy()
+        same = k[1:] == k[:-1]
+        keep = np.append(before is not None and before == k[0], same) | np.append(same, False)
+        yield rows.slice(0, len(k) - 1).filter(pa.array(keep[:-1]))
+        held = rows.slice(len(k) - 1)
+        before = k[-2] if len(k) > 1 else before
+    if held is not None:
+        yield held.filter(pa.array([before is not None and before == held.column(0)[0].as_py()]))
 
 
 def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -283,18 +306,21 @@ def near_links(docs: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
 
     The first candidates are fingerprints within ``bits`` bits. Those of more bits meet in a
     shared key; a key's two ends are candidates with all its texts as long as that halves
-    what is open, then the pairs whose texts are not yet of one component and whose sizes
-    and places leave room for the similarity. Each is verified.
+    what is open, then the pairs whose texts are not yet of one component. Pairs are left
+    out whose sizes, places or maps tell that they can't be alike enough; the others are
+    verified on their texts.
     """
     rows = cut(_near_keys(docs).dropDuplicates(["h"]), "simhash-keys")
     per_print = rows.groupBy("fp").agg(F.min("h").alias("low"))
     found = links(per_print.select("fp"), max_bits=bits).join(per_print.toDF("a", "x"), "a").join(per_print.toDF("b", "y"), "b").select("x", "y")
     pairs = found.unionByName(rows.join(per_print, "fp").filter("h <> low").select(F.col("h").alias("x"), F.col("low").alias("y")))
-    keyed = rows.select("h", "n", F.posexplode("keys").alias("p", "k"))
-    members = cut(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k"), "k"), "simhash-members")
+    keyed = rows.select("h", F.posexplode("keys").alias("p", "k")).select("k", "h", "p")
+    members = cut(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_shared, "k long, h long, p int"), "simhash-members")
     # keys come in one order, so texts that first meet at places px and py share nothing before; at least 4/9 of both sizes must be left
     t, u = NEAR
     fits = f"{u} * least(nx, ny) >= {t} * greatest(nx, ny) AND {t + u} * least(nx - px, ny - py) >= {t} * (nx + ny)"
+    apart = " + ".join(f"bit_count(bitsx[{i}] ^ bitsy[{i}])" for i in range(MAP_BITS // 64))
+    fits += f" AND {t + u} * ({apart}) <= {u - t} * (nx + ny)"
     comp, tested, last, before = None, None, False, None
     for turn in range(8):
         if turn:
@@ -306,16 +332,16 @@ def near_links(docs: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
                 break
             last = turn == 7 or total <= 20 * size or before is not None and 2 * total > before
             before = total
-            where = where.join(open_keys.select("k"), "k")
-            named = lambda x: where.select("k", *(F.col(c).alias(f"{c}{x}" if c != "h" else x) for c in "hnpc"))  # noqa: E731, B023
+            where = where.join(open_keys.select("k"), "k").join(rows.select("h", "n", "bits"), "h")
+            named = lambda x: where.select("k", *(F.col(c).alias(f"{c}{x}" if c != "h" else x) for c in ("h", "n", "p", "c", "bits")))  # noqa: E731, B023
             if last:
-                pairs = named("x").join(named("y"), "k").filter("x > y AND cx <> cy")
+                pairs = named("x").join(named("y"), "k").filter(f"x > y AND cx <> cy AND {fits}")
             else:
-                salted = F.struct(F.xxhash64("h", F.lit(turn)), "h", "n", "p", "c")
+                salted = F.struct(F.xxhash64("h", F.lit(turn)), "h", "n", "p", "c", "bits")
                 ends = where.groupBy("k").agg(F.array(F.min(salted), F.max(salted)).alias("e")).select("k", F.explode("e").alias("e"))
-                ends = ends.select("k", F.col("e.h").alias("y"), *(F.col(f"e.{c}").alias(f"{c}y") for c in "npc"))
-                pairs = named("x").join(ends, "k").filter("cx <> cy")
-            pairs = pairs.filter(fits).select("x", "y")
+                ends = ends.select("k", F.col("e.h").alias("y"), *(F.col(f"e.{c}").alias(f"{c}y") for c in ("n", "p", "c", "bits")))
+                pairs = named("x").join(ends, "k").filter(f"cx <> cy AND {fits}")
+            pairs = pairs.select("x", "y")
         pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
