@@ -27,6 +27,8 @@ GRAM = 100
 INLINE = 4
 #: Different contexts of one gram that a task holds; the windows of larger groups are counted by a shuffle.
 GROUP_CAP = 20000
+#: Occurrences of a context that a task holds; more of them wait in rows of their own and meet the context's runs in a join.
+HELD = 1 << 16
 #: Bytes of contexts that are sorted at once.
 BLOCK_BYTES = 4 << 20
 
@@ -318,8 +320,12 @@ def _cover(pieces: list[bytes], leads: list[int], counts: list[int], groups: lis
     return list(out.values())
 
 
-def _sort_groups(length: int, cap: int):
-    """(h, id, lead, n, piece, k1s, places) in the order of (h, id), to covered runs; pieces of groups over the cap pass as they are."""
+def _sort_groups(length: int, cap: int, held: int):
+    """(h, id, lead, n, piece, k1s, places) in the order of (h, id), to covered runs.
+
+    Pieces of groups over the cap pass as they are, and so do occurrences over ``held`` of
+    one piece, in rows with neither runs nor a piece.
+    """
     names = ["h", "id", "starts", "ends", "k1s", "places", "lead", "n", "piece"]
     many = pa.list_(pa.int64())
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), many, many, pa.int64(), pa.int64(), pa.binary()]
@@ -330,6 +336,7 @@ def _sort_groups(length: int, cap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[list] = []
         group: list[list] = []
+        waiting: list[tuple] = []
         size, over = 0, False
 
         def solve() -> pa.RecordBatch:
@@ -347,8 +354,14 @@ def _sort_groups(length: int, cap: int):
                 row = list(row)
                 if group and group[-1][:2] == row[:2]:
                     group[-1][3] += row[3]
-                    group[-1][5] += row[5]
-                    group[-1][6] += row[6]
+                    if len(group[-1][5]) < held:
+                        group[-1][5] += row[5]
+                        group[-1][6] += row[6]
+                    elif row[5]:
+                        waiting.append((*row[:2], None, None, row[5], row[6], None, None, None))
+                        if len(waiting) >= 2000:
+                            yield pack(waiting)
+                            waiting = []
                     continue
                 if group and group[0][0] != row[0]:
                     if over:
@@ -369,6 +382,7 @@ def _sort_groups(length: int, cap: int):
             yield hot(group)
         elif group:
             ready += group
+        yield pack(waiting)
         yield solve()
 
     return run
@@ -438,7 +452,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(["k1", "k2", "z"], k1[pick], k2[pick], pa.array([zipper.compress(batch.column(2)[int(i)].as_py()) for i in pick], pa.binary()))
 
 
-def repeated_runs(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = GROUP_CAP, inline: int = INLINE) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = GROUP_CAP, inline: int = INLINE, held: int = HELD) -> DataFrame:
     """(k1, k2, starts, ends, n_removed, kept_sha256) of each text with bytes in a repeat of ``length`` bytes.
 
     Positions are UTF-8 bytes, runs are maximal. Copies of a text are one here: that a
@@ -457,13 +471,14 @@ def repeated_runs(docs: DataFrame, *, text_col: str = "text", length: int = LENG
     many = "array<long>"
     pieces = met.mapInArrow(_emit_contexts(length, gram, inline), f"h long, id long, lead long, n long, piece binary, k1s {many}, places {many}")
     dealt = pieces.filter("piece IS NOT NULL").repartition("h").sortWithinPartitions("h", "id")
-    found = dealt.mapInArrow(_sort_groups(length, cap), f"h long, id long, starts array<int>, ends array<int>, k1s {many}, places {many}, lead long, n long, piece binary")
+    found = dealt.mapInArrow(_sort_groups(length, cap, held), f"h long, id long, starts array<int>, ends array<int>, k1s {many}, places {many}, lead long, n long, piece binary")
     found = cut(found, "suffix-runs")
-    covered = found.filter("piece IS NULL").select("h", "id", "starts", "ends", "k1s", "places")
+    covered = found.filter("piece IS NULL AND starts IS NOT NULL").select("h", "id", "starts", "ends", "k1s", "places")
     hot = found.filter("piece IS NOT NULL")
     if hot.take(1):
         covered = covered.unionByName(_hot_cover(hot, length).join(hot.select("h", "id", "k1s", "places"), ["h", "id"]))
-    often = pieces.filter("piece IS NULL").select("h", "id", "k1s", "places").join(covered.select("h", "id", "starts", "ends"), ["h", "id"])
+    waiting = found.filter("piece IS NULL AND starts IS NULL").select("h", "id", "k1s", "places")
+    often = pieces.filter("piece IS NULL").select("h", "id", "k1s", "places").unionByName(waiting).join(covered.select("h", "id", "starts", "ends"), ["h", "id"])
     each = covered.unionByName(often).select(F.explode(F.arrays_zip("k1s", "places")).alias("x"), "starts", "ends")
     place = F.col("x.places")
     runs = each.select(F.col("x.k1s").alias("k1"), F.shiftright(place, 32).alias("k2"), place.bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "starts", "ends", F.lit(None).cast("binary").alias("z"))
@@ -480,30 +495,33 @@ def repeat_facts(docs: DataFrame, **options) -> DataFrame:
     return repeated_runs(docs, **options).join(copies, ["k1", "k2"], "full")
 
 
-def without_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = GROUP_CAP, inline: int = INLINE) -> DataFrame:
+def without_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = GROUP_CAP, inline: int = INLINE, held: int = HELD) -> DataFrame:
     """``docs`` with n_bytes, starts, ends, n_removed, n_spans, kept_sha256 in place of the text.
 
     A byte is removed if a run of ``length`` bytes over it also starts anywhere else, in
     the same text or another. Null counts as an empty text; texts under ``length`` bytes
     stay whole; a repeated row or text of that size goes whole. Columns other than the
-    text pass through, whatever their names, unless they are k1, k2 or one of those added.
+    text pass through; of those added, they give way.
     """
+    added = ["n_bytes", "starts", "ends", "n_removed", "n_spans", "kept_sha256"]
+    rest = [c for c in docs.columns if c not in (text_col, *added)]
+    names = [f"_{i}" for i in range(len(rest))]
     data = text_bytes(text_col)
-    rest = [c for c in docs.columns if c != text_col]
-    keyed = docs.select(*rest, data).select(*rest, *_key_columns(F.col("data")), F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("own_sha256"))
-    facts = repeat_facts(docs, text_col=text_col, length=length, gram=gram, cap=cap, inline=inline)
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)), data)
+    keyed = own.select(*names, *_key_columns(F.col("data")), F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("own_sha256"))
+    facts = repeat_facts(docs.select(text_col), text_col=text_col, length=length, gram=gram, cap=cap, inline=inline, held=held)
     joined = keyed.join(facts, ["k1", "k2"], "left")
     whole = F.coalesce("copied", F.lit(False))
     none = F.array().cast("array<int>")
     return joined.select(
-        *rest,
+        *names,
         "n_bytes",
         F.when(whole, F.array(F.lit(0))).otherwise(F.coalesce("starts", none)).alias("starts"),
         F.when(whole, F.array(F.col("n_bytes").cast("int"))).otherwise(F.coalesce("ends", none)).alias("ends"),
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce(F.size("starts"), F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", "own_sha256")).alias("kept_sha256"),
-    )
+    ).toDF(*rest, *added)
 
 
 def _inward(data: bytes, low: int, high: int) -> tuple[int, int]:
