@@ -6,7 +6,10 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "cairnflow", **conf: str) -> SparkSession:
-    """A session with UTC timestamps and adaptive execution; ``conf`` overrides any setting."""
+    """A session with UTC timestamps and adaptive execution; ``conf`` overrides any setting.
+
+    On a cluster the package goes to the executors with it.
+    """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -18,4 +21,18 @@ def build_session(master: str | None = None, app: str = "cairnflow", **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, where it isn't installed."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='cairnflow-')}/cairnflow", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)
