@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -21,10 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def drop_intermediates() -> None:
+    """Delete what :func:`cut` has written; no frame that was built on it can be used then. Runs when the driver's Python ends."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            if spark.sparkContext._jsc is not None:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+atexit.register(drop_intermediates)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: short lineage, no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

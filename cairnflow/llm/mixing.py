@@ -186,7 +186,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_times: int
     """(doc_id, size, source_size, target, taken, shard, place) of every row: the words that the mix takes of it, and the first shard and place there that hold any (else null).
 
     A null text has no words and null is a source of its own. Equal rows are mixed one by
-    one. Other columns are ignored. Reruns agree: draws depend on the seed, the sources'
+    one. Ids are taken as long integers. Other columns are ignored. Reruns agree: draws depend on the seed, the sources'
     sizes and rows alone.
     """
     sizes = cut(sized(docs), "mixing-sizes")

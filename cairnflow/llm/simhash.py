@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Fingerprints within ``max_bits`` bits are linked; component_id is the smallest id that
     links lead to. Null and wordless texts have fingerprint zero and are linked by it as
     any other. Rows with one id or text keep one result row each; a null id takes its
-    component's smallest id, null if it has none. Other columns are ignored.
+    component's smallest id, null if it has none. Ids are taken as long integers; other
+    columns are ignored.
     """
     prints, rooted = _rooted(docs, id_col, text_col, max_bits, cap)
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -355,7 +356,11 @@ def near_links(docs: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies, whole: that of the smallest id; null ids come last, then the smallest hash of the text counts."""
+    """One row of each component of near copies, whole: that of the smallest id; null ids come last, then the smallest hash of the text counts.
+
+    Null is a text of its own, as is the empty one; texts under five words are one shingle.
+    Of repeated rows one stays. Ids are taken as long integers; other columns pass through.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
     per_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).groupBy("h").agg(first)  # before the join, so that copies are one row in it
     roots = near_links(docs).select(F.col("node").alias("h"), "root")
@@ -365,7 +370,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = [f"_{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
     plain = docs.toDF(*names).withColumn("_id", own(F.col(names[docs.columns.index("doc_id")]).cast("long"))).withColumn("_h", F.xxhash64(text))
-    same = Window.partitionBy("_id", "_h").orderBy(*(n for n in names if n != text))
+    same = Window.partitionBy("_id", "_h").orderBy(F.to_json(F.struct(*(n for n in names if n != text))))  # orders columns of any type
     return plain.join(kept, ["_id", "_h"]).withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*names).toDF(*docs.columns)
 
 

@@ -839,7 +839,7 @@ def features(samples: np.ndarray) -> str:
 
 
 def with_media(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text as lossless WebP. Null is an empty text, which is a row of padding."""
+    """(doc_id, n_bytes, media): every whole text as lossless WebP. Null is an empty text, which is a row of padding. Ids are taken as long integers; repeated rows are rows each, other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
