@@ -358,7 +358,7 @@ def near_links(docs: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies, whole: that of the smallest id; null ids come last, then the smallest hash of the text counts.
 
-    Null is a text of its own, as is the empty one; texts under five words are one shingle.
+    Null, empty and blank texts are copies of each other; texts under five words are one shingle.
     Of repeated rows one stays. Ids are taken as long integers; other columns pass through.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")

@@ -110,3 +110,32 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").filter("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_each_stage_takes_edge_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and columns of clashing names and other types, met by every stage itself."""
+    long = " ".join(f"w{i}" for i in range(30000))
+    rows = [
+        (1, None, None, None, None, {"a": 1}, "x"), (2, "", "en", "s1", 0, None, None), (None, "several words without an id", None, None, 3, {}, "y"), (3, "the same row twice", "en", "s1", 18, {"b": 2}, "z"), (3, "the same row twice", "en", "s1", 18, {"b": 2}, "z"),
+        (4, long, "de", "s2", len(long), {}, None), (5, " \n ", "en", None, 3, None, ""), (6, "tie of ids", "en", "s1", 10, None, ""), (6, "tie of ids, another text", "en", "s1", 24, None, ""),
+    ]
+    docs = spark.createDataFrame(rows, f"{COLUMNS}, k1 map<string,int>, _0 string").repartition(4)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(C.STAGES)
+    tell = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    given = sorted((r[0] or 0, r[1] or "") for r in rows)
+    kept = stages["quality_rules"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and tell(kept) == [(4, long)]
+    unique = stages["simhash_dedup"](spark, docs, str(tmp_path))
+    assert unique.columns == docs.columns and unique.schema == docs.schema
+    assert tell(unique) == sorted(set(given) - {(2, ""), (5, " \n ")})  # null, empty and blank texts are copies
+    cleaned = stages["suffix_dedup"](spark, docs, str(tmp_path))
+    assert cleaned.columns == docs.columns and tell(cleaned) == given
+    assert cleaned.filter("text IS NULL").count() == 1
+    mixed = stages["mixing"](spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {None, 3, 4, 6}
+    packed = stages["packing"](spark, docs, str(tmp_path)).collect()
+    whole = {}
+    for p in packed:
+        whole[p.doc_id] = whole.get(p.doc_id, 0) + p.length
+    assert whole[1] == whole[2] == whole[5] == 1 and whole[3] == 2 * max(p.doc_tokens for p in packed if p.doc_id == 3) and set(whole) == {None, 1, 2, 3, 4, 5, 6}

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cairnflow.llm import boosted_rules as B
 from cairnflow.llm import quadratic as Q
-from cairnflow.llm.doc_stats import FEATURES, statistics
+from cairnflow.llm.doc_stats import FEATURES, labelled_sample, statistics
 
 ROOT = "/root/testdata/sf0.01"
 
@@ -112,3 +114,22 @@ def test_stage_keeps_columns(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(1, text, "en", True), (2, "short", "en", False)], "doc_id long, text string, n_words string, kept boolean")
     assert [tuple(r) for r in B.quality_stage(spark, docs, str(tmp_path)).collect()] == [(1, text, "en", True)]
+
+
+def test_rules_on_rows_that_did_not_teach(spark, sample):
+    docs, labels = sample
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model, cut_off = B.fit_rules(docs, labels.filter(fold != 0))
+    got = B.with_verdicts(docs, model, cut_off, keep=["doc_id"]).join(labels.filter(fold == 0), "doc_id").toPandas()
+    passed = got[~got.base_failed]
+    assert len(passed) > 60
+    assert passed[passed.quality == 1].kept.mean() > 0.97
+    assert passed[passed.quality == 0].kept.mean() < 0.2
+
+
+def test_sample_takes_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i} " * (i + 1)) for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    x, y = labelled_sample(docs.repartition(5), labels, rows=10)
+    again, _ = labelled_sample(docs.repartition(2), labels, rows=10)
+    assert sorted(y.tolist()) == [0, 1] and (x == again).all()
