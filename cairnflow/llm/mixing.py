@@ -21,6 +21,8 @@ MOST_TIMES = 3
 SEED = 20260
 #: Parts of a source whose sizes are summed apart, so that no task orders a whole source.
 PARTS = 1024
+#: Sources up to which their table is broadcast to joins by source, which a hot source would bend.
+BROADCAST_SOURCES = 500_000
 #: Shards whose slots one task draws at once, and tasks at most; numbers of shards are too small for Spark to tell how many rows they stand for.
 SHARDS_AT_ONCE = 8
 MOST_TASKS = 10000
@@ -91,7 +93,8 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_times:
     blocks = -(-size // block_words)
     slots = np.minimum(np.rint(target * blocks / np.maximum(size, 1)).astype(np.int64), blocks * most_times)
     made = [(i, r.source, *map(int, row[:1]), float(row[1]), *map(int, row[2:])) for i, (r, row) in enumerate(zip(rows, zip(size, target, blocks, slots, strict=True), strict=True))]
-    return sizes.sparkSession.createDataFrame(made, "sid long, source string, source_size long, target double, blocks long, slots long")
+    out = sizes.sparkSession.createDataFrame(made, "sid long, source string, source_size long, target double, blocks long, slots long")
+    return F.broadcast(out) if len(made) <= BROADCAST_SOURCES else out
 
 
 def _key(*parts: int) -> int:
