@@ -8,7 +8,7 @@ import time
 from cairnflow.queries import QUERIES
 from cairnflow.session import build_session
 
-NAMES = ["audit_discrepancies", "audit_report", "cost_by_agent", "cost_summary_period", "compliance_report", "fairness_report", "chain_verify", "temperature_alerts", "alerts_throttled", "latest_state", "sparse_topk", "dense_topk", "hybrid_rrf", "retrieval_metrics", "clause_integrity", "pii_flags", "chunk_fixed", "semantic_cache_lookup"]
+NAMES = ["audit_discrepancies", "audit_report", "cost_by_agent", "cost_summary_period", "compliance_report", "fairness_report", "chain_verify", "temperature_alerts", "alerts_throttled", "latest_state", "sparse_topk", "dense_topk", "hybrid_rrf", "retrieval_metrics", "clause_integrity", "pii_flags", "chunk_fixed", "semantic_cache_lookup", "heading", "chain_build", "lineage_join", "token_df_idf", "first_alerts", "provider_benchmark", "bootstrap_ci", "quality_gate"]
 
 
 def main() -> None:

@@ -87,6 +87,13 @@ def version_changes(versions: DataFrame) -> DataFrame:
     return before.withColumn("changed", F.coalesce(F.col("previous_version") != F.col("version"), F.lit(True)))
 
 
+def current_versions(versions: DataFrame) -> DataFrame:
+    """(model, version, since): the last version of each model and the first time of its last run of rows."""
+    order = Window.partitionBy("model").orderBy("ts", "seq")
+    changes = version_changes(versions).filter("changed")
+    return changes.withColumn("_n", F.row_number().over(order)).groupBy("model").agg(F.max_by("version", "_n").alias("version"), F.max("ts").alias("since"))
+
+
 def estimated_tokens(content: Column) -> Column:
     return F.floor(F.length(F.coalesce(content, F.lit(""))) / 4).cast("long")
 

@@ -188,6 +188,17 @@ def filter_rate(readings: DataFrame, alerts: DataFrame) -> DataFrame:
     return counts.withColumn("filtered", kept).withColumn("filter_rate", F.when(F.col("processed") > 0, kept / F.col("processed")).otherwise(0.0))
 
 
+def memories(trucks: DataFrame, recent: DataFrame | None, stored: DataFrame | None) -> DataFrame:
+    """(truck_id, recent, stored): alerts of each truck in the short and the long memory; a memory that can't be read (None) is an empty one."""
+    out = trucks.select("truck_id").distinct()
+    for name, tier in (("recent", recent), ("stored", stored)):
+        if tier is None:
+            out = out.withColumn(name, F.lit(0).cast("long"))
+        else:
+            out = out.join(tier.groupBy("truck_id").agg(F.count("*").alias(name)), "truck_id", "left").fillna(0, [name])
+    return out
+
+
 def respond(alerts: DataFrame, history: DataFrame, manifests: DataFrame, *, similar: int = 2, risk: float = 0.15) -> DataFrame:
     """Fleet response: a truck with ``similar`` or more past alerts of the type is escalated, others are investigated.
 

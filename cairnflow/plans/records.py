@@ -135,6 +135,11 @@ def model_versions(spark: SparkSession, d: str) -> DataFrame:
     return finops.version_changes(e).select("model", "seq", "previous_version", "changed")
 
 
+def current_versions(spark: SparkSession, d: str) -> DataFrame:
+    e = S.table(spark, d, "events").select(F.col("event_type").alias("model"), (F.floor(F.col("user_id") / 50)).cast("string").alias("version"), "ts", F.col("event_id").alias("seq"))
+    return finops.current_versions(e)
+
+
 def prompt_order(spark: SparkSession, d: str) -> DataFrame:
     """Sections of a conversation's prompt, static ones first."""
     kind = F.when(F.col("role") == "system", "STATIC").when(F.col("role") == "assistant", "SESSION_STABLE").otherwise("DYNAMIC")
@@ -355,6 +360,12 @@ def fleet_response(spark: SparkSession, d: str) -> DataFrame:
     return _responses(spark, d).select("truck_id", "seq", "similar_alerts", "action", "financial_risk")
 
 
+def truck_memories(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of the last days as the short memory, all as the long one."""
+    alerts = _speed(spark, d)
+    return telemetry.memories(S.gps_pings(spark, d), alerts.filter(F.col("ts") > F.lit("2024-01-25").cast("timestamp")), alerts)
+
+
 def notifications(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.notifications(_responses(spark, d)).select("truck_id", "seq", "recipient", "message")
 
@@ -407,9 +418,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         chain_build, chain_ends, source_hash_verify, lineage_join, full_lineage, trace_snapshots, snapshot_verify, metadata_bias, token_usage, retention_dates, entry_lookup, invoice_lines_joined, approvals,
-        provider_stats, reconciled_traces, model_versions, prompt_order, prompt_savings, tier_counts, text_checks, judge_independence, outage_phases, category_matrix, category_accuracy, paired_comparison, hit_rates, hit_details, quality_gate, eval_means,
+        provider_stats, reconciled_traces, model_versions, current_versions, prompt_order, prompt_savings, tier_counts, text_checks, judge_independence, outage_phases, category_matrix, category_accuracy, paired_comparison, hit_rates, hit_details, quality_gate, eval_means,
         corpus_validation, corpus_profile, token_df_idf, dedup_best_chunk, merged_results, rbac_pairs, clearance_filter, relevance_demo, cache_keys, cache_expired, cache_evicted, cache_invalidated, stale_cache, line_stats,
-        stale_readings, first_alerts, resolved_alerts, fleet_status, fleet_response, notifications, alert_histogram, active_anomalies, shown_pings, message_rate, map_labels, map_view, trip_positions, retry_delays,
+        stale_readings, first_alerts, resolved_alerts, fleet_status, fleet_response, truck_memories, notifications, alert_histogram, active_anomalies, shown_pings, message_rate, map_labels, map_view, trip_positions, retry_delays,
     )
 }
 
@@ -445,6 +456,7 @@ ORACLES = {
     "provider_stats": f"WITH e AS (SELECT {_K} AS k FROM events) SELECT CASE k % 3 WHEN 0 THEN 'gpt-5-nano' WHEN 1 THEN 'gpt-5-mini' ELSE 'gpt-5.2' END AS provider, count(*) AS requests, count(*) FILTER (k % 4 = 0) AS fallbacks, count(*) FILTER (k % 8 = 0) AS cache_fallbacks FROM e GROUP BY 1",
     "reconciled_traces": f"WITH {TRACES} SELECT trace_id, model, latency_ms, trace_id % 3 = 0 AS reconciled FROM t",
     "model_versions": "WITH e AS (SELECT event_type AS model, event_id AS seq, CAST(user_id // 50 AS VARCHAR) AS version, lag(CAST(user_id // 50 AS VARCHAR)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS previous_version FROM events) SELECT model, seq, previous_version, coalesce(previous_version <> version, true) AS changed FROM e",
+    "current_versions": "WITH e AS (SELECT event_type AS model, CAST(user_id // 50 AS VARCHAR) AS version, ts, event_id, lag(CAST(user_id // 50 AS VARCHAR)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events) SELECT model, version, ts AS since FROM e WHERE p IS NULL OR p <> version QUALIFY row_number() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) = 1",
     "prompt_order": "WITH s AS (SELECT conv_id AS prompt_id, turn AS position, min(CASE role WHEN 'system' THEN 'STATIC' WHEN 'assistant' THEN 'SESSION_STABLE' ELSE 'DYNAMIC' END) AS kind FROM conversations GROUP BY 1, 2) SELECT prompt_id, position, row_number() OVER (PARTITION BY prompt_id ORDER BY CASE kind WHEN 'STATIC' THEN 1 WHEN 'SESSION_STABLE' THEN 2 ELSE 3 END, position) - 1 AS new_position FROM s",
     "prompt_savings": "SELECT c_custkey, round(c_custkey * 800 * 0.5::DOUBLE * 0.25::DOUBLE / 1000 * 0.002::DOUBLE * 0.5::DOUBLE, 6) AS saved FROM customer",
     "tier_counts": "WITH o AS (SELECT o_orderkey % 4 AS a, o_custkey % 3 AS b, o_custkey % 10 = 0 AS k FROM orders), p AS (SELECT *, CASE a WHEN 0 THEN 'SIMPLE' WHEN 1 THEN 'MEDIUM' ELSE 'COMPLEX' END AS t, CASE WHEN a = 3 THEN 0 WHEN b = 0 THEN 0.9 WHEN b = 1 THEN 0.5 ELSE 0.8 END AS c FROM o) SELECT CASE WHEN k THEN 'COMPLEX' WHEN c >= 0.7 THEN t WHEN t = 'SIMPLE' THEN 'MEDIUM' ELSE 'COMPLEX' END AS tier, count(*) AS n FROM p GROUP BY 1",
@@ -477,6 +489,7 @@ ORACLES = {
     "resolved_alerts": f"WITH {R}, {_AL.format(n=100)} SELECT seq AS alert_id, epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts) > 864000000000 OR seq % 9 = 0 AS resolved FROM al WHERE severity = 'high'",
     "fleet_status": f"WITH {R}, {_AL.format(n=100)} SELECT (SELECT count(DISTINCT truck_id) FROM r) AS trucks, (SELECT count(*) FROM al WHERE epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts) <= 864000000000) AS active_alerts",
     "fleet_response": f"WITH {_RESPONSE} SELECT truck_id, seq, similar_alerts, action, financial_risk FROM re",
+    "truck_memories": f"WITH {R}, {_AL.format(n=100)}, t AS (SELECT DISTINCT truck_id FROM r) SELECT truck_id, count(seq) FILTER (al.ts > TIMESTAMP '2024-01-25') AS recent, count(seq) AS stored FROM t LEFT JOIN al USING (truck_id) GROUP BY 1",
     "notifications": f"WITH {_RESPONSE} SELECT truck_id, seq, recipient, '[' || recipient || '] ' || truck_id || ' speed_anomaly ' || action AS message FROM re, (SELECT unnest(['driver', 'dispatch']) AS recipient)",
     "alert_histogram": f"WITH {R}, {_AL.format(n=100)} SELECT 'speed_anomaly' AS alert_type, severity, count(*) AS n FROM al GROUP BY 2",
     "active_anomalies": f"WITH {R} SELECT truck_id, seq FROM r WHERE v > 110",
