@@ -21,7 +21,7 @@ BUCKET_CAP = 16384
 NEAR_WIDTH = 5
 NEAR = (4, 5)
 #: Bits of the stage's first candidates.
-NEAR_BITS = 5
+NEAR_BITS = 3
 #: Bits of a map of a text's shingles: each flips one, so texts differ in as many shingles at least as their maps in bits.
 MAP_BITS = 512
 #: Texts from which common shingles are told, and how many of these are known. Both only set an order that saves time.
