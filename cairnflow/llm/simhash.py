@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_bytes
+from .common import cut, small_batches, table, text_bytes
 
 SEED = 42
 MAX_BITS = 3
@@ -311,7 +311,8 @@ def near_links(docs: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
     out whose sizes, places or maps tell that they can't be alike enough; the others are
     verified on their texts.
     """
-    rows = cut(_near_keys(docs).dropDuplicates(["h"]), "simhash-keys")
+    with small_batches(docs.sparkSession, 1000):
+        rows = cut(_near_keys(docs).dropDuplicates(["h"]), "simhash-keys")
     per_print = rows.groupBy("fp").agg(F.min("h").alias("low"))
     found = links(per_print.select("fp"), max_bits=bits).join(per_print.toDF("a", "x"), "a").join(per_print.toDF("b", "y"), "b").select("x", "y")
     pairs = found.unionByName(rows.join(per_print, "fp").filter("h <> low").select(F.col("h").alias("x"), F.col("low").alias("y")))
@@ -348,7 +349,9 @@ def near_links(docs: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
         texts = docs.select(F.xxhash64("text").alias("h"), text_bytes()).join(wanted, "h", "left_semi").dropDuplicates(["h"])
-        new = cut(_near(pairs, cut(texts, "simhash-texts")), "simhash-near")
+        texts = cut(texts, "simhash-texts")
+        with small_batches(docs.sparkSession, 250):  # a row holds two texts
+            new = cut(_near(pairs, texts), "simhash-near")
         comp = components(new if comp is None else new.unionByName(comp.toDF("a", "b")))
         if last:
             break
