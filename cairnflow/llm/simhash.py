@@ -21,7 +21,7 @@ BUCKET_CAP = 16384
 NEAR_WIDTH = 5
 NEAR = (4, 5)
 #: Bits of the stage's first candidates.
-NEAR_BITS = 3
+NEAR_BITS = 5
 #: Bits of a map of a text's shingles: each flips one, so texts differ in as many shingles at least as their maps in bits.
 MAP_BITS = 512
 #: Texts from which common shingles are told, and how many of these are known. Both only set an order that saves time.
@@ -106,44 +106,53 @@ def _linked(prints: DataFrame, masks: list[int], max_bits: int, cap: int) -> Dat
     """Rows (a, b, hot): links to the smallest of each bucket's component, or hot members of buckets over the cap."""
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)]))
     keyed = prints.select("fp", keys.alias("x")).select("x.m", "x.k", "fp")
-    crowded = keyed.groupBy("m", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    small = keyed.join(crowded.filter(F.col("n") <= cap).select("m", "k"), ["m", "k"])
-    hot = keyed.join(crowded.filter(F.col("n") > cap).select("m", "k"), ["m", "k"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[tuple | None, list] = (None, [])
-
-        def links(groups: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = [], []
-            for g in groups:
-                u = np.sort(g.view(np.uint64))
+        none = np.zeros(0, np.int64)
+        held, over = [none] * 3, False  # the last bucket so far, or its key alone once it is over the cap
+
+        def out(a: list[np.ndarray], b: list[np.ndarray], hot: np.ndarray) -> pa.RecordBatch:
+            a, b = (np.concatenate(x) if x else none for x in (a, b))
+            return pa.RecordBatch.from_arrays([pa.array(np.append(a, hot)), pa.array(np.append(b, hot)), pa.array(np.arange(len(a) + len(hot)) >= len(a))], names=["a", "b", "hot"])
+
+        def judge(rows: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            """Links of whole buckets; the last one is kept for the rows that follow."""
+            nonlocal held, over
+            m, k, fp = rows
+            edges = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (k[1:] != k[:-1]))) if len(m) else none
+            ends = np.append(edges[1:], len(m))
+            a, b, hot = [], [], []
+            if over and len(edges):  # the first bucket goes on from one over the cap, whose key is its first row
+                hot.append(fp[1 : ends[0]])
+                over = len(edges) == 1 and not last
+                edges, ends = (edges[:0], ends[:0]) if len(edges) == 1 else (edges[1:], ends[1:])
+                if over:
+                    held = [x[:1] for x in rows]
+                    yield out(a, b, np.concatenate(hot))
+                    return
+            held = [none] * 3
+            if len(edges) and not last:
+                held = [x[edges[-1] :] for x in rows]
+                edges, ends = edges[:-1], ends[:-1]
+                if len(held[0]) > cap:
+                    hot.append(held[2])
+                    held, over = [x[:1] for x in held], True
+            for lo, hi in zip(edges[ends - edges > 1].tolist(), ends[ends - edges > 1].tolist(), strict=True):
+                if hi - lo > cap:
+                    hot.append(fp[lo:hi])
+                    continue
+                u = np.sort(fp[lo:hi].view(np.uint64))
                 root = bucket_links(u, max_bits)
                 own = root != np.arange(len(u))
                 a.append(u[own].view(np.int64))
                 b.append(u[root[own]].view(np.int64))
-            join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([join(a), join(b)], names=["a", "b"])
+            yield out(a, b, np.concatenate(hot) if hot else none)
 
         for batch in batches:
-            m, k, fp = (batch.column(i).to_numpy() for i in range(3))
-            edges = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1])) + 1
-            done = []
-            for lo, hi in zip([0, *edges], [*edges, len(m)], strict=True):
-                if lo == hi:
-                    continue
-                key = (m[lo], k[lo])
-                if key == held[0]:
-                    held[1].append(fp[lo:hi])
-                else:
-                    if held[1]:
-                        done.append(np.concatenate(held[1]))
-                    held = (key, [fp[lo:hi]])
-            yield links(done)
-        if held[1]:
-            yield links([np.concatenate(held[1])])
-
-    found = small.select("m", "k", "fp").repartition("m", "k").sortWithinPartitions("m", "k").mapInArrow(run, "a long, b long")
-    return found.select("a", "b", F.lit(False).alias("hot")).unionByName(hot.select(F.col("fp").alias("a"), F.col("fp").alias("b"), F.lit(True).alias("hot")))
+            yield from judge([np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)], False)
+        yield from judge(held, True)
+
+    return keyed.repartition("m", "k").sortWithinPartitions("m", "k").mapInArrow(run, "a long, b long, hot boolean")
 
 
 def links(prints: DataFrame, *, max_bits: int = MAX_BITS, cap: int = BUCKET_CAP, blocks: int | None = None) -> DataFrame:
