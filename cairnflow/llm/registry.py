@@ -5,6 +5,7 @@ from __future__ import annotations
 from .boosted_rules import op7_boosted_rules
 from .hilbert import op6_hilbert
 from .html_text import op4_html_text
+from .language import op12_language
 from .mixing import op1_mixing
 from .packing import op8_packing
 from .quadratic import op5_quadratic
@@ -13,7 +14,7 @@ from .suffix_dedup import op3_suffix_dedup
 from .warc import op9_warc
 from .webp import op2_webp
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_webp, op3_suffix_dedup, op4_html_text, op5_quadratic, op6_hilbert, op7_boosted_rules, op8_packing, op9_warc, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_webp, op3_suffix_dedup, op4_html_text, op5_quadratic, op6_hilbert, op7_boosted_rules, op8_packing, op9_warc, op10_simhash, op12_language)}
 
 ORACLES: dict[str, str] = {
     "op9_warc": """
