@@ -13,8 +13,9 @@ from .simhash import op10_simhash
 from .suffix_dedup import op3_suffix_dedup
 from .warc import op9_warc
 from .webp import op2_webp
+from .whitening import op13_whitening
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_webp, op3_suffix_dedup, op4_html_text, op5_quadratic, op6_hilbert, op7_boosted_rules, op8_packing, op9_warc, op10_simhash, op12_language)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_webp, op3_suffix_dedup, op4_html_text, op5_quadratic, op6_hilbert, op7_boosted_rules, op8_packing, op9_warc, op10_simhash, op12_language, op13_whitening)}
 
 ORACLES: dict[str, str] = {
     "op9_warc": """
