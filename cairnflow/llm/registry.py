@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import conversation_trie
 from .boosted_rules import op7_boosted_rules
+from .conversation_trie import op11_conversation_trie
 from .hilbert import op6_hilbert
 from .html_text import op4_html_text
 from .language import op12_language
@@ -15,7 +17,7 @@ from .warc import op9_warc
 from .webp import op2_webp
 from .whitening import op13_whitening
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_webp, op3_suffix_dedup, op4_html_text, op5_quadratic, op6_hilbert, op7_boosted_rules, op8_packing, op9_warc, op10_simhash, op12_language, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_webp, op3_suffix_dedup, op4_html_text, op5_quadratic, op6_hilbert, op7_boosted_rules, op8_packing, op9_warc, op10_simhash, op11_conversation_trie, op12_language, op13_whitening)}
 
 ORACLES: dict[str, str] = {
     "op9_warc": """
@@ -26,4 +28,5 @@ ORACLES: dict[str, str] = {
             CASE WHEN last <> page_id THEN last END AS refers_to
         FROM m
     """,
+    "op11_conversation_trie": conversation_trie.ORACLE_SQL,
 }
