@@ -81,9 +81,11 @@ def with_statistics(docs: DataFrame, score=None, *, keep: list[str], text_col: s
     schema = ", ".join([*kept, *(f"{c} long" for c in COUNTS), *(f"{c} double" for c in FEATURES if features), *([extra] if extra else [])])
     names = [*keep, *COUNTS, *(FEATURES if features else []), *(x.split()[0] for x in extra.split(",") if x)]
 
+    at = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType.typeName() == "string" else None  # a text that is kept isn't sent twice
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(x.as_py()) for x in batch.column(len(keep))]
+            found = [statistics(x.as_py()) for x in batch.column(len(keep))] if at is None else [statistics((x.as_py() or "").encode()) for x in batch.column(at)]
             counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(COUNTS))
             shares = np.array([f for _, f in found], float).reshape(-1, len(FEATURES))
             columns = [*batch.columns[: len(keep)], *(pa.array(c) for c in counts.T)]
@@ -91,7 +93,7 @@ def with_statistics(docs: DataFrame, score=None, *, keep: list[str], text_col: s
             columns += [pa.array(c) for c in score(counts, shares)] if score else []
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, text_bytes(text_col)).mapInArrow(run, schema)
+    return docs.select(*keep, *([text_bytes(text_col)] if at is None else [])).mapInArrow(run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int, label_col: str = "quality", learn=None) -> tuple[np.ndarray, np.ndarray]:

@@ -20,8 +20,8 @@ BUCKET_CAP = 16384
 #: Near copies of the pipeline: words of a shingle, and the least Jaccard similarity of two texts' shingles as a fraction.
 NEAR_WIDTH = 5
 NEAR = (4, 5)
-#: Bits of the stage's first candidates.
-NEAR_BITS = 5
+#: Smallest hashes of a text's shingles, each in another order, by which large groups of near copies meet early.
+LEAST = 6
 #: Bits of a map of a text's shingles: each flips one, so texts differ in as many shingles at least as their maps in bits.
 MAP_BITS = 512
 #: Texts from which common shingles are told, and how many of these are known. Both only set an order that saves time.
@@ -236,16 +236,17 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near_keys(docs: DataFrame) -> DataFrame:
-    """(h, fp, n, keys, bits) of every row: the shingles, n in all, the first of them in one order of all shingles, and their map.
+    """(h, fp, n, keys, bits, least) of every row: the shingles, n in all, the first of them in one order of all shingles, their map and LEAST smallest hashes.
 
     Texts of Jaccard t share t of the larger one's shingles, so they meet in one of its first
     (1 - t) n + 1, in whatever order: common ones come last, so that few others meet there.
     """
     known, often = _common_shingles(docs)
+    orders = np.random.default_rng(SEED).integers(1 << 62, size=(LEAST, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, keys, maps = [], [], [], []
+            prints, sizes, keys, maps, least = [], [], [], [], []
             for x in batch.column(1):
                 hashes = shingle_hashes(x.as_py(), NEAR_WIDTH)
                 prints.append(simhash(hashes))
@@ -259,14 +260,14 @@ def _near_keys(docs: DataFrame) -> DataFrame:
                 keys.append(own[np.lexsort((own, rank))[:first]].view(np.int64))
                 flips = np.bincount((own >> np.uint64(20)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
                 maps.append(np.packbits(flips.astype(bool)).view(np.int64))
+                least.append(((own ^ own >> np.uint64(29)) * orders).min(axis=1).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            ends = np.arange(len(maps) + 1) * (MAP_BITS // 64)
-            bits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64)))
-            columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists, bits]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "fp", "n", "keys", "bits"])
+            bits, low = (pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x, width in ((maps, MAP_BITS // 64), (least, LEAST)))
+            columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists, bits, low]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "fp", "n", "keys", "bits", "least"])
 
-    return docs.select(F.xxhash64("text").alias("h"), text_bytes()).mapInArrow(run, "h long, fp long, n long, keys array<long>, bits array<long>")
+    return docs.select(F.xxhash64("text").alias("h"), text_bytes()).mapInArrow(run, "h long, fp long, n long, keys array<long>, bits array<long>, least array<long>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,20 +312,24 @@ def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "of_a", "of_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
-def near_links(docs: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
+def near_links(docs: DataFrame, *, bits: int = MAX_BITS, cap: int = BUCKET_CAP) -> DataFrame:
     """(node, root): hashes of texts that are near copies, by links, and the smallest of their component.
 
-    The first candidates are fingerprints within ``bits`` bits. Those of more bits meet in a
-    shared key; a key's two ends are candidates with all its texts as long as that halves
-    what is open, then the pairs whose texts are not yet of one component. Pairs are left
-    out whose sizes, places or maps tell that they can't be alike enough; the others are
-    verified on their texts.
+    The first candidates are fingerprints within ``bits`` bits, and texts with the first of
+    those that have the same smallest shingle in one of LEAST orders, which large groups do.
+    All others meet in a shared key; a key's two ends are candidates with all its texts as
+    long as that halves what is open, then the pairs whose texts are not yet of one
+    component. Pairs are left out whose sizes, places or maps tell that they can't be alike
+    enough; the others are verified on their texts.
     """
     with small_batches(docs.sparkSession, 1000):
         rows = cut(_near_keys(docs).dropDuplicates(["h"]), "simhash-keys")
     per_print = rows.groupBy("fp").agg(F.min("h").alias("low"))
-    found = links(per_print.select("fp"), max_bits=bits).join(per_print.toDF("a", "x"), "a").join(per_print.toDF("b", "y"), "b").select("x", "y")
+    found = links(per_print.select("fp"), max_bits=bits, cap=cap).join(per_print.toDF("a", "x"), "a").join(per_print.toDF("b", "y"), "b").select("x", "y")
     pairs = found.unionByName(rows.join(per_print, "fp").filter("h <> low").select(F.col("h").alias("x"), F.col("low").alias("y")))
+    lows = rows.select("h", F.posexplode("least").alias("o", "v"))
+    first = lows.groupBy("o", "v").agg(F.min("h").alias("y"), F.count("*").alias("m")).filter("m > 1")
+    pairs = pairs.unionByName(lows.join(first, ["o", "v"]).filter("h <> y").select(F.col("h").alias("x"), "y"))
     keyed = rows.select("h", F.posexplode("keys").alias("p", "k")).select("k", "h", "p")
     members = cut(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_shared, "k long, h long, p int"), "simhash-members")
     # keys come in one order, so texts that first meet at places px and py share nothing before; at least 4/9 of both sizes must be left
