@@ -40,6 +40,19 @@ CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 FAMILIES = (("gpt-", "OPENAI"), ("o1-", "OPENAI"), ("o3-", "OPENAI"), ("claude-", "ANTHROPIC"), ("llama-", "META"), ("command-r", "COHERE"), ("mistral-", "MISTRAL"))
 
 
+#: White space of Unicode, which a search for ``\\s`` in Java or SQL would not find all of.
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def blanks(pattern: str) -> str:
+    """A pattern whose white space is that of Unicode; ``\\s`` may not stand in a class."""
+    return pattern.replace(r"\s", BLANK)
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case ASCII words with inner hyphens; a null text has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -47,33 +60,25 @@ def tokens(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between white space, in lower case."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{BLANK}+"), "")
 
 
 def sentences(text: Column) -> Column:
     """Pieces after ``.``, ``!`` or ``?`` and white space, trimmed, without empty ones."""
-    pieces = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(pieces, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-
-
-def paragraphs(text: Column) -> Column:
-    """Pieces between blank lines, or lines where there is no blank one."""
-    blank = F.split(text, r"\n\s*\n")
-    pieces = F.when(F.size(blank) > 1, blank).otherwise(F.split(text, "\n"))
-    return F.filter(F.transform(pieces, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    pieces = F.split(trimmed(F.coalesce(text, F.lit(""))), blanks(r"(?<=[.!?])\s+"))
+    return F.filter(F.transform(pieces, trimmed), lambda s: s != "")
 
 
 def _without(text: Column, patterns: tuple[str, ...]) -> Column:
     for p in patterns:
-        text = F.regexp_replace(text, f"(?i){p}", "")
+        text = F.regexp_replace(text, f"(?iu){blanks(p)}", "")
     return text
 
 
 def sanitized_query(text: Column, *, max_length: int = 500, patterns: tuple[str, ...] = INJECTION_PATTERNS) -> Column:
     """Without control characters and injection patterns, one space for several, trimmed and cut."""
     clean = _without(F.regexp_replace(text, CONTROLS, ""), patterns)
-    clean = F.regexp_replace(F.regexp_replace(clean, "  +", " "), r"^\s+|\s+$", "")
-    return F.substring(clean, 1, max_length)
+    return F.substring(trimmed(F.regexp_replace(clean, "  +", " ")), 1, max_length)
 
 
 def sanitized_prompt(text: Column, *, max_length: int = 2000) -> Column:
@@ -108,11 +113,11 @@ def routed_tier(text: Column, answer: Column, *, threshold: float = 0.7, keyword
 def acceptable_response(text: Column, *, min_length: int = 10) -> Column:
     """Length without invisible characters and outer white space reaches the minimum."""
     visible = F.translate(F.coalesce(text, F.lit("")), INVISIBLE, "")
-    return F.length(F.regexp_replace(visible, r"^\s+|\s+$", "")) >= min_length
+    return F.length(trimmed(visible)) >= min_length
 
 
 def needs_legal_context(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(f"(?i){DELEGATION}")
+    return F.coalesce(text, F.lit("")).rlike(f"(?iu){blanks(DELEGATION)}")
 
 
 def pii_flags(text: Column, *, prefix_stems: bool = False) -> Column:
@@ -140,7 +145,7 @@ def pii_flags(text: Column, *, prefix_stems: bool = False) -> Column:
 def without_reasoning(text: Column) -> Column:
     """A model's answer without its thinking blocks and code fence."""
     plain = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    plain = F.regexp_replace(plain, r"^\s+|\s+$", "")
+    plain = trimmed(plain)
     return F.regexp_replace(F.regexp_replace(plain, r"^```[^\n]*\n", ""), r"\s*```$", "")
 
 
@@ -166,7 +171,7 @@ def has_number(text: Column, value: Column, *, tolerance: float = 0.01) -> Colum
 
 def answer_lines(text: Column, n: int) -> Column:
     """The first n lines of a model's answer that are not empty."""
-    return F.slice(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != ""), 1, n)
+    return F.slice(F.filter(F.transform(F.split(text, "\n"), trimmed), lambda s: s != ""), 1, n)
 
 
 def query_category(answer: Column, *, default: str = "standard") -> Column:

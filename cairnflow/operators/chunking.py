@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,19 +120,25 @@ def parent_child_chunks(text: str, *, pattern: str = SECTION, least: int = 50, m
 STRATEGIES: dict[str, Callable[..., Iterator[Chunk]]] = {"fixed_size": fixed_chunks, "semantic": semantic_chunks, "parent_child": parent_child_chunks}
 
 
-def chunked(docs: DataFrame, strategy: str = "fixed_size", *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, chunk_index, chunk_type, parent_index, content) of every text; null and blank texts have no chunks."""
+def chunked(docs: DataFrame, strategy: str = "fixed_size", *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """(doc_id, chunk_index, chunk_type, parent_index, content) of every text, and the columns ``keep`` of its row; null and blank texts have no chunks.
+
+    What is kept travels with the text, so a chunk has its own row's facts whatever the partitioning and however often ids repeat.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy {strategy!r} is not one of {sorted(STRATEGIES)}")
     rule = STRATEGIES[strategy]
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(d, i, kind, parent, body) for d, t in zip(frame["d"], frame["t"], strict=True) if t and t.strip() for i, (body, kind, parent) in enumerate(rule(t, **options))]
-            out = pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_type", "parent_index", "content"])
-            yield out.astype({"parent_index": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, i, kind, parent, body) for n, t in enumerate(batch.column(1).to_pylist()) if t and t.strip() for i, (body, kind, parent) in enumerate(rule(t, **options))]
+            at, *columns = zip(*rows, strict=True) if rows else ((),) * 5
+            at = pa.array(at, pa.int64())
+            parts = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *parts, *(c.take(at) for c in batch.columns[2:])], names=["doc_id", "chunk_index", "chunk_type", "parent_index", "content", *keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_t"), *keep).mapInArrow(run, ", ".join([SCHEMA, *kept]))
 
 
 def parent_clearance(chunks: DataFrame) -> DataFrame:
@@ -150,9 +156,9 @@ def ingested(docs: DataFrame, *, strategy: str = "fixed_size", embed: Callable |
     """
     from ..functions.text import tokens
 
-    pieces = chunked(docs.select(F.monotonically_increasing_id().alias("_row"), "text"), strategy, id_col="_row", **options)
-    facts = docs.select(F.monotonically_increasing_id().alias("_row"), id_col, "department_id", "clearance_level", "source_file")
-    rows = pieces.withColumnRenamed("doc_id", "_row").join(facts, "_row")
+    named = docs.select(F.lit(0).alias("_none"), "text", F.col(id_col).alias("_id"), F.col("department_id").alias("_department"), F.col("clearance_level").alias("_clearance"), F.col("source_file").alias("_source"))
+    rows = chunked(named, strategy, id_col="_none", keep=("_id", "_department", "_clearance", "_source"), **options)
+    rows = rows.drop("doc_id").withColumnsRenamed({"_id": id_col, "_department": "department_id", "_clearance": "clearance_level", "_source": "source_file"})
     words = tokens(F.col("content"))
     terms = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(words)), lambda t: F.struct(t, F.size(F.filter(words, lambda w: w == t)))))
     dense = [] if embed is None else [embed(F.col("content")).alias("dense")]

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranges_of
+
 FULL_ACCESS = ("admin", "compliance_officer")
 
 
@@ -145,15 +147,25 @@ def build_chains(entries: DataFrame, *, chain: str = "chain_id") -> DataFrame:
     return rows.mapInPandas(walk, schema)
 
 
-def verify_chains(entries: DataFrame, *, chain: str = "chain_id") -> DataFrame:
+def verify_chains(entries: DataFrame, *, chain: str = "chain_id", ranges: int | None = None) -> DataFrame:
     """(chain, valid, broken_at, n): the first position whose link or hash is wrong, null in a whole chain.
 
-    Each row is judged by its stored predecessor alone; up to the first break that is the same as walking.
+    Each row is judged by its stored predecessor alone; up to the first break that is the
+    same as walking. A long chain is cut into ranges of time, each judged by a task of its
+    own: what a range hands on is its size and its last row's hash, one row a range, from
+    which its neighbour's first row gets a position and a predecessor.
     """
-    order = Window.partitionBy(chain).orderBy("created_at", "id")
-    rows = entries.withColumn("_prev", F.lag("entry_hash").over(order)).withColumn("_at", F.row_number().over(order) - 1)
+    time, number = F.coalesce(F.unix_micros("created_at"), F.lit(-(1 << 63))), F.col("id")
+    rows = entries.withColumn("_range", ranges_of(entries, chain, [time, number], ranges))
+    inside = Window.partitionBy(chain, "_range").orderBy("created_at", "id")
+    rows = rows.withColumn("_at", F.row_number().over(inside) - 1).withColumn("_prev", F.lag("entry_hash").over(inside))
+    ends = rows.groupBy(chain, "_range").agg(F.count("*").alias("_n"), F.max_by("entry_hash", F.struct("created_at", "id")).alias("_last"))
+    before = Window.partitionBy(chain).orderBy("_range")
+    handed = ends.select(F.col(chain).alias("_chain"), F.col("_range").alias("_own"), F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lag("_last").over(before).alias("_handed"))
+    met = rows.join(handed, F.col(chain).eqNullSafe(F.col("_chain")) & (F.col("_range") == F.col("_own")), "left")
+    met = met.withColumn("_prev", F.when(F.col("_at") == 0, F.col("_handed")).otherwise(F.col("_prev"))).withColumn("_at", F.col("_at") + F.col("_base"))
     good = F.col("prev_entry_hash").eqNullSafe(F.col("_prev")) & F.col("entry_hash").eqNullSafe(_link(F.col("_prev")))
-    per = rows.groupBy(chain).agg(F.min(F.when(~good, F.col("_at"))).alias("broken_at"), F.count("*").alias("n"))
+    per = met.groupBy(chain).agg(F.min(F.when(~good, F.col("_at"))).alias("broken_at"), F.count("*").alias("n"))
     return per.select(chain, F.col("broken_at").isNull().alias("valid"), "broken_at", "n")
 
 

@@ -2,10 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
+#: Rows of a key below which it is one range whatever the table's size, and sampled rows for each range.
+WHOLE, SAMPLED = 1000, 50
+
+
+def ranges_of(rows: DataFrame, key: str, order: list[Column], ranges: int | None = None) -> Column:
+    """A number that cuts each large key's rows into ranges along ``order``, 0 for all rows of a small key.
+
+    Keys over a quarter of an even share are large, so there are few, and their bounds come
+    from a hash sample of their rows; both go through the driver and grow with ``ranges``
+    alone. Bounds only decide what is looked at together. ``order`` holds no nulls.
+    """
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    large = {r[0]: r.n for r in counts.filter(F.col("n") > max(WHOLE, total // (4 * ranges))).collect()}
+    if not large or ranges < 2:
+        return F.lit(0)
+    hot = F.coalesce(F.col(key).isin([k for k in large if k is not None]), F.lit(None in large))
+    named = [c.alias(f"_{i}") for i, c in enumerate(order)]
+    place = F.pmod(F.xxhash64(*order), F.lit(1 << 30))
+    some = rows.filter(hot & (place < min(1 << 30, (SAMPLED * ranges << 30) // sum(large.values())))).select(*named).orderBy(F.xxhash64(*(f"_{i}" for i in range(len(order))))).limit(2 * SAMPLED * ranges)
+    seen = sorted({tuple(r) for r in some.collect()})
+    bounds = sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
+    mine = F.struct(*named)
+
+    def search(low: int, high: int) -> Column:
+        """How many of the bounds are not above the row, as a tree of comparisons."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(mine < F.struct(*(F.lit(v).alias(f"_{i}") for i, v in enumerate(bounds[middle]))), search(low, middle)).otherwise(search(middle + 1, high))
+
+    return F.when(hot, search(0, len(bounds))).otherwise(0)
 
 
 def with_before(rows: DataFrame, column: str, weight: str, *, by: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import cosine, norm
+from . import vector_index
 
 RRF_CONSTANT = 60
 PREFETCH = 4
@@ -328,16 +329,15 @@ def partition_key(clearance: Column, departments: Column, entities: Column) -> C
 def cache_lookup(queries: DataFrame, entries: DataFrame, *, threshold: float = 0.95, updates: DataFrame | None = None) -> DataFrame:
     """For each query (query_id, partition_key, embedding), the cached response most similar to it, if any.
 
-    Only entries of the query's own partition are looked at. The best is taken first and
-    then held against the threshold; ties go to the older entry. It is a miss when one of
-    its source documents was updated after it was made.
+    Only entries of the query's own partition are looked at, and of these only cells of the
+    vector index that can hold one within the threshold. The best counts, ties go to the
+    older entry. It is a miss when one of its source documents was updated after it was made.
     """
-    c = entries.select("partition_key", "entry_id", "response", "created_at", "source_doc_ids", F.col("embedding").alias("_c"), norm(F.col("embedding")).alias("_cn"))
-    q = queries.select("query_id", "partition_key", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
-    sim = F.round(cosine(F.col("_c"), F.col("_q"), F.col("_cn"), F.col("_qn")), 9)
-    pairs = c.join(q, "partition_key").withColumn("similarity", sim).filter("similarity > 0")
-    best = pairs.groupBy("query_id").agg(F.max_by(F.struct("similarity", "entry_id", "response", "created_at", "source_doc_ids"), F.struct("similarity", -F.col("entry_id"))).alias("b"))
-    hits = best.select("query_id", "b.*").filter(F.col("similarity") >= threshold)
+    centres = vector_index.fit_centroids(entries)
+    index = vector_index.placed(entries.select("entry_id", "partition_key", "embedding"), centres)
+    found = vector_index.best_within(queries, index, centres, max(threshold, 1e-9), by="partition_key", id_col="entry_id").withColumnRenamed("score", "similarity")
+    facts = entries.select("partition_key", "entry_id", "response", "created_at", "source_doc_ids")
+    hits = found.join(queries.select("query_id", "partition_key"), "query_id").join(facts, ["partition_key", "entry_id"])
     if updates is not None:
         newer = hits.select("query_id", "created_at", F.explode("source_doc_ids").alias("doc_id")).join(updates, "doc_id").filter("updated_at > created_at")
         hits = hits.join(newer.select("query_id").distinct(), "query_id", "left_anti")
