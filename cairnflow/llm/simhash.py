@@ -23,7 +23,9 @@ NEAR = (4, 5)
 #: Smallest hashes of a text's shingles, each in another order, by which large groups of near copies meet early.
 LEAST = 6
 #: Bits of a map of a text's shingles: each flips one, so texts differ in as many shingles at least as their maps in bits.
-MAP_BITS = 512
+MAP_BITS = 2048
+#: Of the shared keys a turn of stars takes one in so many, and such turns come first.
+STAR_KEYS, STAR_TURNS = 4, 4
 #: Texts from which common shingles are told, and how many of these are known. Both only set an order that saves time.
 SAMPLE = 8000
 COMMON = 300_000
@@ -346,9 +348,10 @@ def near_links(docs: DataFrame, *, bits: int = MAX_BITS, cap: int = BUCKET_CAP)
             total, size = open_keys.agg(F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("s")), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
             if not total:
                 break
-            last = turn == 7 or total <= 20 * size or before is not None and 2 * total > before
+            last = turn == 7 or total <= 20 * size or turn > STAR_TURNS and 2 * total > before
             before = total
-            where = where.join(open_keys.select("k"), "k").join(rows.select("h", "n", "bits"), "h")
+            keys = open_keys if last else open_keys.filter(F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(STAR_KEYS)) == 0)
+            where = where.join(keys.select("k"), "k").join(rows.select("h", "n", "bits"), "h")
             named = lambda x: where.select("k", *(F.col(c).alias(f"{c}{x}" if c != "h" else x) for c in ("h", "n", "p", "c", "bits")))  # noqa: E731, B023
             if last:
                 pairs = named("x").join(named("y"), "k").filter(f"x > y AND cx <> cy AND {fits}")
