@@ -141,6 +141,72 @@ def bootstrap_ci(scores: DataFrame, *, key: str = "doc_id", column: str = "score
     return facts.crossJoin(bounds).select(F.when(F.col("n") < 3, few).otherwise(F.col("n")).alias("n"), "mean", "lower", "upper")  # one row each
 
 
+#: Parts that the draws of an exact bootstrap are split over by the driver, and rows that a task draws for at once.
+DRAW_PARTS, DRAW_ROWS = 1024, 256
+
+
+def bootstrap_draws(scores: DataFrame, *, key: str = "doc_id", column: str = "score", resamples: int = 1000, seed: int = 7) -> DataFrame:
+    """(r, total, draws): for each resample of n draws with replacement the sum of what it draws and n.
+
+    The draws of a resample are split over parts of the rows by a multinomial, part by part
+    as binomials of what is left; a task goes on in the same way over pieces of its rows, so
+    nobody holds a part whole. Parts go by the hash of ``key`` and rows by key and score, so
+    the draws don't depend on the partitioning. Null scores don't count.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows = scores.select(F.col(key).cast("string").alias("k"), F.col(column).cast("double").alias("s")).filter("s IS NOT NULL")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(DRAW_PARTS)).cast("int"))
+    sizes = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # a number for each of DRAW_PARTS
+    left, total, rng = np.full(resamples, sum(sizes.values())), sum(sizes.values()), np.random.default_rng(seed)
+    given = {}
+    for part in sorted(sizes):
+        given[part] = rng.binomial(left, sizes[part] / total)
+        left, total = left - given[part], total - sizes[part]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros(resamples), np.zeros(resamples, np.int64)
+        own, open_draws, open_rows, piece = None, None, 0, []
+
+        def finish() -> None:
+            nonlocal open_draws, open_rows, sums, counts
+            if piece:
+                s, rng = np.array(piece), np.random.default_rng([seed, own, open_rows])
+                drawn = rng.binomial(open_draws, len(s) / open_rows)
+                hits = rng.multinomial(drawn, np.full(len(s), 1 / len(s)))
+                sums += hits @ s
+                counts += hits.sum(axis=1)
+                open_draws, open_rows = open_draws - drawn, open_rows - len(s)
+                piece.clear()
+
+        for batch in batches:
+            for part, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != own:
+                    finish()
+                    own, open_draws, open_rows = part, given[part], sizes[part]
+                piece.append(s)
+                if len(piece) == DRAW_ROWS:
+                    finish()
+        finish()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums), pa.array(counts)], names=["r", "t", "w"])
+
+    dealt = rows.repartition("part").sortWithinPartitions("part", "k", "s").select("part", "s")
+    return dealt.mapInArrow(draw, "r long, t double, w long").groupBy("r").agg(F.sum("t").alias("total"), F.sum("w").alias("draws"))
+
+
+def bootstrap_interval(scores: DataFrame, *, column: str = "score", level: float = 0.95, resamples: int = 1000, **how) -> DataFrame:
+    """One row (n, mean, lower, upper, least_draws, most_draws) of an exact bootstrap: bounds are the resamples' means at int(share * resamples). Under 3 scores are an error."""
+    drawn = bootstrap_draws(scores, column=column, resamples=resamples, **how)
+    means = drawn.agg(F.array_sort(F.collect_list(F.col("total") / F.col("draws"))).alias("m"), F.min("draws").alias("least_draws"), F.max("draws").alias("most_draws"))  # a number for each resample
+    low, high = max(0, int((1 - level) / 2 * resamples)), min(resamples - 1, int((1 - (1 - level) / 2) * resamples))
+    facts = scores.agg(F.count(column).alias("n"), F.avg(F.col(column).cast("double")).alias("mean"))
+    few = F.raise_error(F.concat(F.lit("a bootstrap needs 3 scores, not "), F.col("n").cast("string"))).cast("long")
+    return facts.crossJoin(means).select(F.when(F.col("n") < 3, few).otherwise(F.col("n")).alias("n"), "mean", F.get("m", F.lit(low)).alias("lower"), F.get("m", F.lit(high)).alias("upper"), "least_draws", "most_draws")  # one row each
+
+
 def provider_benchmark(results: DataFrame) -> DataFrame:
     """Accuracy over all rows, p50 (the median), p95 (the element at int(0.95 n)), mean latency, tokens a second and mean cost of successes of each provider.
 

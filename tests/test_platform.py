@@ -1,14 +1,20 @@
 """Operators for long chains, indexes, merges, memories and caches, on small tables."""
 
 import datetime as dt
+import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairnflow.functions import text as X
-from cairnflow.operators import chunking, compliance, ordered, retrieval
+from cairnflow.functions.vectors import embedding_udf
+from cairnflow.operators import chunking, compliance, ordered, quality, replay, retrieval
+from cairnflow.operators import map_clusters as clusters
 from cairnflow.operators import vector_index as V
+from cairnflow.sources import merge
+from cairnflow.streaming import memory, polling
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
 
@@ -134,3 +140,234 @@ def test_cache_looks_at_cells_within_the_threshold(spark):
     index = V.placed(entries.select("entry_id", "partition_key", "embedding"), centres)
     share = V.pairs_scanned(asked, index, centres, keep=F.col("bound") + V.SLACK >= 0.9, by="partition_key").first()
     assert 0 < share.scanned < 0.6 * share["all"]
+
+
+def test_merge_rewrites_touched_buckets_alone(spark, tmp_path):
+    path = str(tmp_path / "table")
+    schema = "k long, v string, at int, tags array<string>"
+    first = [(i, f"v{i}", 1, ["a"]) for i in range(200)] + [(7, "newer", 2, None), (7, "older", 0, None), (None, "no key", 1, [])]
+    merge.merge_rows(spark.createDataFrame(first, schema), path, ["k"], order="at", buckets=16)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "table" / "rows").rglob("*.parquet")}
+    before = files()
+    assert len(before) == 16
+    second = spark.createDataFrame([(7, "late", 1, None), (8, "tie b", 3, None), (8, "tie a", 3, None), (900, "new", 1, ["x"]), (9, "stale", 0, None)], schema)
+    want = {(i, f"v{i}") for i in range(200)} - {(7, "v7"), (8, "v8")} | {(7, "newer"), (8, "tie b"), (900, "new"), (None, "no key")}
+    for _ in range(2):  # a replay changes nothing
+        merge.merge_rows(second, path, ["k"], order="at")
+        got = merge.merged(spark, path)
+        assert got.columns == ["k", "v", "at", "tags"] and {(r.k, r.v) for r in got.collect()} == want and got.count() == len(want)
+    touched = {r[0] for r in second.select(merge._bucket(["k"], 16)).collect()}
+    same = {p for p, t in files().items() if before.get(p) == t}
+    assert len(touched) < 6 and len(same) == 16 - len(touched) and len(files()) == 16
+    merge.merge_rows(spark.createDataFrame([(5, None, 9, None)], schema), path, ["k"], order="at")
+    assert merge.merged(spark, path).filter("k = 5").first().v is None
+
+
+def test_box_reads_few_files(spark, tmp_path):
+    path = str(tmp_path / "positions")
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(47, 52, 5000), rng.uniform(8, 15, 5000), strict=True))] + [(9000, None, 9.0), (9001, 95.0, 300.0)], "id long, latitude double, longitude double")
+    merge.write_positions(rows, path, files=32)
+    for box in ((48.0, 9.0, 48.4, 9.5), (47.0, 8.0, 52.0, 15.0), (10.0, 10.0, 11.0, 11.0), (48.0, 9.0, 48.0, 9.0)):
+        got = {r.id for r in merge.read_box(spark, path, *box).collect()}
+        assert got == {r.id for r in rows.collect() if r.latitude is not None and box[0] <= r.latitude <= box[2] and box[1] <= r.longitude <= box[3]}
+    total = len(merge.box_files(spark, path, -90, -180, 200, 400))
+    assert total >= 30 and 0 < len(merge.box_files(spark, path, 48.0, 9.0, 48.4, 9.5)) <= 5 and not merge.box_files(spark, path, 10, 10, 11, 11)
+
+
+def plain_cache(steps, most):
+    """Dictionaries as they are, every first entry looked at for each drop."""
+    parts, facts = {}, {}
+    for seq, kind, part, entry, created in steps:
+        if kind == "hit":
+            if entry in parts.get(part, {}):
+                facts[entry][1] += 1
+                parts[part][entry] = parts[part].pop(entry)
+            continue
+        parts.setdefault(part, {})[entry] = created
+        facts[entry] = [part, 0, seq, None]
+        while sum(map(len, parts.values())) > most:
+            victim, oldest = None, None
+            for p, entries in parts.items():
+                head = next(iter(entries))
+                if oldest is None or entries[head] < oldest:
+                    victim, oldest = (p, head), entries[head]
+            del parts[victim[0]][victim[1]]
+            facts[victim[1]][3] = seq
+            if not parts[victim[0]]:
+                del parts[victim[0]]
+    return {(e, *f) for e, f in facts.items()}
+
+
+@pytest.mark.parametrize("most", [1, 5, 40])
+def test_replay_moves_entries_that_are_hit(spark, most):
+    rng = np.random.default_rng(most)
+    traces, rows = {}, []
+    for cache in ("a", "b", None):
+        steps, seen = [], []
+        for seq in range(600):
+            if seen and rng.random() < 0.6:
+                entry = seen[-int(rng.integers(1, min(len(seen), 60) + 1))]
+                steps.append((seq, "hit", entry[0], entry[1], 0))
+            else:
+                entry = (f"p{rng.integers(5)}", len(seen))
+                seen.append(entry)
+                steps.append((seq, "put", *entry, int(seq // 3 if cache != "b" else rng.integers(50))))
+        traces[cache] = steps
+        rows += [(cache, s, k, p, e, T0 + dt.timedelta(seconds=c)) for s, k, p, e, c in steps]
+    trace = spark.createDataFrame(rows, "cache_id string, seq long, kind string, partition_key string, entry_id long, created_at timestamp").repartition(5)
+    got = replay.cache_replay(trace, most).collect()
+    for cache, steps in traces.items():
+        mine = {(r.entry_id, r.partition_key, r.hits, r.inserted_at, r.evicted_at) for r in got if r.cache_id == cache}
+        assert mine == plain_cache(steps, most) and sum(r[4] is None for r in mine) == min(most, len(mine))
+    assert replay.cache_replay(trace.filter("false"), 3).collect() == []
+
+
+def test_exact_bootstrap_draws_n_each_time(spark, monkeypatch):
+    monkeypatch.setattr(quality, "DRAW_ROWS", 16)
+    monkeypatch.setattr(quality, "DRAW_PARTS", 7)
+    rng = np.random.default_rng(1)
+    values = rng.random(500).tolist()
+    scores = spark.createDataFrame([(i % 450, v) for i, v in enumerate(values)] + [(9999, None)], "doc_id long, score double")
+    drawn = quality.bootstrap_draws(scores, resamples=400).toPandas()
+    assert len(drawn) == 400 and set(drawn.draws) == {500}
+    means = (drawn.total / 500).to_numpy()
+    assert abs(means.mean() - np.mean(values)) < 0.003 and means.std() == pytest.approx(np.std(values) / 500**0.5, rel=0.15)
+    one = quality.bootstrap_interval(scores, resamples=400).first()
+    again = quality.bootstrap_interval(scores.repartition(6), resamples=400).first()
+    ordered_means = np.sort(means)
+    assert one == again and (one.n, one.least_draws, one.most_draws) == (500, 500, 500)
+    assert (one.lower, one.upper) == (pytest.approx(ordered_means[10]), pytest.approx(ordered_means[390]))
+    with pytest.raises(Exception, match="needs 3 scores"):
+        quality.bootstrap_interval(scores.limit(2), resamples=5).collect()
+
+
+ALERTS = "truck_id string, alert_type string, severity string, ts timestamp, seq long, cargo_value_eur double"
+
+
+def alert_rows(n, seed=0):
+    rng = np.random.default_rng(seed)
+    at, rows = 0, []
+    for i in range(n):
+        at += int(rng.integers(1, 9)) * (86400 * 40 if i % 37 == 36 else 600)
+        rows.append((f"t{rng.integers(3)}", "spike drift speed".split()[rng.integers(3)], "high", T0 + dt.timedelta(seconds=at), i, None if i % 5 == 0 else float(i)))
+    return rows
+
+
+def plain_responses(rows, most, ttl_days=30):
+    memory, out = {}, set()
+    for truck, kind, _, ts, seq, cargo in rows:
+        own = memory.setdefault(truck, [])
+        if own and (ts - own[-1][1]) > dt.timedelta(days=ttl_days):
+            own.clear()
+        n = sum(k == kind for k, _ in own)
+        out.add((truck, kind, seq, n, "escalate_maintenance" if n >= 2 else "investigate", round((cargo or 0) * 0.15, 2)))
+        own.append((kind, ts))
+        del own[:-most]
+    return out
+
+
+@pytest.mark.parametrize("most", [4, 100])
+def test_third_alert_of_a_kind_escalates_on_the_stream_and_after_a_restart(spark, tmp_path, most):
+    rows = alert_rows(120)
+    want = plain_responses(rows, most)
+    tell = lambda df: {(r.truck_id, r.alert_type, r.seq, r.similar_alerts, r.action, r.financial_risk) for r in df.collect()}
+    alerts = spark.createDataFrame(rows, ALERTS)
+    assert tell(memory.responses_of(alerts, most=most)) == want
+    assert {r[4] for r in want} == {"escalate_maintenance", "investigate"}
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for part in range(4):  # the query is stopped after two files and goes on with the rest
+        alerts.filter(f"seq DIV 30 = {part}").coalesce(1).write.mode("append").parquet(source)
+        if part % 2:
+            stream = spark.readStream.schema(ALERTS).option("maxFilesPerTrigger", 1).parquet(source)
+            query = memory.responses(stream, most=most).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+            query.awaitTermination()
+    assert tell(spark.read.parquet(out)) == want
+
+
+def test_memory_at_a_time(spark):
+    rows = alert_rows(90, seed=2)
+    alerts = spark.createDataFrame(rows, ALERTS)
+    for now in (rows[35][3], rows[60][3] + dt.timedelta(days=1), rows[-1][3] + dt.timedelta(days=31)):
+        want = {}
+        for truck, kind, _, ts, seq, _ in rows:
+            if ts <= now:
+                own = want.setdefault(truck, [])
+                if own and ts - own[-1][2] > dt.timedelta(days=30):
+                    own.clear()
+                own.append((kind, seq, ts))
+        want = {t: [x[1] for x in reversed(own)][:5] for t, own in want.items() if now - own[-1][2] <= dt.timedelta(days=30)}
+        got = {}
+        for r in memory.remembered(alerts, now, most=5).orderBy("position").collect():
+            got.setdefault(r.truck_id, []).append(r.seq)
+        assert got == want
+
+
+def test_polling_repeats_nothing_after_a_restart(spark, tmp_path):
+    folder, out, state = tmp_path / "snapshots", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+
+    def snapshot(n):
+        (folder / f"{n:04d}.json").write_text(json.dumps([{"truck_id": f"t{i}", "lat": i, "lng": n + 0.5} for i in range(80 if n else 10)]))
+
+    def run():
+        stream = polling.polled(spark, str(folder), "truck_id string, latitude double, longitude double", rows=30, seed=4, rename={"lat": "latitude", "lng": "longitude"})
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).start()
+        query.processAllAvailable()
+        query.stop()
+
+    snapshot(0), snapshot(1)
+    run()
+    snapshot(2)
+    run()
+    run()
+    got = spark.read.parquet(out).collect()
+    assert sorted((n, sum(r.longitude == n + 0.5 for r in got)) for n in range(3)) == [(0, 10), (1, 30), (2, 30)]
+    assert len({(r.truck_id, r.longitude) for r in got}) == 70 and all(r.latitude == int(r.truck_id[1:]) for r in got)
+
+
+def plain_clusters(markers, zoom, size):
+    """The sweep as it is told: a list of open clusters, the first that holds a marker takes it."""
+    world = 256.0 * 2**zoom
+    lat_of = lambda y: (2 * math.atan(math.exp((0.5 - y / world) * 2 * math.pi)) - math.pi / 2) * 180 / math.pi
+    made = []
+    for _, lat, lng, weight, category in sorted(markers, key=lambda m: (m[2], m[0])):
+        home = next((c for c in made if c["south"] <= lat <= c["north"] and c["west"] <= lng <= c["east"]), None)
+        if home is None:
+            x, y = world * (lng / 360 + 0.5), world * (0.5 - math.log(math.tan(math.pi / 4 + lat * math.pi / 360)) / (2 * math.pi))
+            x, y = math.floor(x / size) * size, math.floor(y / size) * size
+            home = {"west": (x / world - 0.5) * 360, "east": ((x + size) / world - 0.5) * 360, "north": lat_of(y), "south": lat_of(y + size), "m": []}
+            made.append(home)
+        home["m"].append((lat, lng, weight, category))
+    return sorted((len(c["m"]), sum(m[2] for m in c["m"]), round(sum(m[0] * m[2] for m in c["m"]) / sum(m[2] for m in c["m"]), 6), round(sum(m[1] * m[2] for m in c["m"]) / sum(m[2] for m in c["m"]), 6), [sum(m[3] == k for m in c["m"]) for k in range(8)]) for c in made)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_clusters_are_those_of_the_sweep(spark, seed):
+    rng = np.random.default_rng(seed)
+    markers = [(i, float(rng.uniform(-70, 70)), float(rng.uniform(-175, 175)), 1.0 + i % 3, int(rng.integers(9))) for i in range(25)]
+    edge = lambda: float(rng.integers(-7, 8) * 22.5)  # noqa: E731  rims of columns
+    markers += [(100 + i, float(rng.uniform(-70, 70)), edge(), 1.0, 2) for i in range(40)]
+    markers += [(200 + i, 0.0, float(rng.uniform(-175, 175)), 2.0, 3) for i in range(20)] + [(300 + i, 0.0, edge(), 1.0, 4) for i in range(20)]
+    df = spark.createDataFrame([*markers, (900, None, 3.0, 1.0, 1)], "id long, latitude double, longitude double, weight double, category int").repartition(3)
+    got = clusters.map_clusters(df, zoom=2, size=64).collect()
+    assert sorted((r.population, r["weight"], round(r.latitude, 6), round(r.longitude, 6), r.stats) for r in got) == plain_clusters(markers, 2, 64)
+    view = clusters.map_clusters(df, zoom=2, size=64, view=(-10.0, -10.0, 10.0, 10.0)).agg(F.sum("population").alias("n")).first().n
+    assert view == sum(-18 < m[1] < 18 and -18 <= m[2] <= 18 for m in markers)
+
+
+def test_embedding_function_sets_up_once_a_worker(spark):
+    def setup():
+        calls = []
+
+        def embed(texts):
+            calls.append(len(texts))
+            assert len(texts) <= 16
+            return [[len(t), len(calls)] for t in texts]
+
+        return embed
+
+    rows = spark.createDataFrame([(i, None if i % 10 == 0 else "x" * i) for i in range(100)], "i int, t string").coalesce(1)
+    got = {r.i: r.v for r in rows.select("i", embedding_udf(setup, batch=16)(F.col("t")).alias("v")).collect()}
+    assert [got[i] is None for i in range(100)] == [i % 10 == 0 for i in range(100)]
+    assert all(got[i][0] == i for i in got if got[i]) and max(v[1] for v in got.values() if v) == 6  # 90 texts in batches of 16, one set-up
