@@ -10,8 +10,8 @@ import pytest
 from cairnflow.queries import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-#: Queries without SQL, and the test of tests/test_operators.py that holds their rule.
-CHECKED_APART = {"chunk_parent_child": "test_chunkers"}
+#: Queries without SQL, and the test of tests/ that holds their rule.
+CHECKED_APART = {"chunk_parent_child": "test_chunkers", "cache_replay": "test_replay_moves_entries_that_are_hit"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
