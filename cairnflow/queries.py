@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import business, knowledge, platform, records, signals
+from .plans import business, knowledge, platform, records, signals, streams
 
-QUERIES: dict = business.QUERIES | signals.QUERIES | knowledge.QUERIES | records.QUERIES | platform.QUERIES
-ORACLES: dict[str, str] = business.ORACLES | signals.ORACLES | knowledge.ORACLES | records.ORACLES | platform.ORACLES
+QUERIES: dict = business.QUERIES | signals.QUERIES | knowledge.QUERIES | records.QUERIES | platform.QUERIES | streams.QUERIES
+ORACLES: dict[str, str] = business.ORACLES | signals.ORACLES | knowledge.ORACLES | records.ORACLES | platform.ORACLES | streams.ORACLES

@@ -101,7 +101,8 @@ def create_table(spark: SparkSession, name: str, schema: str, *, partition_by: t
 def write_with_marker(parts: dict[str, DataFrame], path: str) -> str:
     """Write several frames as one: all of them into a new folder, then a marker that :func:`last_written` looks for.
 
-    Readers see all of a write or nothing of it, as the marker comes last.
+    Readers see all of a write or nothing of it, as the marker comes last. Writes are
+    numbered from what is there, so clocks don't matter; of two at once the greater name counts.
     """
     import uuid
 
@@ -109,13 +110,16 @@ def write_with_marker(parts: dict[str, DataFrame], path: str) -> str:
     for name, rows in parts.items():
         rows.write.parquet(f"{path}/{own}/{name}")
     spark = next(iter(parts.values())).sparkSession
-    spark.range(1).select(F.lit(own).alias("write"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{path}/_commits")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    number = (spark.read.parquet(f"{path}/_commits").agg(F.max("number")).first()[0] or 0) + 1 if there else 1
+    spark.range(1).select(F.lit(own).alias("write"), F.lit(number).cast("long").alias("number")).coalesce(1).write.mode("append").parquet(f"{path}/_commits")
     return own
 
 
 def last_written(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A frame of the last write that was completed."""
-    own = spark.read.parquet(f"{path}/_commits").agg(F.max_by("write", "at")).first()[0]
+    own = spark.read.parquet(f"{path}/_commits").agg(F.max_by("write", F.struct("number", "write"))).first()[0]
     return spark.read.parquet(f"{path}/{own}/{name}")
 
 

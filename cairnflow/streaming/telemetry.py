@@ -121,12 +121,25 @@ def health(query: StreamingQuery, name: str = "health") -> dict:
 
 
 def newest_alerts(spark: SparkSession, path: str, most: int = 50) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps the newest alerts at ``path``, a folder for each batch; a replayed batch writes its own again."""
+    """A batch writer that keeps the newest alerts at ``path``, in the folder of the last batch; a replayed batch writes its own again.
+
+    A batch goes on from the last one below it that is there, and then drops those below that
+    one, which no replay needs; a query with a new checkpoint begins anew.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def written() -> list[int]:
+        names = [x.getPath().getName() for x in store.listStatus(root)] if store.exists(root) else []
+        return sorted(int(n) for n in names if n.isdigit())
 
     def write(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{path}/{number - 1}") if number else batch.limit(0)
+        earlier = [n for n in written() if n < number]
+        before = spark.read.schema(batch.schema).parquet(f"{path}/{earlier[-1]}") if earlier else batch.limit(0)
         both = before.unionByName(batch)
         both.orderBy(F.col("ts").desc(), F.col("seq").desc(), "check_order").limit(most).write.mode("overwrite").parquet(f"{path}/{number}")
+        for n in earlier[:-1]:
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"), True)
 
     return write
 
