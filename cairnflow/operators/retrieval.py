@@ -152,8 +152,8 @@ def term_frequencies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def inverse_document_frequencies(tf: DataFrame, n_docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """(term, df, idf): ln(1 + (N - df + 0.5) / (df + 0.5)); ``n_docs`` is a one-row frame with N in column n."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df, idf): ln(1 + (N - df + 0.5) / (df + 0.5)), from terms of texts or from (term, df); ``n_docs`` is a one-row frame with N in column n."""
+    df = tf if "df" in tf.columns else tf.groupBy("term").agg(F.count("*").alias("df"))
     return df.join(n_docs.select(F.col("n").alias("_n"))).select("term", "df", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
@@ -172,46 +172,73 @@ def sparse_scores(queries: DataFrame, corpus: DataFrame, *, id_col: str = "doc_i
     return scored.filter("score > 0")
 
 
+def document_frequencies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, df) of every term, with one shuffle by term; ``id_col`` is a text's own."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _matched(corpus: DataFrame, terms: dict[str, int], id_col: str) -> DataFrame:
+    """(id, terms, tf) of every text: the numbers of its terms that queries have, and how often it has them."""
+    kind = corpus.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1)
+            coded = held.flatten().dictionary_encode()
+            number = np.array([terms.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
+            doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(held).to_numpy())
+            term = number[coded.indices.to_numpy()] if len(doc) else np.zeros(0, np.int64)
+            pair, tf = np.unique(doc[term >= 0] * max(1, len(terms)) + term[term >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * max(1, len(terms))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (pair % max(1, len(terms)), tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[id_col, "terms", "tf"])
+
+    return corpus.select(id_col, tokens(F.col("text")).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, terms array<int>, tf array<int>")
+
+
 def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "doc_id", digits: int = 6) -> DataFrame:
     """The k rows of each query by :func:`sparse_scores`, without a row for each pair that shares a word.
 
-    Document frequencies are counted first. Then the query set goes over all rows in
-    blocks: each part of the corpus is scored term by term and only its best rows go on, so
-    a word that all texts have is no hot key.
+    The texts are read once: what they share with the queries' terms is written to the shared
+    folder, counted for the document frequencies, and then scored term by term for the
+    query set in blocks, each part of the corpus on its own. Only its best rows go on, so a
+    word that all texts have is no hot key. The queries' terms are known to every task.
     """
+    from ..session import scratch
+
+    spark = corpus.sparkSession
     q = term_frequencies(queries, id_col="query_id")
-    words = corpus.select(id_col, F.array_distinct(tokens(F.col("text"))).alias("t")).select(F.explode("t").alias("term"))
-    df = words.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n = corpus.agg(F.count("*").alias("_n"))
-    idf = df.join(n).select("term", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = q.join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    terms = {t: i for i, t in enumerate(sorted(r[0] for r in q.select("term").distinct().collect()))}
+    path = scratch(spark, "sparse-terms")
+    _matched(corpus, terms, id_col).write.parquet(path)
+    rows = spark.read.parquet(path)
+    n = rows.count()
+    df = np.zeros(max(1, len(terms)))
+    for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a number for each term of the queries
+        df[r.t] = r["count"]
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     blocks = []
     for own in _blocks(queries.select("query_id").distinct()):
-        rows = weighted.join(own, "query_id").select("query_id", "term", "weight").toPandas()
-        if rows.empty:
+        held = q.join(own, "query_id").select("query_id", "term", "tf").toPandas()
+        if held.empty:
             continue
-        ids = sorted(rows["query_id"].unique().tolist())
+        ids = sorted(held["query_id"].unique().tolist())
         at = {i: n for n, i in enumerate(ids)}
-        terms = {t: (np.array([at[i] for i in g["query_id"]]), g["weight"].to_numpy()) for t, g in rows.groupby("term")}
-        blocks.append({"ids": pa.array(ids, pa.int64() if not ids or isinstance(ids[0], int) else pa.string()), "terms": terms})
+        of = {terms[t]: (np.array([at[i] for i in g["query_id"]]), g["tf"].to_numpy() * idf[terms[t]]) for t, g in held.groupby("term")}
+        blocks.append({"ids": pa.array(ids, pa.int64() if isinstance(ids[0], int) else pa.string()), "terms": of})
 
     def score(block: dict, batch: pa.RecordBatch) -> np.ndarray:
         out = np.zeros((batch.num_rows, len(block["ids"])))
-        held = batch.column(1)
-        coded = held.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(held).to_numpy())
-        live = np.array([t in block["terms"] for t in names], bool)
-        term = coded.indices.to_numpy()
-        own = live[term] if len(term) else np.zeros(0, bool)
-        pair, tf = np.unique(term[own].astype(np.int64) * batch.num_rows + doc[own], return_counts=True)
-        cuts = np.flatnonzero(np.diff(pair // max(1, batch.num_rows), prepend=-1)).tolist()
-        for low, high in itertools.pairwise([*cuts, len(pair)]):
-            queries_of, weight = block["terms"][names[pair[low] // batch.num_rows]]
-            out[np.ix_(pair[low:high] % batch.num_rows, queries_of)] += np.outer(tf[low:high], weight)
+        doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy())
+        term, tf = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+        order = np.argsort(term, kind="stable")
+        cuts = np.flatnonzero(np.diff(term[order], prepend=-1)).tolist()
+        for low, high in itertools.pairwise([*cuts, len(order)]):
+            if held := block["terms"].get(int(term[order[low]])):
+                out[np.ix_(doc[order[low:high]], held[0])] += np.outer(tf[order[low:high]], held[1])
         return np.where(out > 0, np.round(out, digits), -np.inf)
 
-    found = _scored(corpus.select(id_col, tokens(F.col("text")).alias("t")), blocks, score, k, id_col, queries.schema["query_id"].dataType.simpleString())
+    found = _scored(rows, blocks, score, k, id_col, queries.schema["query_id"].dataType.simpleString())
     return top_k(found.filter("score > 0"), k, id_col=id_col)
 
 

@@ -247,8 +247,7 @@ def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def token_df_idf(spark: SparkSession, d: str) -> DataFrame:
     docs = S.table(spark, d, "documents")
-    tf = retrieval.term_frequencies(docs)
-    return retrieval.inverse_document_frequencies(tf, docs.agg(F.count("*").alias("n"))).withColumn("idf", F.round("idf", 6))
+    return retrieval.inverse_document_frequencies(retrieval.document_frequencies(docs), docs.agg(F.count("*").alias("n"))).withColumn("idf", F.round("idf", 6))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
