@@ -212,3 +212,36 @@ def alert_histogram(alerts: DataFrame) -> DataFrame:
 def shown_rows(rows: DataFrame, n: int = 20, *, by: str = "ts", tie: str = "seq") -> DataFrame:
     """The newest n rows for display: an ordered limit, which Spark takes in every partition first."""
     return rows.orderBy(F.col(by).desc(), F.col(tie).desc()).limit(n)
+
+
+#: Kilometres of a degree of latitude.
+DEGREE_KM = 111.195
+
+
+def route_distance(latitude: Column, longitude: Column, points: Column) -> Column:
+    """Kilometres from a position to the nearest place on a line through an array of (lat, lng), on a plane at the position's latitude; null without points."""
+    wide = F.cos(F.radians(latitude)) * DEGREE_KM
+    flat = F.transform(points, lambda p: F.struct(((p["lng"] - longitude) * wide).alias("x"), ((p["lat"] - latitude) * DEGREE_KM).alias("y")))
+    ends = F.concat(F.slice(flat, 2, F.greatest(F.size(flat), F.lit(1))), F.slice(flat, -1, 1))  # the last point is a stretch of its own
+
+    def near(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        long = dx * dx + dy * dy
+        share = F.when(long > 0, F.least(F.greatest(-(a["x"] * dx + a["y"] * dy) / long, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        return F.hypot(a["x"] + share * dx, a["y"] + share * dy)
+
+    return F.when(F.size(points) > 0, F.array_min(F.zip_with(flat, ends, near)))
+
+
+def route_deviations(pings: DataFrame, routes: DataFrame, *, most_km: float = 5.0) -> DataFrame:
+    """(truck_id, seq, ts, distance_km) of positions over ``most_km`` off their truck's route (truck_id, points); trucks without one are left out."""
+    far = route_distance(F.col("latitude"), F.col("longitude"), F.col("points"))
+    return pings.join(routes.select("truck_id", "points"), "truck_id").withColumn("distance_km", far).filter(F.col("distance_km") > most_km).select("truck_id", "seq", "ts", "distance_km")
+
+
+def silences(pings: DataFrame, *, minutes: float = 15.0) -> DataFrame:
+    """(truck_id, last_at, silent_at): each time that a truck sent nothing for so long, though it had before and did afterwards; equal times are one."""
+    order = Window.partitionBy("truck_id").orderBy("ts")
+    gap = F.unix_micros(F.lead("ts").over(order)) - F.unix_micros("ts")
+    quiet = F.lit(int(minutes * 60e6))
+    return pings.select("truck_id", "ts").distinct().withColumn("_gap", gap).filter(F.col("_gap") > quiet).select("truck_id", F.col("ts").alias("last_at"), F.timestamp_micros(F.unix_micros("ts") + quiet).alias("silent_at"))

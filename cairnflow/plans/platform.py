@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import embedding_udf
-from ..operators import chunking, compliance, map_clusters, quality, replay, retrieval, vector_index
+from ..operators import chunking, compliance, fleet, map_clusters, quality, replay, retrieval, vector_index
 from ..session import scratch
 from ..sources import merge
 from ..sources import tables as S
@@ -143,7 +143,21 @@ def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", F.posexplode("embedding").alias("position", "value")).select("item_id", "position", F.round("value", 9).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (ingested_chunks, sanitize_unicode, chain_verify_single, chain_tail, indexed_topk, index_recall, merged_orders, box_positions, marker_clusters, cache_replay, bootstrap_exact, fleet_responses, fleet_memory, embedded_texts)}
+def route_deviations(spark: SparkSession, d: str) -> DataFrame:
+    """Positions over 60 km off a bent line that trucks of even numbers should drive."""
+    pings = S.gps_pings(spark, d)
+    point = lambda lat, lng: F.struct(F.lit(lat).alias("lat"), F.lit(lng).alias("lng"))
+    routes = pings.select("truck_id").distinct().filter("CAST(truck_id AS BIGINT) % 2 = 0").withColumn("points", F.array(point(47.0, 8.0), point(49.0, 11.0), point(48.5, 15.0)))
+    return fleet.route_deviations(pings, routes, most_km=60.0).select("truck_id", "seq", F.round("distance_km", 4).alias("distance_km"))
+
+
+def truck_silences(spark: SparkSession, d: str) -> DataFrame:
+    """Trucks that sent nothing for a day."""
+    found = fleet.silences(S.gps_pings(spark, d), minutes=1440.0)
+    return found.select("truck_id", F.unix_micros("last_at").alias("last_us"), F.unix_micros("silent_at").alias("silent_us"))
+
+
+QUERIES = {f.__name__: f for f in (ingested_chunks, sanitize_unicode, chain_verify_single, chain_tail, indexed_topk, index_recall, merged_orders, box_positions, marker_clusters, cache_replay, bootstrap_exact, fleet_responses, fleet_memory, embedded_texts, route_deviations, truck_silences)}
 
 
 def _sql_clean(text: str, patterns: tuple[str, ...]) -> str:
@@ -170,5 +184,7 @@ ORACLES = {
     "bootstrap_exact": "SELECT count(quality) AS n, round(avg(quality::DOUBLE), 9) AS mean, count(quality) AS least_draws, count(quality) AS most_draws, true AS covers, true AS as_wide FROM labels",
     "fleet_responses": f"WITH {_ALERTS}, g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 1 DAY, false)::INT AS fresh FROM a WINDOW w AS (PARTITION BY truck_id ORDER BY ts, seq, alert_type)), l AS (SELECT *, sum(fresh) OVER (PARTITION BY truck_id ORDER BY ts, seq, alert_type ROWS UNBOUNDED PRECEDING) AS life FROM g), h AS (SELECT *, list(alert_type) OVER (PARTITION BY truck_id, life ORDER BY ts, seq, alert_type ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS past FROM l), s AS (SELECT *, len(list_filter(coalesce(past, []), lambda x: x = alert_type)) AS similar_alerts FROM h) SELECT truck_id, alert_type, seq, similar_alerts, CASE WHEN similar_alerts >= 2 THEN 'escalate_maintenance' ELSE 'investigate' END AS action, similar_alerts + 1 AS occurrence, round(coalesce(cargo, 0) * 0.15::DOUBLE, 2) AS financial_risk FROM s",
     "fleet_memory": f"WITH {_ALERTS}, g AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY truck_id ORDER BY ts, seq, alert_type), TIMESTAMP '2024-01-20 12:00:00') - ts > INTERVAL 2 DAY AS ends FROM (SELECT * FROM a WHERE ts <= TIMESTAMP '2024-01-20 12:00:00')), r AS (SELECT *, row_number() OVER w AS position, bool_or(ends) OVER (PARTITION BY truck_id ORDER BY ts DESC, seq DESC, alert_type DESC ROWS UNBOUNDED PRECEDING) AS ended FROM g WINDOW w AS (PARTITION BY truck_id ORDER BY ts DESC, seq DESC, alert_type DESC)) SELECT truck_id, alert_type, seq, position FROM r WHERE position <= 10 AND NOT ended",
+    "route_deviations": "WITH p AS (SELECT user_id::VARCHAR AS truck_id, event_id AS seq, 47.0::DOUBLE + (event_id % 1000) / 250.0::DOUBLE AS lat, 8.0::DOUBLE + (event_id % 700) / 100.0::DOUBLE AS lng FROM events WHERE user_id % 2 = 0), f AS (SELECT *, cos(radians(lat)) * 111.195::DOUBLE AS w FROM p), s AS (SELECT truck_id, seq, (a[2] - lng) * w AS ax, (a[1] - lat) * 111.195::DOUBLE AS ay, (b[2] - lng) * w AS ex, (b[1] - lat) * 111.195::DOUBLE AS ey FROM f, (VALUES ([47.0::DOUBLE, 8.0], [49.0::DOUBLE, 11.0]), ([49.0::DOUBLE, 11.0], [48.5::DOUBLE, 15.0])) t(a, b)), m AS (SELECT *, least(greatest(-(ax * (ex - ax) + ay * (ey - ay)) / ((ex - ax) ** 2 + (ey - ay) ** 2), 0), 1) AS t FROM s), d AS (SELECT truck_id, seq, min(sqrt((ax + t * (ex - ax)) ** 2 + (ay + t * (ey - ay)) ** 2)) AS km FROM m GROUP BY 1, 2) SELECT truck_id, seq, round(km, 4) AS distance_km FROM d WHERE km > 60",
+    "truck_silences": "WITH g AS (SELECT user_id::VARCHAR AS truck_id, epoch_us(ts) AS a, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS b FROM (SELECT DISTINCT user_id, ts FROM events)) SELECT truck_id, a AS last_us, a + 86400000000 AS silent_us FROM g WHERE b - a > 86400000000",
     "embedded_texts": knowledge.ORACLES["hash_embed"],
 }

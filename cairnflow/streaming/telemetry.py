@@ -92,6 +92,38 @@ def temperature_alerts(readings: DataFrame, *, margin: float = 5.0, rate: float
     return timed.groupBy("truck_id").applyInPandasWithState(run, ALERT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+SILENCE = "truck_id string, last_at timestamp, silent_at timestamp"
+
+
+def silent_trucks(pings: DataFrame, *, minutes: float = 15.0, lateness: str = "1 minute") -> DataFrame:
+    """A row each time a truck has sent nothing for so long: when its next message shows it, or when the watermark passes, whichever comes first.
+
+    A truck's state is the time of its last message and whether its silence has been told.
+    """
+    quiet = int(minutes * 60e6)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told = state.get if state.exists else (None, False)
+        found = []
+        if state.hasTimedOut:
+            found.append(last)
+            told = True
+        else:
+            for now in sorted(t.value // 1000 for t in pd.concat(list(frames))["ts"]):
+                if last is not None and now - last > quiet and not told:
+                    found.append(last)
+                if last is None or now > last:
+                    last, told = now, False
+        state.update((last, told))
+        if not told:
+            state.setTimeoutTimestamp(max((last + quiet) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        at = lambda us: pd.to_datetime(us, unit="us", utc=True)
+        yield pd.DataFrame([(key[0], at(t), at(t + quiet)) for t in found], columns=["truck_id", "last_at", "silent_at"])
+
+    timed = pings.select("truck_id", "ts").withWatermark("ts", lateness)
+    return timed.groupBy("truck_id").applyInPandasWithState(run, SILENCE, "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def alert_counts(alerts: DataFrame, *, window: str = "1 hour", slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:
     """Alerts by type in tumbling or sliding windows of event time."""
     timed = alerts.withWatermark("ts", lateness)

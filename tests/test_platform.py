@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions import text as X
 from cairnflow.functions.vectors import embedding_udf
-from cairnflow.operators import chunking, compliance, ordered, quality, replay, retrieval
+from cairnflow.operators import chunking, compliance, fleet, ordered, quality, replay, retrieval
 from cairnflow.operators import map_clusters as clusters
 from cairnflow.operators import vector_index as V
 from cairnflow.sources import merge
 from cairnflow.streaming import memory, polling
+from cairnflow.streaming import telemetry as stream
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
 
@@ -371,3 +372,39 @@ def test_embedding_function_sets_up_once_a_worker(spark):
     got = {r.i: r.v for r in rows.select("i", embedding_udf(setup, batch=16)(F.col("t")).alias("v")).collect()}
     assert [got[i] is None for i in range(100)] == [i % 10 == 0 for i in range(100)]
     assert all(got[i][0] == i for i in got if got[i]) and max(v[1] for v in got.values() if v) == 6  # 90 texts in batches of 16, one set-up
+
+
+def test_silent_trucks_on_the_stream_equal_the_batch(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(f"t{k}", T0 + dt.timedelta(minutes=float(m))) for k in range(3) for m in np.cumsum(rng.choice([1.0, 5.0, 14.0, 15.0, 16.0, 90.0], 60))]
+    pings = spark.createDataFrame([*rows, rows[0]], "truck_id string, ts timestamp")
+    end = max(t for _, t in rows)
+    tell = lambda df: {(r.truck_id, r.last_at, r.silent_at) for r in df.collect()}
+    want = tell(fleet.silences(pings))
+    assert len(want) > 20
+    for k in range(6):
+        low, high = (T0 + (end - T0) * (k + x) / 6 + dt.timedelta(seconds=x) for x in (0, 1))
+        pings.filter((F.col("ts") >= F.lit(low if k else T0)) & (F.col("ts") < F.lit(high))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    source = spark.readStream.schema("truck_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = stream.silent_trucks(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == len(tell(got)) and tell(got) >= want
+    last = {r.truck_id: r.t for r in pings.groupBy("truck_id").agg(F.max("ts").alias("t")).collect()}
+    assert all(r[1] == last[r[0]] for r in tell(got) - want)  # trucks that the watermark has left behind
+
+
+def test_distance_to_a_route(spark):
+    route = [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0)]
+    rows = [("a", 1, 0.05, 5.0), ("a", 2, 1.0, 5.0), ("a", 3, 5.0, 10.2), ("a", 4, -0.5, -0.5), ("b", 5, 0.0, 0.0), ("c", 6, 1.0, 1.0)]
+    pings = spark.createDataFrame([(*r, T0) for r in rows], "truck_id string, seq long, latitude double, longitude double, ts timestamp")
+    routes = spark.createDataFrame([("a", route), ("c", [])], "truck_id string, points array<struct<lat double, lng double>>")
+    got = {r.seq: r.distance_km for r in fleet.route_deviations(pings, routes, most_km=0.0).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert got[1] == pytest.approx(5.56, abs=0.01) and got[2] == pytest.approx(111.195, abs=0.01)
+    assert got[3] == pytest.approx(0.2 * 111.195 * math.cos(math.radians(5)), abs=0.01) and got[4] == pytest.approx(78.6, abs=0.1)
+    assert [r.seq for r in fleet.route_deviations(pings, routes, most_km=100.0).collect()] == [2]
+    lone = spark.createDataFrame([("a", [(0.0, 0.0)])], "truck_id string, points array<struct<lat double, lng double>>")
+    assert fleet.route_deviations(pings.filter("seq = 2"), lone, most_km=1.0).first().distance_km == pytest.approx(111.195 * math.hypot(1, 5 * math.cos(math.radians(1))), rel=1e-6)
