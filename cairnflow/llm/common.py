@@ -39,11 +39,27 @@ def drop_intermediates() -> None:
 atexit.register(drop_intermediates)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what a :func:`cut` has written, when all that was made from it is written too: neither ``df`` nor frames on it can be used then."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for known in [k for k in _WRITTEN if k[1].rpartition("/")[2] == path.rpartition("/")[2]]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(known[1])
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _WRITTEN.remove(known)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: short lineage, no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

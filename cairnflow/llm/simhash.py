@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, text_bytes
+from .common import cut, drop, small_batches, table, text_bytes
 
 SEED = 42
 MAX_BITS = 3
@@ -25,10 +25,10 @@ LEAST = 6
 #: Bits of a map of a text's shingles: each flips one, so texts differ in as many shingles at least as their maps in bits.
 MAP_BITS = 2048
 #: Of the shared keys a turn of stars takes one in so many, and such turns come first.
-STAR_KEYS, STAR_TURNS = 4, 4
+STAR_KEYS, STAR_TURNS = 4, 2
 #: Texts from which common shingles are told, and how many of these are known. Both only set an order that saves time.
-SAMPLE = 8000
-COMMON = 300_000
+SAMPLE = 16_000
+COMMON = 600_000
 
 
 def shingle_hashes(data: bytes, width: int = 3) -> np.ndarray:
@@ -179,7 +179,7 @@ def links(prints: DataFrame, *, max_bits: int = MAX_BITS, cap: int = BUCKET_CAP,
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that links lead to, by alternating large and small stars."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    before = None
+    before, old = None, None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
@@ -188,6 +188,9 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(joined.select("a", F.col("low").alias("b"))).filter("a > b").distinct()
         edges = cut(small, "simhash-stars")
+        if old is not None:
+            drop(old)
+        old = edges
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break
@@ -230,7 +233,7 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), NEAR_WIDTH)).view(np.int64))], names=["k"])
 
     some = docs.filter(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(rate)) == 0).select(text_bytes())
-    seen = some.mapInArrow(run, "k long").groupBy("k").agg(F.count("*").alias("n")).filter("n > 2")
+    seen = some.mapInArrow(run, "k long").groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     rows = seen.orderBy(F.col("n").desc(), "k").limit(COMMON).toArrow()
     keys, counts = rows["k"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(keys)
@@ -345,13 +348,17 @@ def near_links(docs: DataFrame, *, bits: int = MAX_BITS, cap: int = BUCKET_CAP)
             where = members.join(comp.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("c", F.coalesce("root", "h")).drop("root")
             per = where.groupBy("k", "c").agg(F.count("*").alias("m")).groupBy("k").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"), F.count("*").alias("cs"))
             open_keys = cut(per.filter("cs > 1"), "simhash-open")
+            left = cut(members.join(open_keys.select("k"), "k", "left_semi"), "simhash-members")  # a key that is closed once stays so
             total, size = open_keys.agg(F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("s")), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
             if not total:
                 break
+            drop(members)
+            members = left
+            where = members.join(comp.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("c", F.coalesce("root", "h")).drop("root")
             last = turn == 7 or total <= 20 * size or turn > STAR_TURNS and 2 * total > before
             before = total
             keys = open_keys if last else open_keys.filter(F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(STAR_KEYS)) == 0)
-            where = where.join(keys.select("k"), "k").join(rows.select("h", "n", "bits"), "h")
+            where = (where if last else where.join(keys.select("k"), "k")).join(rows.select("h", "n", "bits"), "h")
             named = lambda x: where.select("k", *(F.col(c).alias(f"{c}{x}" if c != "h" else x) for c in ("h", "n", "p", "c", "bits")))  # noqa: E731, B023
             if last:
                 pairs = named("x").join(named("y"), "k").filter(f"x > y AND cx <> cy AND {fits}")
@@ -369,6 +376,7 @@ def near_links(docs: DataFrame, *, bits: int = MAX_BITS, cap: int = BUCKET_CAP)
         texts = cut(texts, "simhash-texts")
         with small_batches(docs.sparkSession, 250):  # a row holds two texts
             new = cut(_near(pairs, texts), "simhash-near")
+        drop(texts)
         comp = components(new if comp is None else new.unionByName(comp.toDF("a", "b")))
         if last:
             break

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import cut, shared_path, table
 
 #: Smallest payload that may be stored as a revisit.
 REVISIT_BYTES = 1000
@@ -228,5 +227,5 @@ def read_archives(manifest: DataFrame, *, range_bytes: int = RANGE_BYTES, payloa
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_archives(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    manifest = write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
     return read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
