@@ -307,6 +307,11 @@ def enhanced_search(
     ranked = top_k(merged, limit, id_col=id_col).join(base.select("query_id", "category", "_clean"), "query_id")
     if score is None:
         return ranked.select("query_id", id_col, "rank", "score", "category", F.lit("searched").alias("stage"))
+    from ..session import scratch
+
+    path = scratch(ranked.sparkSession, "searched")
+    ranked.write.parquet(path)  # it is scored and joined: one search, and the same rows for both
+    ranked = ranked.sparkSession.read.schema(ranked.schema).parquet(path)
     keyword = F.coalesce(F.col("category") == "keyword", F.lit(False))
     own = Window.partitionBy("query_id")
     judged = ranked.join(score(ranked.filter(~keyword)).select("query_id", id_col, "rerank_score"), ["query_id", id_col], "left")

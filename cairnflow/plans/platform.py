@@ -157,7 +157,15 @@ def truck_silences(spark: SparkSession, d: str) -> DataFrame:
     return found.select("truck_id", F.unix_micros("last_at").alias("last_us"), F.unix_micros("silent_at").alias("silent_us"))
 
 
-QUERIES = {f.__name__: f for f in (ingested_chunks, sanitize_unicode, chain_verify_single, chain_tail, indexed_topk, index_recall, merged_orders, box_positions, marker_clusters, cache_replay, bootstrap_exact, fleet_responses, fleet_memory, embedded_texts, route_deviations, truck_silences)}
+def enhanced_search(spark: SparkSession, d: str) -> DataFrame:
+    """Routed, searched and reranked queries: those of a length that three divides count as keywords and keep the order of the search."""
+    docs = knowledge._documents(spark, d)
+    kind = lambda t: F.when(F.length(t) % 3 == 0, "keyword").otherwise("standard")
+    judge = lambda rows: rows.join(docs, "doc_id").withColumn("rerank_score", F.round(1000.0 / (F.length(F.coalesce("text", F.lit(""))) + 1), 6))
+    return retrieval.enhanced_search(knowledge._queries(spark, d), knowledge._embedded(docs), knowledge._embedded, 5, classify=kind, score=judge, rerank_k=20)
+
+
+QUERIES = {f.__name__: f for f in (ingested_chunks, sanitize_unicode, chain_verify_single, chain_tail, indexed_topk, index_recall, merged_orders, box_positions, marker_clusters, cache_replay, bootstrap_exact, fleet_responses, fleet_memory, embedded_texts, route_deviations, truck_silences, enhanced_search)}
 
 
 def _sql_clean(text: str, patterns: tuple[str, ...]) -> str:
@@ -186,5 +194,6 @@ ORACLES = {
     "fleet_memory": f"WITH {_ALERTS}, g AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY truck_id ORDER BY ts, seq, alert_type), TIMESTAMP '2024-01-20 12:00:00') - ts > INTERVAL 2 DAY AS ends FROM (SELECT * FROM a WHERE ts <= TIMESTAMP '2024-01-20 12:00:00')), r AS (SELECT *, row_number() OVER w AS position, bool_or(ends) OVER (PARTITION BY truck_id ORDER BY ts DESC, seq DESC, alert_type DESC ROWS UNBOUNDED PRECEDING) AS ended FROM g WINDOW w AS (PARTITION BY truck_id ORDER BY ts DESC, seq DESC, alert_type DESC)) SELECT truck_id, alert_type, seq, position FROM r WHERE position <= 10 AND NOT ended",
     "route_deviations": "WITH p AS (SELECT user_id::VARCHAR AS truck_id, event_id AS seq, 47.0::DOUBLE + (event_id % 1000) / 250.0::DOUBLE AS lat, 8.0::DOUBLE + (event_id % 700) / 100.0::DOUBLE AS lng FROM events WHERE user_id % 2 = 0), f AS (SELECT *, cos(radians(lat)) * 111.195::DOUBLE AS w FROM p), s AS (SELECT truck_id, seq, (a[2] - lng) * w AS ax, (a[1] - lat) * 111.195::DOUBLE AS ay, (b[2] - lng) * w AS ex, (b[1] - lat) * 111.195::DOUBLE AS ey FROM f, (VALUES ([47.0::DOUBLE, 8.0], [49.0::DOUBLE, 11.0]), ([49.0::DOUBLE, 11.0], [48.5::DOUBLE, 15.0])) t(a, b)), m AS (SELECT *, least(greatest(-(ax * (ex - ax) + ay * (ey - ay)) / ((ex - ax) ** 2 + (ey - ay) ** 2), 0), 1) AS t FROM s), d AS (SELECT truck_id, seq, min(sqrt((ax + t * (ex - ax)) ** 2 + (ay + t * (ey - ay)) ** 2)) AS km FROM m GROUP BY 1, 2) SELECT truck_id, seq, round(km, 4) AS distance_km FROM d WHERE km > 60",
     "truck_silences": "WITH g AS (SELECT user_id::VARCHAR AS truck_id, epoch_us(ts) AS a, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS b FROM (SELECT DISTINCT user_id, ts FROM events)) SELECT truck_id, a AS last_us, a + 86400000000 AS silent_us FROM g WHERE b - a > 86400000000",
+    "enhanced_search": f"WITH {knowledge.SEEN}, {knowledge.SPARSE}, {knowledge.DENSE}, u AS (SELECT query_id, doc_id, rank FROM s WHERE rank <= 80 UNION ALL SELECT query_id, doc_id, rank FROM dd WHERE rank <= 80), g AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1, 2), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g), j AS (SELECT query_id, doc_id, score, rank, length(b.text) % 3 = 0 AS kw, round(1000.0::DOUBLE / (length(coalesce(v.text, '')) + 1), 6) AS judged FROM h JOIN v USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 20), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN kw THEN 0 ELSE -judged END, rank) AS place FROM j) SELECT query_id, doc_id, place AS rank, CASE WHEN kw THEN score ELSE judged END AS score, CASE WHEN kw THEN 'keyword' ELSE 'standard' END AS category, CASE WHEN kw THEN 'searched' ELSE 'reranked' END AS stage FROM f WHERE place <= 5",
     "embedded_texts": knowledge.ORACLES["hash_embed"],
 }
