@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 RANGES = 64
 #: Rows of a key below which it is one range whatever the table's size, and sampled rows for each range.
-WHOLE, SAMPLED = 1000, 50
+WHOLE, SAMPLED = 50_000, 50
 
 
 def ranges_of(rows: DataFrame, key: str, order: list[Column], ranges: int | None = None) -> Column:

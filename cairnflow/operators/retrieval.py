@@ -358,16 +358,27 @@ def partition_key(clearance: Column, departments: Column, entities: Column) -> C
     return F.concat_ws("|", F.concat(F.lit("cl:"), clearance.cast("string")), part("dept", departments), part("ent", entities))
 
 
+#: Entries of a cache that are all looked at, as an index would cost more.
+SMALL_CACHE = 4096
+
+
 def cache_lookup(queries: DataFrame, entries: DataFrame, *, threshold: float = 0.95, updates: DataFrame | None = None) -> DataFrame:
     """For each query (query_id, partition_key, embedding), the cached response most similar to it, if any.
 
-    Only entries of the query's own partition are looked at, and of these only cells of the
-    vector index that can hold one within the threshold. The best counts, ties go to the
+    Only entries of the query's own partition are looked at, and of a cache over
+    ``SMALL_CACHE`` entries only cells of the vector index that can hold one within the threshold. The best counts, ties go to the
     older entry. It is a miss when one of its source documents was updated after it was made.
     """
-    centres = vector_index.fit_centroids(entries)
-    index = vector_index.placed(entries.select("entry_id", "partition_key", "embedding"), centres)
-    found = vector_index.best_within(queries, index, centres, max(threshold, 1e-9), by="partition_key", id_col="entry_id").withColumnRenamed("score", "similarity")
+    least = max(threshold, 1e-9)
+    if entries.limit(SMALL_CACHE + 1).count() <= SMALL_CACHE:
+        c = entries.select("partition_key", "entry_id", F.col("embedding").alias("_c"), norm(F.col("embedding")).alias("_cn"))
+        q = queries.select("query_id", "partition_key", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
+        pairs = c.join(q, "partition_key").withColumn("similarity", F.round(cosine(F.col("_c"), F.col("_q"), F.col("_cn"), F.col("_qn")), 9)).filter(F.col("similarity") >= least)
+        found = pairs.groupBy("query_id").agg(F.max_by("entry_id", F.struct("similarity", -F.col("entry_id"))).alias("entry_id"), F.max("similarity").alias("similarity"))
+    else:
+        centres = vector_index.fit_centroids(entries)
+        index = vector_index.placed(entries.select("entry_id", "partition_key", "embedding"), centres)
+        found = vector_index.best_within(queries, index, centres, least, by="partition_key", id_col="entry_id").withColumnRenamed("score", "similarity")
     facts = entries.select("partition_key", "entry_id", "response", "created_at", "source_doc_ids")
     hits = found.join(queries.select("query_id", "partition_key"), "query_id").join(facts, ["partition_key", "entry_id"])
     if updates is not None:

@@ -125,7 +125,9 @@ def test_index_of_nothing(spark):
     assert V.index_topk(asked, V.placed(none, centres), centres, 3, probes=1, exact=True, id_col="vec_id").collect() == []
 
 
-def test_cache_looks_at_cells_within_the_threshold(spark):
+@pytest.mark.parametrize("small", [0, 4096])
+def test_cache_looks_at_cells_within_the_threshold(spark, monkeypatch, small):
+    monkeypatch.setattr(retrieval, "SMALL_CACHE", small)
     x, rows = vectors(spark, 400, groups=10)
     rows = rows.filter("size(embedding) > 0").withColumn("partition_key", F.concat(F.lit("p"), F.col("vec_id") % 3))
     entries = rows.select("partition_key", F.col("vec_id").alias("entry_id"), F.lit("r").alias("response"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.array("vec_id").alias("source_doc_ids"), F.transform("embedding", lambda v: v * 1.01 + 0.05).alias("embedding"))
