@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import cut, small_batches, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -96,18 +97,55 @@ def with_statistics(docs: DataFrame, score=None, *, keep: list[str], text_col: s
     return docs.select(*keep, *([text_bytes(text_col)] if at is None else [])).mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int, label_col: str = "quality", learn=None) -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES and labels of at most ``rows`` labelled documents, those with the least hash of their id.
+def labelled_rows(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", learn=None) -> DataFrame:
+    """(label, *FEATURES): a row for each labelled id of ``docs``, all of them; texts are not shuffled.
 
-    The bound keeps what the driver holds to a few MB. A document's label is 1 or 0; null
-    labels and ids are no labels, an id with several labels counts once with the least, and one
-    with several texts by that of the least statistics.
+    A document's label is 1 or 0; null labels and ids are no labels, an id with several
+    labels counts once with the least, and one with several texts by that of the least
+    statistics.
     """
     own = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("label_id").isNotNull())
     if learn is not None:
         own = own.filter(learn(F.col("label_id")))
-    own = own.groupBy("label_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("label_id"))
-    found = with_statistics(picked, keep=["label_id", "label"], features=True).groupBy("label_id").agg(F.min(F.struct("label", *FEATURES)).alias("r")).select("r.*").toPandas()
+    own = own.groupBy("label_id").agg(F.min("label").alias("label"))
+    found = with_statistics(docs.select("doc_id", "text"), keep=["doc_id"], features=True).join(own, F.col("doc_id") == F.col("label_id"))
+    return found.groupBy("label_id").agg(F.min(F.struct("label", *FEATURES)).alias("r")).select("label_id", "r.*")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int, label_col: str = "quality", learn=None) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES and labels of at most ``rows`` of :func:`labelled_rows`, those with the least hash of their id, for a look at the driver."""
+    found = labelled_rows(docs, labels, label_col=label_col, learn=learn).orderBy(F.xxhash64("label_id"), "label_id").limit(rows).drop("label_id").toPandas()
     found = found.sort_values(["label", *FEATURES], kind="stable")
     return found[FEATURES].to_numpy(float), found["label"].to_numpy(int)
+
+
+def in_blocks(rows: DataFrame, name: str, change=None, kind: type = np.float64) -> DataFrame:
+    """(x, y) of :func:`labelled_rows`, written: FEATURES of some thousand rows as bytes of ``kind``, after ``change`` if given, and their labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).astype(np.float64)
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint8)
+            if len(y):
+                x = x if change is None else change(x)
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["x", "y"])
+
+    return cut(rows.select("label", *FEATURES).mapInArrow(run, "x binary, y binary"), name)
+
+
+def summed(blocks: DataFrame, measure, kind: type = np.float64, tasks: int | None = None) -> np.ndarray | None:
+    """Sum of the arrays ``measure(x, y)`` of all :func:`in_blocks`, None without any; a task sums its own, and the driver gets one array a core at most (or ``tasks``, which suits few rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                own = measure(np.frombuffer(x.as_py(), kind).reshape(-1, len(FEATURES)), np.frombuffer(y.as_py(), np.uint8).astype(np.int64))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["s"])
+
+    spark = blocks.sparkSession
+    with small_batches(spark, 8):
+        found = blocks.coalesce(min(tasks or 1 << 30, spark.sparkContext.defaultParallelism)).mapInArrow(run, "s binary").collect()
+    return sum(pickle.loads(r.s) for r in found) if found else None

@@ -133,3 +133,29 @@ def test_sample_takes_one_row_an_id(spark):
     x, y = labelled_sample(docs.repartition(5), labels, rows=10)
     again, _ = labelled_sample(docs.repartition(2), labels, rows=10)
     assert sorted(y.tolist()) == [0, 1] and (x == again).all()
+
+
+def test_every_label_teaches_the_rules(spark, monkeypatch):
+    """Sums over blocks give the trees of all rows at once, and no label is left out of counts and cut-off."""
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.random((900, len(FEATURES))))
+    y = ((x[:, 3] < 0.5) ^ (rng.random(900) < 0.1)).astype(int)
+    rows = spark.createDataFrame([(int(b), *map(float, a)) for a, b in zip(x, y, strict=True)], ", ".join(["label int", *(f"{f} double" for f in FEATURES)])).repartition(7)
+    cuts = B.quantile_cuts(rows, 16)
+    assert all(abs((x[:, f] <= c[7]).mean() - 0.5) < 0.01 and len(c) == 15 for f, c in enumerate(cuts))
+    blocks = B.in_blocks(rows, "t", B.partial(B.in_bins, cuts=cuts), np.uint8)
+    over = B.partial(B.summed, blocks, kind=np.uint8)
+    seen = over(lambda bins, labels: np.array([len(labels), labels.sum()]))
+    assert seen.tolist() == [900, y.sum()]
+    binned = B.in_bins(x, cuts)
+    here = lambda measure: measure(binned, y)
+    model, local = (B.boosted(o, cuts, 900, int(y.sum()), trees=5) for o in (over, here))
+    assert (model.value == local.value).all() and (model.raw(x) == local.raw(x)).all() and len(model.roots) == 5
+    good = np.sort(model.raw(x[y == 1]))
+    found = B.reached(over, model, cuts, int(y.sum()), 0.9)
+    assert (good < found).sum() <= int(0.1 * len(good) + 1e-9) and abs(found - good[int((1 - 0.9) * len(good))]) <= 2**-20
+    monkeypatch.setattr(B, "labelled_rows", lambda docs, labels: rows.withColumn("label_id", F.lit(1)))
+    asked = []
+    monkeypatch.setattr(B, "boosted", lambda over, cuts, many, good, real=B.boosted: asked.append((many, good)) or real(over, cuts, many, good, trees=1))
+    B.fit_rules(None, None)
+    assert asked == [(900, int(y.sum()))]
