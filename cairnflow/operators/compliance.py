@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .ordered import ranges_of
 
 FULL_ACCESS = ("admin", "compliance_officer")
+#: Entries of a chain that a task sorts and walks at once.
+WALKED = 400_000
 
 
 def may_report(role: str) -> None:
@@ -119,32 +121,60 @@ def hashed_entries(entries: DataFrame) -> DataFrame:
     return entries.withColumn("query_hash", F.sha2("query_text", 256)).withColumn("response_hash", F.sha2("response_text", 256))
 
 
-def build_chains(entries: DataFrame, *, chain: str = "chain_id") -> DataFrame:
+def build_chains(entries: DataFrame, *, chain: str = "chain_id", walked: int = WALKED) -> DataFrame:
     """Adds prev_entry_hash and entry_hash: each entry's hash covers the one before it in its chain.
 
-    A chain is sequential by nature. Entries of a chain are sorted by time and id in Spark,
-    and a task walks its rows in order with one hash in hand, so chains of any length pass
-    in constant memory and different chains run in parallel.
+    A chain is sequential by nature; different chains run in parallel. Entries of a chain are
+    sorted by time and id in Spark, and a task walks its rows in order with one hash in hand.
+    Chains of over ``walked`` entries are cut into ranges of about so many, which are written
+    and then walked one after another: a range hands on its last hash, so what a task sorts
+    doesn't grow with its chain.
     """
-    import hashlib
+    from ..session import scratch
 
     content = F.concat_ws("||", iso_utc(F.col("created_at")), F.col("user_id"), F.col("query_hash"), F.col("response_hash"), F.col("model_version"))
-    rows = hashed_entries(entries).withColumn("_content", content).repartition(chain).sortWithinPartitions(chain, "created_at", "id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_content") + ", prev_entry_hash string, entry_hash string"
+    rows = hashed_entries(entries).withColumn("_content", content)
+    longest = entries.groupBy(chain).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    if longest <= walked:
+        return _walked(rows, chain, {}).drop("_n")
+    spark = rows.sparkSession
+    time = F.coalesce(F.unix_micros("created_at"), F.lit(-(1 << 63)))
+    cut, out = scratch(spark, "chain-ranges"), scratch(spark, "chain-built")
+    part = ranges_of(entries, chain, [time, F.col("id")], -(-longest // walked))
+    rows.withColumn("_range", part).repartition("_range", chain).write.partitionBy("_range").parquet(cut)
+    cut_rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, _range int").parquet(cut)
+    numbers = sorted(r[0] for r in cut_rows.select("_range").distinct().collect())
+    long_keys = [r[0] for r in cut_rows.filter("_range > 0").select(chain).distinct().collect()]  # as few as there are large chains
+    handed: dict = {}
+    for number in numbers:
+        _walked(cut_rows.filter(F.col("_range") == number).drop("_range"), chain, handed).write.parquet(f"{out}/step={number}")
+        own = spark.read.parquet(f"{out}/step={number}")
+        own = own.filter(F.coalesce(F.col(chain).isin([k for k in long_keys if k is not None]), F.lit(None in long_keys)))
+        handed |= {r[0]: r.h for r in own.groupBy(chain).agg(F.max_by("entry_hash", "_n").alias("h")).collect()}
+    return spark.read.schema(_walked(rows, chain, {}).schema).parquet(*(f"{out}/step={number}" for number in numbers)).drop("_n")
+
+
+def _walked(rows: DataFrame, chain: str, handed: dict) -> DataFrame:
+    """Rows with their hashes and their number ``_n`` in the task, each chain from its hash in ``handed`` on."""
+    import hashlib
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_content") + ", prev_entry_hash string, entry_hash string, _n long"
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, last = None, None
+        own, last, n, begun = None, None, 0, False
         for frame in frames:
             before, after = [], []
             for key, text in zip(frame[chain], frame["_content"], strict=True):
-                if key != own:
-                    own, last = key, None
+                key = None if key != key else key
+                if key != own or not begun:
+                    own, last, begun = key, handed.get(key), True
                 before.append(last)
                 last = "sha256:" + hashlib.sha256(f"{last or ''}||{text}".encode()).hexdigest()
                 after.append(last)
-            yield frame.drop(columns="_content").assign(prev_entry_hash=before, entry_hash=after)
+            yield frame.drop(columns="_content").assign(prev_entry_hash=before, entry_hash=after, _n=range(n, n + len(frame)))
+            n += len(frame)
 
-    return rows.mapInPandas(walk, schema)
+    return rows.repartition(chain).sortWithinPartitions(chain, "created_at", "id").mapInPandas(walk, schema)
 
 
 def verify_chains(entries: DataFrame, *, chain: str = "chain_id", ranges: int | None = None) -> DataFrame:
