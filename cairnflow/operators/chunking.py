@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # Fixed value: the header of a section.
 SECTION = r"^(?:Section|Article|Chapter|\d+\.)\s"
 SCHEMA = "doc_id long, chunk_index int, chunk_type string, parent_index int, content string"
+#: Characters of chunks that a task holds before it sends them on.
+HELD = 1 << 20
 #: (content, type, index of the parent)
 Chunk = tuple[str, str, int | None]
 
@@ -130,13 +132,25 @@ def chunked(docs: DataFrame, strategy: str = "fixed_size", *, id_col: str = "doc
     rule = STRATEGIES[strategy]
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
+    def sent(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, *columns = zip(*rows, strict=True)
+        at = pa.array(at, pa.int64())
+        parts = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), *parts, *(c.take(at) for c in batch.columns[2:])], names=["doc_id", "chunk_index", "chunk_type", "parent_index", "content", *keep])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, i, kind, parent, body) for n, t in enumerate(batch.column(1).to_pylist()) if t and t.strip() for i, (body, kind, parent) in enumerate(rule(t, **options))]
-            at, *columns = zip(*rows, strict=True) if rows else ((),) * 5
-            at = pa.array(at, pa.int64())
-            parts = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *parts, *(c.take(at) for c in batch.columns[2:])], names=["doc_id", "chunk_index", "chunk_type", "parent_index", "content", *keep])
+            rows, size = [], 0
+            for n, t in enumerate(batch.column(1)):
+                text = t.as_py()
+                for i, (body, kind, parent) in enumerate(rule(text, **options) if text and text.strip() else ()):
+                    rows.append((n, i, kind, parent, body))
+                    size += len(body)
+                    if size >= HELD or len(rows) >= HELD // 64:
+                        yield sent(batch, rows)
+                        rows, size = [], 0
+            if rows:
+                yield sent(batch, rows)
 
     return docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_t"), *keep).mapInArrow(run, ", ".join([SCHEMA, *kept]))
 
