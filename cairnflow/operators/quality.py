@@ -18,11 +18,29 @@ def retrieval_metrics(queries: DataFrame, retrieved: DataFrame, relevant: DataFr
     hits = best.join(relevant.select("query_id", id_col).distinct(), ["query_id", id_col])
     per = hits.groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("hits"), F.min("rank").alias("first"))
     wanted = relevant.groupBy("query_id").agg(F.countDistinct(id_col).alias("wanted"))
-    rows = queries.join(per, "query_id", "left").join(wanted, "query_id", "left").fillna(0, ["hits", "wanted"])
+    return _shares(queries.join(per, "query_id", "left").join(wanted, "query_id", "left"), k)
+
+
+def _shares(rows: DataFrame, k: int) -> DataFrame:
+    rows = rows.fillna(0, ["hits", "wanted"])
     recall = F.when(F.col("wanted") > 0, F.col("hits") / F.col("wanted")).otherwise(0.0)
     return rows.withColumn("precision", F.col("hits") / F.lit(float(k))).withColumn("recall", recall).withColumn("reciprocal_rank", F.coalesce(1.0 / F.col("first"), F.lit(0.0))).drop("hits", "wanted", "first")
 
 
+def shared_metrics(queries: DataFrame, retrieved: DataFrame, documents: DataFrame, k: int, *, on: str, id_col: str = "doc_id") -> DataFrame:
+    """:func:`retrieval_metrics` where the relevant documents of a query are all of the same ``on``; a query has one, and null is like none.
+
+    These are counted by ``on`` and looked up for what came back, so no row is made for each
+    pair of a query and a relevant document, whose number grows with the square of a group.
+    """
+    best = retrieved.groupBy("query_id", id_col).agg(F.min("rank").alias("rank"))
+    own = documents.select(id_col, on).filter(F.col(on).isNotNull()).distinct()
+    hits = best.join(queries.select("query_id", on).distinct(), "query_id").join(own, [id_col, on], "left_semi")
+    per = hits.groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("hits"), F.min("rank").alias("first"))
+    wanted = own.groupBy(on).agg(F.count("*").alias("wanted"))
+    return _shares(queries.join(per, "query_id", "left").join(wanted, on, "left"), k)
+
+
 def metrics_by(metrics: DataFrame, key: str) -> DataFrame:
     """Means by category and, in the row without one, over all queries: one pass."""
     mean = lambda c: F.round(F.avg(c), 6).alias(c)

@@ -68,8 +68,8 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of a query's label count as relevant; the categories are the labels."""
     rows = S.table(spark, d, "embeddings")
     queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("category"))
-    relevant = rows.select("vec_id", F.col("label").alias("category")).join(queries, "category").select("query_id", "vec_id")
-    return quality.metrics_by(quality.retrieval_metrics(queries, dense_topk(spark, d), relevant, 10, id_col="vec_id"), "category")
+    labelled = rows.select("vec_id", F.col("label").alias("category"))
+    return quality.metrics_by(quality.shared_metrics(queries, dense_topk(spark, d), labelled, 10, on="category", id_col="vec_id"), "category")
 
 
 def clause_integrity(spark: SparkSession, d: str) -> DataFrame:
