@@ -177,12 +177,16 @@ def document_frequencies(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     return docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+#: Texts whose words a task codes at once.
+TEXT_BLOCK = 500
+
+
 def _matched(corpus: DataFrame, terms: dict[str, int], id_col: str) -> DataFrame:
     """(id, terms, tf) of every text: the numbers of its terms that queries have, and how often it has them."""
     kind = corpus.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(low, TEXT_BLOCK) for whole in batches for low in range(0, whole.num_rows, TEXT_BLOCK)):
             held = batch.column(1)
             coded = held.flatten().dictionary_encode()
             number = np.array([terms.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
