@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,52 +30,53 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     return good.unionByName(bad).unionByName(other)
 
 
-def _arrived(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A stream of the messages in three batches by time."""
+def _arrived(spark: SparkSession, d: str, name: str) -> Iterator[DataFrame]:
+    """The messages in three batches by time: the same stream, each time that a batch has come whole, in as many files as it has partitions.
+
+    A run of a query on it, with one checkpoint for all, takes what has come as one batch.
+    """
     path = scratch(spark, name)
     rows = S.temperature_readings(spark, d)
     marks = rows.agg(F.percentile_approx(F.unix_micros("ts"), [0.3, 0.7], 1000).alias("m")).first().m or [0, 0]
     batch = F.when(F.unix_micros("ts") < marks[0], 0).when(F.unix_micros("ts") < marks[1], 1).otherwise(2)
-    sent = stream.messages(rows.withColumn("_batch", batch)).select(F.lit(stream.TOPICS[0]).alias("topic"), "value", F.get_json_object("value", "$._batch").alias("b"))
     for k in range(3):
-        sent.filter(F.col("b") == str(k)).drop("b").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema("topic string, value string").option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def _finished(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """What a stream has written to its end."""
-    out = scratch(spark, name)
-    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+        own = stream.messages(rows.filter(batch == k)).select(F.lit(stream.TOPICS[0]).alias("topic"), "value")
+        own.write.mode("append").parquet(path)
+        yield spark.readStream.schema("topic string, value string").parquet(path)
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     """The temperature rules on a stream of messages, in three batches, give what the batch form gives."""
-    rows, _ = stream.parsed(stream.topic(_arrived(spark, d, "messages"), stream.TOPICS[0]))
-    minutes = WIDE["window_minutes"]
-    found = stream.temperature_alerts(rows, margin=WIDE["margin"], window_minutes=minutes, throttle_seconds=THROTTLE, lateness="30 days", idle="300 days")
-    return _finished(spark, found, "stream-alerts").select("truck_id", "alert_type", "severity", "seq", "check_order")
+    out, state = scratch(spark, "stream-alerts"), scratch(spark, "stream-alerts-state")
+    for raw in _arrived(spark, d, "messages"):
+        rows, _ = stream.parsed(stream.topic(raw, stream.TOPICS[0]))
+        minutes = WIDE["window_minutes"]
+        found = stream.temperature_alerts(rows, margin=WIDE["margin"], window_minutes=minutes, throttle_seconds=THROTTLE, lateness="30 days", idle="300 days")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.ALERT).parquet(out).select("truck_id", "alert_type", "severity", "seq", "check_order")
 
 
 def stream_health(spark: SparkSession, d: str) -> DataFrame:
     """Messages, those without a truck and the newest time, as the stream's own metrics tell."""
-    rows, _ = stream.parsed(_arrived(spark, d, "health"))
-    query = stream.with_health(rows).writeStream.format("noop").option("checkpointLocation", scratch(spark, "health-state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    told = stream.health(query)
-    newest = told["last_message_at"]
-    return spark.createDataFrame([(told["processed"], told["errors"])], "processed long, errors long").withColumn("last_message", F.date_format(F.lit(newest).cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
+    told, state = [], scratch(spark, "health-state")
+    for raw in _arrived(spark, d, "health"):
+        rows, _ = stream.parsed(raw)
+        query = stream.with_health(rows).writeStream.format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        told.append(stream.health(query))
+    newest = max((t["last_message_at"] for t in told if t["last_message_at"] is not None), default=None)
+    return spark.createDataFrame([(sum(t["processed"] for t in told), sum(t["errors"] for t in told))], "processed long, errors long").withColumn("last_message", F.date_format(F.lit(newest).cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
 
 
 def stream_newest(spark: SparkSession, d: str) -> DataFrame:
     """The newest 50 alerts, as a sink of batches keeps them."""
-    rows, _ = stream.parsed(_arrived(spark, d, "newest"))
-    path = scratch(spark, "newest-alerts")
-    alerts = rows.filter(F.abs(F.col("temp_celsius") - 50) > 50).select("truck_id", F.lit("temperature_spike").alias("alert_type"), F.lit("critical").alias("severity"), "ts", "seq", F.lit(0).alias("check_order"))
-    query = stream.write_batches(alerts, stream.newest_alerts(spark, path), scratch(spark, "newest-state"))
-    query.processAllAvailable()
-    query.stop()
+    path, state = scratch(spark, "newest-alerts"), scratch(spark, "newest-state")
+    for raw in _arrived(spark, d, "newest"):
+        rows, _ = stream.parsed(raw)
+        alerts = rows.filter(F.abs(F.col("temp_celsius") - 50) > 50).select("truck_id", F.lit("temperature_spike").alias("alert_type"), F.lit("critical").alias("severity"), "ts", "seq", F.lit(0).alias("check_order"))
+        query = stream.write_batches(alerts, stream.newest_alerts(spark, path), state)
+        query.processAllAvailable()
+        query.stop()
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     names = [x.getPath().getName() for x in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
     return spark.read.parquet(f"{path}/{max(int(n) for n in names if n.isdigit())}").select("truck_id", "seq")
