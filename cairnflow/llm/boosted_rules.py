@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 from .doc_stats import FEATURES, in_blocks, labelled_rows, summed, with_statistics
 
 #: Gradients are summed in whole numbers of this part of one.
 UNIT = 1 << 30
+#: Sums after which the driver lets go of what they left.
+SUMS = 30
 #: More of these never raises a score.
 FALLING = ("symbol_share", "shout_share", "bar_share", "top_share", "repeat_share", "dup_line_share")
 #: Share of good labelled documents that the cut-off keeps, at least.
@@ -214,7 +217,13 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, keep_good: float = KEEP_GOO
         return boosted(None, [np.zeros(0)] * len(FEATURES), many, good), -np.inf
     cuts = quantile_cuts(rows)
     blocks = in_blocks(rows, "rules-bins", partial(in_bins, cuts=cuts), np.uint8)
-    over = partial(summed, blocks, kind=np.uint8, tasks=1 + many // 20000)
+    sums = count(1)
+
+    def over(measure) -> np.ndarray:
+        if next(sums) % SUMS == 0:
+            release(docs.sparkSession)
+        return summed(blocks, measure, kind=np.uint8, tasks=1 + many // 20000)
+
     model = boosted(over, cuts, many, good)
     return model, min(0.0, reached(over, model, cuts, good, keep_good))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -64,6 +65,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished queries left: shuffle files, broadcasts and plans, which Spark frees when the driver collects its garbage. For loops of many queries."""
+    gc.collect()  # frames of Python hold those of the JVM
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 500):
     """What is computed inside sends this many rows at once to Python, as for rows that hold whole texts."""

@@ -8,10 +8,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, small_batches, table, text_bytes
+from .common import cut, drop, release, small_batches, table, text_bytes
 
 SEED = 42
 MAX_BITS = 3
@@ -183,15 +183,16 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a > b").distinct()
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a > b")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(joined.select("a", F.col("low").alias("b"))).filter("a > b").distinct()
-        edges = cut(small, "simhash-stars")
+        seen = Observation()
+        edges = cut(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "simhash-stars")
         if old is not None:
             drop(old)
         old = edges
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        now = seen.get
         if now == before:
             break
         before = now
@@ -378,6 +379,7 @@ def near_links(docs: DataFrame, *, bits: int = MAX_BITS, cap: int = BUCKET_CAP)
             new = cut(_near(pairs, texts), "simhash-near")
         drop(texts)
         comp = components(new if comp is None else new.unionByName(comp.toDF("a", "b")))
+        release(docs.sparkSession)
         if last:
             break
     return comp

@@ -121,3 +121,18 @@ def test_stage_drops_near_copies_of_many_bits(spark, monkeypatch, sample):
     got = S.dedup_stage(spark, docs, "").collect()
     assert sorted(r.doc_id for r in got) == sorted(brute_near(texts))
     assert all(r.text == texts[r.doc_id] for r in got)
+
+
+def test_a_round_of_components_asks_for_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "components")
+    got = S.components(edges)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("components"))
+    sc._jsc.clearJobGroup()
+    assert {r.node: r.root for r in got.collect()} == {i: 0 for i in range(1, 41)} | {101: 100}
+    assert jobs <= 60  # 72 with an exchange and a count more in each round
+
+
+def test_empty_edges_have_no_components(spark):
+    assert S.components(spark.createDataFrame([], "a long, b long")).collect() == []
