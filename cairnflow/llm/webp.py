@@ -95,8 +95,9 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 class Code:
     """Lookup table of a prefix code: symbol << 8 | bits for each value of the next ``width`` bits."""
 
-    def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+    def __init__(self, lengths: np.ndarray | None, single: int = 0):
+        """``lengths`` None: the code of one symbol, ``single``."""
+        used = np.flatnonzero(lengths) if lengths is not None else [single]
         self.single = int(used[0]) if len(used) == 1 else -1 if len(used) else 0
         if self.single >= 0:
             self.width, self.table = 0, np.array([self.single << 8])
@@ -241,8 +242,10 @@ def _put_image(out: BitWriter, argb: np.ndarray, width: int, *, main: bool, cach
     copy[starts] = True
     copy = copy[at]
     pixel = argb[at]
-    green, red, blue, alpha = pixel >> 8 & 255, pixel >> 16 & 255, pixel & 255, pixel >> 24
-    symbol = green.astype(np.int64)
+    rest = pixel & np.uint32(0xFFFF00FF)
+    grey = (rest == rest[0]).all()  # one value each of red, blue and alpha
+    red, blue, alpha = ((rest[:1] if grey else rest) >> s & 255 for s in (16, 0, 24))
+    symbol = (pixel >> 8 & 255).astype(np.int64)
     literal = ~copy
     if cache_bits:
         held, hashes = {}, (argb.astype(np.uint32) * np.uint32(0x1E35A7BD) >> np.uint32(32 - cache_bits)).tolist()
@@ -258,7 +261,7 @@ def _put_image(out: BitWriter, argb: np.ndarray, width: int, *, main: bool, cach
     size_symbol, size_extra, size_bits = _prefixed(sizes)
     far_symbol, far_extra, far_bits = _prefixed(codes)
     symbol[copy] = 256 + size_symbol
-    streams = [(symbol, 256 + LENGTH_SYMBOLS + ((1 << cache_bits) if cache_bits else 0)), (red[literal], 256), (blue[literal], 256), (alpha[literal], 256), (far_symbol, DISTANCE_SYMBOLS)]
+    streams = [(symbol, 256 + LENGTH_SYMBOLS + ((1 << cache_bits) if cache_bits else 0)), *((c[: int(literal.any())] if grey else c[literal], 256) for c in (red, blue, alpha)), (far_symbol, DISTANCE_SYMBOLS)]
     coded = []
     for values, alphabet in streams:
         lengths = code_lengths(np.bincount(values.astype(np.int64), minlength=alphabet))
@@ -432,12 +435,13 @@ class BitReader:
 
 
 def _read_code(reader: BitReader, alphabet: int) -> Code:
-    lengths = np.zeros(max(alphabet, 256), np.int64)
     if reader.get(1):
         n = reader.get(1) + 1
-        lengths[reader.get(8 if reader.get(1) else 1)] = 1
-        if n == 2:
-            lengths[reader.get(8)] = 1
+        first = reader.get(8 if reader.get(1) else 1)
+        if n == 1:
+            return Code(None, first)
+        lengths = np.zeros(max(alphabet, 256), np.int64)
+        lengths[[first, reader.get(8)]] = 1
         return Code(lengths)
     own = np.zeros(19, np.int64)
     for s in LENGTH_ORDER[: reader.get(4) + 4]:
@@ -491,24 +495,35 @@ def _tokens(reader: BitReader, codes: list[Code], pixels: int) -> tuple[np.ndarr
     colors = [code for code in (red, blue, alpha) if code.width]
     first_copy, first_cached = 256 << 8, (256 + LENGTH_SYMBOLS) << 8
     parts, done, at = [], 0, reader.at
+    # bits of a token without colours, 128 more for a copy: small numbers, as every bit place gets one
+    bits_of = ((green.table & 255) + np.where((green.table >= first_copy) & (green.table < first_cached), 128, 0)).astype(np.uint8)
 
-    def sized(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bits and entry of the token at each of the windows, which hold 49 bits or more of the stream."""
-        entry = green.table[windows & ((1 << green.width) - 1)]
-        size = entry & 255
+    def at_places(words: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """49 bits or more of the stream from each of these bit places on."""
+        return words[where >> 3] >> (where & 7)
+
+    def sized(words: np.ndarray) -> np.ndarray:
+        """Bits of the token that starts at each bit place."""
+        size = bits_of[((words & 0xFFFFFF)[:, None] >> np.arange(8) & ((1 << green.width) - 1)).ravel()]
+        own = np.flatnonzero(size >= 128)
+        if len(own):
+            w = at_places(words, own)
+            entry = green.table[w & ((1 << green.width) - 1)]
+            used = (entry & 255) + _EXTRA[(entry >> 8) - 256]
+            found = far.table[w >> used & ((1 << far.width) - 1)]
+            copied = used + (found & 255) + _EXTRA[found >> 8]
         if colors:
-            own = np.flatnonzero(entry < first_copy)
-            w, used = windows[own], size[own]
+            lit = np.arange(len(size))
+            w = at_places(words, lit)
+            entry = green.table[w & ((1 << green.width) - 1)]
+            lit = np.flatnonzero(entry < first_copy)
+            w, used = w[lit], size[lit].astype(np.int64)
             for code in colors:
                 used = used + (code.table[w >> used & ((1 << code.width) - 1)] & 255)
-            size[own] = used
-        own = np.flatnonzero(entry >= first_copy)
+            size[lit] = used
         if len(own):
-            own = own[entry[own] < first_cached]
-            used = size[own] + _EXTRA[(entry[own] >> 8) - 256]
-            found = far.table[windows[own] >> used & ((1 << far.width) - 1)]
-            size[own] = used + (found & 255) + _EXTRA[found >> 8]
-        return size, entry
+            size[own] = copied
+        return size
 
     while done < pixels:
         low = at >> 3
@@ -519,15 +534,16 @@ def _tokens(reader: BitReader, codes: list[Code], pixels: int) -> tuple[np.ndarr
         words = piece[:n].copy()
         for k in range(1, 7):
             words |= piece[k : k + n] << (8 * k)
-        places = (words[:, None] >> np.arange(8)).ravel()
-        size, entry = sized(places)
+        size = sized(words)
         limit, p = 8 * n, at - 8 * low
         if not size[p]:  # a token without bits: all others are the same
             if size.any():
                 return None
             chain, after = np.full(pixels - done, p), p
         else:
-            one = np.append(np.minimum(np.arange(limit) + size, limit), limit).astype(np.int32)
+            one = np.arange(limit + 1, dtype=np.int32)
+            one[:limit] += size
+            np.minimum(one[-256:], limit, out=one[-256:])
             two = one[one]
             jump, walk = memoryview(two[two]), []
             while p < limit:
@@ -538,8 +554,9 @@ def _tokens(reader: BitReader, codes: list[Code], pixels: int) -> tuple[np.ndarr
             walk = np.array(walk)
             chain = np.stack([walk, one[walk], two[walk], one[two[walk]]], axis=1).ravel()
             chain = chain[chain < limit]
-            after = int(chain[-1] + size[chain[-1]])
-        w, entry = places[chain], entry[chain]
+            after = int(chain[-1]) + int(size[chain[-1]])
+        w = at_places(words, chain)
+        entry = green.table[w & ((1 << green.width) - 1)]
         symbol, used = entry >> 8, entry & 255
         values = []
         for code in (red, blue, alpha):
@@ -548,7 +565,7 @@ def _tokens(reader: BitReader, codes: list[Code], pixels: int) -> tuple[np.ndarr
                 values.append(found >> 8)
                 used = used + (found & 255)
             else:
-                values.append(np.full(len(w), code.single))
+                values.append(np.full(len(w), code.single, np.uint8))
         length, distance = np.ones(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
         copy = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTH_SYMBOLS))
         if len(copy):
@@ -615,8 +632,12 @@ def _read_image(reader: BitReader, width: int, height: int, *, main: bool) -> np
 def _copy(out: np.ndarray, at: int, n: int, distance: int) -> None:
     if distance > at:
         raise ValueError("a copy from before the image")
-    source = out[at - distance : at - distance + min(n, distance)]
-    out[at : at + n] = np.resize(source, n) if distance < n else source
+    if distance == 1:
+        out[at : at + n] = out[at - 1]
+    elif distance >= n:
+        out[at : at + n] = out[at - distance : at - distance + n]
+    else:
+        out[at : at + n] = np.tile(out[at - distance : at], -(-n // distance))[:n]
 
 
 def _read_slowly(reader, codes, plane, shift, width, pixels, cache_bits) -> np.ndarray:
@@ -731,7 +752,7 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
 # ---- columns
 
 
-#: Bytes of the grams by which copies are found, the share of places (one in so many) that are looked at, and the least gain in bits a sample that a transform must bring.
+#: Bytes of the grams by which copies are found, the share of places (one in so many, a power of two) that are looked at, and the least gain in bits a sample that a transform must bring.
 COPY_GRAM, COPY_STEP = 24, 8
 LEAST_GAIN = 0.05
 #: Pixels of a copy at most, and how far back one may reach.
@@ -751,7 +772,7 @@ def found_copies(values: np.ndarray, gram: int = COPY_GRAM) -> list[tuple[int, i
         word = np.lib.stride_tricks.as_strided(part, (n, 8), (1, 1)).copy().view(_U).ravel()  # the 8 bytes from each place on
         mixed = sum((word[k : n - gram + 1 + k] * _U(2 * k + 0x9E3779B97F4A7C15) for k in range(0, gram, 8)), np.zeros(n - gram + 1, _U))
         mixed ^= mixed >> _U(29)
-        place = np.flatnonzero((mixed * _U(0xBF58476D1CE4E5B9) >> _U(40)) % _U(COPY_STEP) == 0)
+        place = np.flatnonzero((mixed * _U(0xBF58476D1CE4E5B9) >> _U(40)) & _U(COPY_STEP - 1) == 0)
         key = mixed[place]
         order = np.argsort(key, kind="stable")
         same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
@@ -787,10 +808,10 @@ def _bits(values: np.ndarray) -> float:
 
 def chosen(grey: np.ndarray) -> list[tuple]:
     """Transforms for grey samples: a palette that packs several into a pixel, else the neighbour that predicts best if it gains."""
-    if len(np.flatnonzero(np.bincount(grey.ravel(), minlength=256))) <= 16:
+    if np.count_nonzero(np.bincount(grey.ravel(), minlength=256)) <= 16:
         return [(PALETTE,)]
     plain = _bits(grey)
-    left, top = np.diff(grey, axis=1), np.diff(grey, axis=0)
+    left, top = grey[:, 1:] - grey[:, :-1], grey[1:] - grey[:-1]
     gains = {1: plain - _bits(left), 2: plain - _bits(top) if len(grey) > 1 else 0.0}
     best = max(gains, key=gains.get)
     if gains[best] < LEAST_GAIN:

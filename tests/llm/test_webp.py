@@ -159,3 +159,26 @@ def test_stream_written_by_hand():
     red, green = 10, 7
     blue = 20 + (32 * red >> 5)  # cross-colour first, as it was written last; then green is added
     assert got.tolist() == [[200 << 24 | (red + green) << 16 | green << 8 | (blue + green)] * 4]
+
+
+def test_copies_of_short_distance_are_written_at_once(monkeypatch):
+    line = np.zeros(5000, np.uint32)
+    line[:7] = np.arange(1, 8)
+    monkeypatch.setattr(np, "resize", None)  # it joins one part for each repetition
+    for at, n, distance in ((7, 1, 1), (8, 3000, 1), (3008, 100, 3), (3108, 50, 50), (3158, 40, 700), (3198, 1800, 7)):
+        want = line.tolist()
+        for i in range(at, at + n):
+            want[i] = want[i - distance]
+        W._copy(line, at, n, distance)
+        assert line.tolist() == want
+
+
+def test_grey_and_coloured_pixels_among_copies():
+    grey = np.uint32(0xFF000000) | RNG.integers(0, 256, 3000).astype(np.uint32) << np.uint32(8)
+    coloured = grey.copy()
+    coloured[100] ^= np.uint32(0x010203)
+    one = np.full(3000, 0xFF000700, np.uint32)
+    for line in (grey, coloured, one):
+        line[1000:1900], line[2000:2500] = line[:900], line[1999]
+        data = W.encode(line.reshape(30, 100), copies=[(1000, 900, 120 + 1000), (2000, 500, 2)])
+        assert (W.decode(data)[0].ravel() == line).all()
