@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, release, table
-from .doc_stats import FEATURES, in_blocks, labelled_rows, summed, with_statistics
+from .doc_stats import FEATURES, block_rows, in_blocks, labelled_rows, summed, with_statistics
 
 #: Gradients are summed in whole numbers of this part of one.
 UNIT = 1 << 30
@@ -216,13 +216,13 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, keep_good: float = KEEP_GOO
     if not 0 < good < many:
         return boosted(None, [np.zeros(0)] * len(FEATURES), many, good), -np.inf
     cuts = quantile_cuts(rows)
-    blocks = in_blocks(rows, "rules-bins", partial(in_bins, cuts=cuts), np.uint8)
+    blocks = block_rows(in_blocks(rows, "rules-bins", partial(in_bins, cuts=cuts), np.uint8), 1 + many // 20000)
     sums = count(1)
 
     def over(measure) -> np.ndarray:
         if next(sums) % SUMS == 0:
             release(docs.sparkSession)
-        return summed(blocks, measure, kind=np.uint8, tasks=1 + many // 20000)
+        return summed(blocks, measure, kind=np.uint8)
 
     model = boosted(over, cuts, many, good)
     return model, min(0.0, reached(over, model, cuts, good, keep_good))

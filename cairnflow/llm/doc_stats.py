@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_bytes
+from .common import cut, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -143,19 +144,24 @@ def in_blocks(rows: DataFrame, name: str, change=None, kind: type = np.float64)
     return cut(rows.select("label", *FEATURES).mapInArrow(run, "x binary, y binary"), name)
 
 
-def summed(blocks: DataFrame, measure, kind: type = np.float64, tasks: int | None = None) -> np.ndarray | None:
-    """Sum of the arrays ``measure(x, y)`` of all :func:`in_blocks`, None without any; a task sums its own, and the driver gets one array a core at most (or ``tasks``, which suits few rows)."""
+def summed(blocks: DataFrame | RDD, measure, kind: type = np.float64) -> np.ndarray | None:
+    """Sum of the arrays ``measure(x, y)`` of all :func:`in_blocks`, or of their :func:`block_rows`; None without any. A task sums its own, and the driver gets one array a task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A sum is a plain job: a loop of hundreds leaves no plans and metrics of queries with the driver.
+    """
+
+    def run(rows: Iterator[Row]) -> Iterator[bytes]:
         total = None
-        for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                own = measure(np.frombuffer(x.as_py(), kind).reshape(-1, len(FEATURES)), np.frombuffer(y.as_py(), np.uint8).astype(np.int64))
-                total = own if total is None else total + own
+        for x, y in rows:
+            own = measure(np.frombuffer(x, kind).reshape(-1, len(FEATURES)), np.frombuffer(y, np.uint8).astype(np.int64))
+            total = own if total is None else total + own
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["s"])
+            yield pickle.dumps(total)
+
+    found = (blocks if isinstance(blocks, RDD) else block_rows(blocks)).mapPartitions(run).collect()
+    return sum(pickle.loads(x) for x in found) if found else None
+
 
-    spark = blocks.sparkSession
-    with small_batches(spark, 8):
-        found = blocks.coalesce(min(tasks or 1 << 30, spark.sparkContext.defaultParallelism)).mapInArrow(run, "s binary").collect()
-    return sum(pickle.loads(r.s) for r in found) if found else None
+def block_rows(blocks: DataFrame, tasks: int | None = None) -> RDD:
+    """The rows of :func:`in_blocks` for many sums, in one task a core at most (or ``tasks``, which suits few rows)."""
+    return blocks.rdd.coalesce(min(tasks or 1 << 30, blocks.sparkSession.sparkContext.defaultParallelism))

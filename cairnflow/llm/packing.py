@@ -223,6 +223,13 @@ def shared_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+@cache
+def vocabulary(path: str) -> tuple[int, np.dtype]:
+    """Number and kind of a tokenizer's ids; the driver needs no more of it and keeps no more."""
+    words = WordTokenizer(path)
+    return len(words.closes), words.kind
+
+
 # ---- places of documents among similar ones
 
 
@@ -478,7 +485,7 @@ def _summed(rows: DataFrame, terms: int) -> tuple[np.ndarray, int, int]:
 
 def routing_tree(docs: DataFrame, path: str, *, sample: int = SAMPLE) -> tuple[Tree, np.ndarray]:
     """The tree and the term weights that its vectors take, fitted on about ``sample`` documents picked by hash."""
-    terms, kind = len(shared_tokenizer(path).closes), shared_tokenizer(path).kind
+    terms, kind = vocabulary(path)
     rate = max(1, -(-docs.count() // sample))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,7 +519,7 @@ def pack(docs: DataFrame, *, window: int = WINDOW, tokenizer: str | None = None,
     of their own. Ids are taken as long integers. Other columns are ignored.
     """
     path = tokenizer or tokenizer_path()
-    terms, kind = len(shared_tokenizer(path).closes), shared_tokenizer(path).kind
+    terms, kind = vocabulary(path)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tree, weights = routing_tree(docs, path, sample=sample)
 

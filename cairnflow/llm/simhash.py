@@ -192,6 +192,7 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         if old is not None:
             drop(old)
         old = edges
+        release(edges.sparkSession)  # joins of rounds leave their broadcasts
         now = seen.get
         if now == before:
             break
@@ -330,6 +331,7 @@ def near_links(docs: DataFrame, *, bits: int = MAX_BITS, cap: int = BUCKET_CAP)
     """
     with small_batches(docs.sparkSession, 1000):
         rows = cut(_near_keys(docs).dropDuplicates(["h"]), "simhash-keys")
+    release(docs.sparkSession)
     per_print = rows.groupBy("fp").agg(F.min("h").alias("low"))
     found = links(per_print.select("fp"), max_bits=bits, cap=cap).join(per_print.toDF("a", "x"), "a").join(per_print.toDF("b", "y"), "b").select("x", "y")
     pairs = found.unionByName(rows.join(per_print, "fp").filter("h <> low").select(F.col("h").alias("x"), F.col("low").alias("y")))
@@ -379,7 +381,6 @@ def near_links(docs: DataFrame, *, bits: int = MAX_BITS, cap: int = BUCKET_CAP)
             new = cut(_near(pairs, texts), "simhash-near")
         drop(texts)
         comp = components(new if comp is None else new.unionByName(comp.toDF("a", "b")))
-        release(docs.sparkSession)
         if last:
             break
     return comp

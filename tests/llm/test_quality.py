@@ -159,3 +159,15 @@ def test_every_label_teaches_the_rules(spark, monkeypatch):
     monkeypatch.setattr(B, "boosted", lambda over, cuts, many, good, real=B.boosted: asked.append((many, good)) or real(over, cuts, many, good, trees=1))
     B.fit_rules(None, None)
     assert asked == [(900, int(y.sum()))]
+
+
+def test_sums_leave_no_queries_with_the_driver(spark):
+    rows = spark.createDataFrame([(i % 2, *[float(i)] * len(FEATURES)) for i in range(40)], ", ".join(["label int", *(f"{f} double" for f in FEATURES)])).repartition(3)
+    blocks = B.in_blocks(rows, "t")
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    for _ in range(3):
+        assert B.summed(blocks, lambda x, y: np.array([len(y), y.sum(), x[:, 0].sum()])).tolist() == [40, 20, 780]
+    bus.waitUntilEmpty()
+    assert store.executionsCount() == before

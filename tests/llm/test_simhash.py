@@ -136,3 +136,12 @@ def test_a_round_of_components_asks_for_few_jobs(spark):
 
 def test_empty_edges_have_no_components(spark):
     assert S.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_each_round_of_components_lets_go_of_the_last(spark, monkeypatch):
+    rounds, released = [], []
+    monkeypatch.setattr(S, "cut", lambda df, name, real=S.cut: rounds.append(name) or real(df, name))
+    monkeypatch.setattr(S, "release", lambda session: released.append(session))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
+    assert {r.node: r.root for r in S.components(edges).collect()} == dict.fromkeys(range(1, 6), 0)
+    assert len(released) == len(rounds) > 1
